@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe
 from .packing import op5_bounded_packing
+from .quality import OP7_SQL, op7_quality_cascade
 from .secrets import op10_trigram_secrets
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_bounded_packing, op10_trigram_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_bounded_packing, op7_quality_cascade, op10_trigram_secrets)}
+ORACLE_SQL: dict[str, str] = {"op7_quality_cascade": OP7_SQL}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .language import op4_language_filters
 from .packing import op5_bounded_packing
 from .quality import OP7_SQL, op7_quality_cascade
 from .secrets import op10_trigram_secrets
+from .toxicity import op6_subword_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_bounded_packing, op7_quality_cascade, op10_trigram_secrets)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_language_filters, op5_bounded_packing, op6_subword_toxicity, op7_quality_cascade, op10_trigram_secrets)}
 ORACLE_SQL: dict[str, str] = {"op7_quality_cascade": OP7_SQL}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, map_text, slices, table
+from .common import cut, fold, map_text, slices, table
 
 UNDETERMINED = "und"
 MIN_SHARE = 2.0**-18
@@ -149,8 +149,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     words = max(1, -(-len(languages) // WORD))
     found = np.zeros((words, 1 << bits), np.int64)
     if languages:
-        n = count_grams(docs, text, lang)
-        share = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+        n = cut(count_grams(docs, text, lang))
+        total = n.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language: at most MOST_LANGUAGES
+        share = n.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
         share = share.filter(F.col("share") >= min_share)
         share = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= keep_ratio * F.col("most"))
         number = {x: i for i, x in enumerate(languages)}

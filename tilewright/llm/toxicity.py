@@ -6,8 +6,8 @@ Embeddings and softmax are trained together on a bounded sample of labelled rows
 model scores a word with one number, a text with averages of them; a misspelling never seen shares n-grams with
 words that were.
 
-The sample: per class the ``per_class`` rows of least hash among those of at most ``sample_chars``. A third of it
-calibrates the averages to probabilities, classes weighing as in all labelled rows, which are counted.
+The sample: see ``learn``. A third of it calibrates the averages to probabilities,
+classes weighing as in all labels, which are counted.
 
 Defined results: a null or empty text has the class prior; rows with a null label or text teach nothing; if a class
 has no labelled rows every score is the prior; equal rows get equal scores; an input column named like an output is
@@ -175,15 +175,20 @@ def fit(rows: list[tuple[int, str]], prior: tuple[int, int], **how) -> Model:
     return model
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, **how) -> Model:
-    """A model from at most ``per_class`` rows of each class, those of least hash of ``key`` and the text, none of
-    more than ``sample_chars`` code points: the sample is trained on in one process."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    prior = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    short = rows.filter(F.length("text") <= sample_chars)
-    parts = [short.filter(F.col("label") == c).orderBy("h", "text").limit(per_class) for c in (0, 1)]
-    found = sorted((r["h"], r["label"], r["text"]) for part in parts for r in part.collect())
-    return fit([(c, t) for _, c, t in found], (prior.get(0, 0), prior.get(1, 0)), **how)
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, **how) -> Model:
+    """A model from the rows of ``docs`` whose ``key`` has a label 0 or 1 in ``labels``.
+
+    The sample is drawn among the labels alone, and only its rows' texts are fetched: at most ``per_class`` of each
+    class, those of least hash of ``key``; texts of more than ``sample_chars`` code points are left out.
+    """
+    told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
+    prior = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    drawn = [told.filter(F.col("label") == c).orderBy("h", "_key").limit(per_class) for c in (0, 1)]
+    picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * per_class rows
+    texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(picked, F.col("_doc") == F.col("_key"))
+    found = texts.filter(F.length("text") <= sample_chars).select("h", "label", "text").collect()
+    rows = sorted((r["h"], r["label"], r["text"]) for r in found)
+    return fit([(c, t) for _, c, t in rows], (prior.get(0, 0), prior.get(1, 0)), **how)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
@@ -198,7 +203,7 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score")
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = learn(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
-    return score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    held_out = fold(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    return score(docs, learn(docs, labels)).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

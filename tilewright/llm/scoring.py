@@ -31,12 +31,14 @@ from .common import cut, fold, slices, table
 
 ORDER = 5
 MIN_SHARE = 2.0**-21
-WORD_SHARE = 2.0**-19
+WORD_SHARE = 2.0**-20
 #: Bits of a symbol: 0 is the boundary (start and end of text), byte b is b + 1.
 BITS = 9
 SYMBOLS = 257
 #: Distinct words or n-grams that a counting task holds before it passes them on.
-HELD = 300_000
+HELD = 500_000
+#: Bytes of text whose positions are handled at once; each takes some 100 bytes in arrays.
+SLICE = 1 << 18
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,7 +90,7 @@ def count(docs: DataFrame, text: str, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array([w.decode() for w, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["gram", "word", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 for t in texts:
                     tally.update(t.lower().split())
@@ -96,10 +98,10 @@ def count(docs: DataFrame, text: str, order: int) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 grams.append((key[first], np.diff(np.r_[first, len(key)])))
                 held += len(first)
-                if held > 4 * HELD:
+                if held > 3 * HELD:
                     grams = [merged()]
                     held = len(grams[0][0])
-                    if held > 3 * HELD:
+                    if held > 2 * HELD:
                         yield from out_grams()
                         grams, held = [], 0
                 if len(tally) > HELD:
@@ -169,6 +171,7 @@ class Trie:
             seen.append(n)
         # entered anew: log of the whole and of the escape's share, per context
         self.whole = [np.log10(n + d) for n, d in zip(seen, distinct, strict=True)]
+        self.anew = [c - w[o] for c, w, o in zip(self.log_count, self.whole, of, strict=True)]  # per gram
         self.escape = [np.log10(n - m + d) - w for n, m, d, w in zip(seen, kept, distinct, self.whole, strict=True)]
         # entered by an escape from the context one symbol longer: the same, per longer context
         self.whole_after, self.escape_after = [], []
@@ -190,20 +193,23 @@ class Trie:
         out = np.zeros(len(key))
         todo, came = np.arange(len(key)), np.full(len(key), -1)  # came: the longer context escaped from, or -1
         for k in range(self.order, -1, -1):
-            gram = key[todo] & _low(k + 1)
+            gram = key & _low(k + 1)
             hit = self.grams[k].find(gram)
-            context = self.contexts[k].find(gram >> np.uint64(BITS))
-            anew = came < 0
-            whole, escape = np.zeros(len(todo)), np.zeros(len(todo))
-            known = anew & (context >= 0)
-            whole[known], escape[known] = self.whole[k][context[known]], self.escape[k][context[known]]
+            found, anew = hit >= 0, came < 0
+            one = found & anew
+            out[todo[one]] += self.anew[k][hit[one]]
             if k < self.order:
-                whole[~anew], escape[~anew] = self.whole_after[k][came[~anew]], self.escape_after[k][came[~anew]]
-            found = hit >= 0
-            out[todo[found]] += self.log_count[k][hit[found]] - whole[found]
+                one = found & ~anew
+                out[todo[one]] += self.log_count[k][hit[one]] - self.whole_after[k][came[one]]
             rest = ~found
-            out[todo[rest]] += escape[rest]
-            todo, came = todo[rest], context[rest]
+            key, todo, came, gram = key[rest], todo[rest], came[rest], gram[rest]
+            context = self.contexts[k].find(gram >> np.uint64(BITS))
+            one = (came < 0) & (context >= 0)
+            out[todo[one]] += self.escape[k][context[one]]
+            if k < self.order:
+                one = came >= 0
+                out[todo[one]] += self.escape_after[k][came[one]]
+            came = context
         out[todo] += self.uniform
         return out
 
@@ -253,7 +259,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
         model, known = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
                 key, doc = keys(texts, order)
                 total = np.bincount(doc, model.log_probabilities(key), len(texts))

@@ -5,8 +5,8 @@ list of its ``nearest`` pivots; the inverted lists are keyed by every set of ``s
 list means sharing at least that many pivots, and the number of lists two vectors meet in tells how many they share.
 Lists with a single vector are dropped before any vector is moved. Long lists are dealt in chunks of at most
 ``chunk`` vectors, every pair of chunks being one group; a group multiplies its vectors, verifies the cosine in
-double precision, counts a pair only in the list of the least pivots that it shares, and returns link counts and a
-spanning forest, never all pairs. Equal vectors of a label are one class throughout.
+double precision, counts a pair only in the list of the least pivots that it shares, and returns link counts and
+its components as stars, never all pairs. Equal vectors of a label are one class throughout.
 
 Lists should hold few vectors by chance: there are C(pivots, shared) of them for each label. For n vectors a label
 choose that number no smaller than n (the defaults: 341,376). Recall is measured in tests/llm/test_embeddings.py.
@@ -65,17 +65,16 @@ def _members(pivots: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def _span(near: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that span the graph of the symmetric matrix ``near``."""
-    out, rest = [], np.arange(n)
+def _stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links from the first row of each component of the symmetric matrix ``near`` to its others."""
+    out, rest = [], np.arange(len(near))
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        first, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
-            x = queue.pop()
-            hit = near[x, rest]
+            hit = near[queue.pop(), rest]
             if hit.any():
                 found, rest = rest[hit], rest[~hit]
-                out += [(x, y) for y in found]
+                out += [(first, y) for y in found]
                 queue += list(found)
     return out
 
@@ -153,7 +152,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             some = np.flatnonzero(got)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.nulls(len(some), pa.array(rep[:0]).type), pa.array(got[some].astype(np.int64))], names=["a", "b", "links"])
-                pairs = _span(near, len(v))
+                pairs = _stars(near)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[[p for p, _ in pairs]]), pa.array(rep[[q for _, q in pairs]]), pa.array(np.zeros(len(pairs), np.int64))], names=["a", "b", "links"])
 
     found = cut(full.mapInArrow(verify, f"a {kinds['rep']}, b {kinds['rep']}, links long"))

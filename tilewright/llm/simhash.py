@@ -7,7 +7,8 @@ all of them, so each such pair agrees on a whole key of table v: the 2^(radius+1
 
 Only distinct fingerprints are hashed (copies meet in a group-by). Buckets of two are compared in the JVM. Larger
 ones are dealt in chunks of at most ``chunk`` fingerprints, every pair of chunks being one task's group, so that no
-bucket is gathered whole. A group returns a spanning forest of its links, never all pairs.
+bucket is gathered whole. A group returns its
+components as stars, never all pairs.
 
 Defined results: a null or empty text has the fingerprint zero, linked like any other; a text of fewer words than a
 shingle is hashed whole; a null id takes part as itself and sorts before all others as a representative only if its
@@ -71,24 +72,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that span all components of the pairs within ``radius``: a search that meets each node once."""
+def _stars(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links from the least node of each component of the pairs within ``radius`` to its others: a search that meets
+    each node once."""
     out, rest = [], np.unique(nodes)
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        least, queue, rest = int(rest[0]), [rest[0]], rest[1:]
         while queue and len(rest):
-            x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = np.bitwise_count(rest ^ queue.pop()) <= radius
             if near.any():
                 found, rest = rest[near], rest[~near]
-                out += [(int(x), int(y)) for y in found]
+                out += [(least, int(y)) for y in found]
                 queue += list(found)
     return out
 
 
 def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints within ``radius`` bits that join all which any chain of such
-    pairs joins. ``fps`` should be cheap to read: it is read three times."""
+    """(a, b): links between distinct fingerprints that join exactly those which a chain of pairs within ``radius``
+    bits joins. ``fps`` should be cheap to read: it is read three times."""
     one = fps.select(F.col(fp).alias("fp")).distinct()
     keys = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks(radius))))
     rows = one.select("fp", F.inline(keys))
@@ -108,7 +109,7 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, chunk: int = CHU
         held, last = [], None
 
         def done():
-            got = _forest(np.concatenate(held).view(np.uint64), radius)
+            got = _stars(np.concatenate(held).view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:

@@ -1,6 +1,540 @@
-"""Every registered query over the standard tables, with its SQL."""
+"""Every registered query over the standard tables, with its SQL.
+
+Queries take (spark, sf_dir). Whole numbers are returned as BIGINT and fractions as DOUBLE, so that both engines give
+the same types; geometry is dyadic, so that they give the same values.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color as colors
+from ..functions import geometry as G
+from ..functions import slide as S
+from ..operators import annotations as A
+from ..operators import masks as M
+from ..operators import raster as R
+from ..operators import rasterize as Z
+from ..operators import tiling as T
+from . import derive as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with its SQL."""
+
+    def add(fn):
+        name = fn.__name__.lstrip("_")
+        QUERIES[name] = lambda spark, sf_dir: _plain(fn(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def _with(*ctes: str, select: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n" + select
+
+
+def _tiles(spark, sf_dir, mpp=None, tile=(256, 256), overlap=(0, 0), mode="overflow", order="C", bounds=True) -> DataFrame:
+    return T.standard_tiling(D.slides(spark, sf_dir), mpp, tile, overlap, mode, order, limit_bounds=bounds)
+
+
+# --- grids
+
+GRID = "SELECT slide_id, region_index, ix::BIGINT AS ix, iy::BIGINT AS iy, x, y, w::BIGINT AS w, h::BIGINT AS h FROM tiles"
+GRID_COLUMNS = ["slide_id", "region_index", "ix", "iy", "x", "y", "w", "h"]
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256, mode="skip"), select=GRID))
+def tile_grid_skip(spark, sf_dir):
+    return _tiles(spark, sf_dir, mode="skip").select(*GRID_COLUMNS)
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256), select=GRID))
+def tile_grid_overflow(spark, sf_dir):
+    return _tiles(spark, sf_dir).select(*GRID_COLUMNS)
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("mpp / 0.5", 128, 96, 32, 24), select=GRID))
+def tile_grid_overlap(spark, sf_dir):
+    return _tiles(spark, sf_dir, 0.5, (128, 96), (32, 24)).select(*GRID_COLUMNS)
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256, order="F"), select=GRID))
+def tile_grid_order_f(spark, sf_dir):
+    return _tiles(spark, sf_dir, order="F").select(*GRID_COLUMNS)
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256, bounds=False), select=GRID))
+def tile_grid_whole_slide(spark, sf_dir):
+    return _tiles(spark, sf_dir, bounds=False).select(*GRID_COLUMNS)
+
+
+ROIS_SQL = """
+rois AS (
+  SELECT slide_id, mpp / 0.5 AS s, unnest([0, 1]) AS grid_index FROM slides),
+extents AS (
+  SELECT slide_id, grid_index, ceil((33 + 40 * grid_index) * s)::INT AS off_x, ceil((21 + 50 * grid_index) * s)::INT AS off_y,
+         floor((201 + 30 * grid_index) * s)::INT AS size_w, floor((150 + 21 * grid_index) * s)::INT AS size_h FROM rois),
+counted AS (SELECT *, greatest(0, floor((size_w - 64) / 64.0::DOUBLE + 1))::INT AS nx, greatest(0, floor((size_h - 64) / 64.0::DOUBLE + 1))::INT AS ny FROM extents),
+started AS (SELECT *, coalesce(sum(nx * ny) OVER (PARTITION BY slide_id ORDER BY grid_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM counted),
+numbered AS (SELECT *, unnest(range(nx * ny))::INT AS k FROM started WHERE nx > 0 AND ny > 0)
+"""
+
+
+@query(_with(D.SLIDES_SQL, ROIS_SQL, select="SELECT slide_id, grid_index::BIGINT AS grid_index, start + k AS region_index, (off_x + 64 * (k % nx))::DOUBLE AS x, (off_y + 64 * (k // nx))::DOUBLE AS y FROM numbered"))
+def roi_grid(spark, sf_dir):
+    box = lambda k: F.struct(F.lit(33 + 40 * k).alias("x"), F.lit(21 + 50 * k).alias("y"), F.lit(201 + 30 * k).alias("w"), F.lit(150 + 21 * k).alias("h"))
+    slides = D.slides(spark, sf_dir).withColumn("rois", F.array(box(0), box(1)))
+    return T.standard_tiling(slides, 0.5, (64, 64), mode="skip", rois="rois").select("slide_id", "grid_index", "region_index", "x", "y")
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 200, 120), select="SELECT slide_id, region_index, k // ny AS local_i, k % ny AS local_j, ix::BIGINT AS ix, iy::BIGINT AS iy FROM tiles").replace("k // ny AS", "(k // ny)::BIGINT AS").replace("k % ny AS", "(k % ny)::BIGINT AS"))
+def grid_local_coords(spark, sf_dir):
+    return _tiles(spark, sf_dir, tile=(200, 120)).select("slide_id", "region_index", "local_i", "local_j", "ix", "iy")
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256), select="SELECT slide_id, region_index, x + 128 - 80 AS x, y + 128 - 60 AS y, 160::BIGINT AS w, 120::BIGINT AS h FROM tiles"))
+def center_retile(spark, sf_dir):
+    return T.recentred(_tiles(spark, sf_dir), (160, 120)).select("slide_id", "region_index", "x", "y", "w", "h")
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256), select="SELECT slide_id, count(*)::BIGINT AS n_tiles, max(nx)::BIGINT AS nx, max(ny)::BIGINT AS ny FROM tiles GROUP BY slide_id"))
+def grid_size(spark, sf_dir):
+    return _tiles(spark, sf_dir).groupBy("slide_id").agg(F.count("*").alias("n_tiles"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+
+
+# --- slides
+
+
+@query(_with(D.SLIDES_SQL, select="SELECT slide_id, mpp / 0.3 AS scaling, trunc(width * (mpp / 0.3))::BIGINT AS view_w, trunc(height * (mpp / 0.3))::BIGINT AS view_h, mpp / (mpp / 0.3) AS view_mpp FROM slides"))
+def scaled_size(spark, sf_dir):
+    return S.scaled_view(D.slides(spark, sf_dir), 0.3).select("slide_id", "scaling", "view_w", "view_h", "view_mpp")
+
+
+@query(_with(D.SLIDES_SQL, "wanted AS (SELECT *, unnest([0.5, 1.0, 2.0, 3.0, 4.5])::DOUBLE AS downsample FROM slides)", select="SELECT slide_id, downsample, (CASE WHEN downsample < 2 THEN 0 WHEN downsample < 4 THEN 1 ELSE 2 END)::BIGINT AS level FROM wanted"))
+def best_level(spark, sf_dir):
+    rows = D.slides(spark, sf_dir).withColumn("downsample", F.explode(F.array(*(F.lit(x) for x in (0.5, 1.0, 2.0, 3.0, 4.5)))))
+    return rows.select("slide_id", "downsample", S.best_level(F.col("levels"), F.col("downsample")).alias("level"))
+
+
+@query(
+    _with(
+        D.SLIDES_SQL,
+        "wanted AS (SELECT slide_id, mpp, unnest([0.27, 0.49, 0.51, 1.2, 4.4])::DOUBLE AS want FROM slides)",
+        "each AS (SELECT *, unnest([0, 1, 2]) AS level FROM wanted)",
+        select="SELECT slide_id, want, min_by(level, (abs(mpp * pow(2, level) - want), level))::BIGINT AS level, min_by(mpp * pow(2, level), (abs(mpp * pow(2, level) - want), level)) AS closest_mpp FROM each GROUP BY slide_id, want",
+    )
+)
+def closest_level(spark, sf_dir):
+    rows = D.slides(spark, sf_dir).withColumn("want", F.explode(F.array(*(F.lit(x) for x in (0.27, 0.49, 0.51, 1.2, 4.4)))))
+    return rows.select("slide_id", "want", S.closest_level(F.col("levels"), F.col("want")).alias("level"), S.closest_mpp(F.col("levels"), F.col("want")).alias("closest_mpp"))
+
+
+@query("SELECT p_partkey AS slide_id, (x <> 0 AND abs(x - y) <= 0.015 * greatest(abs(x), abs(y))) AS valid FROM (SELECT p_partkey, (p_size % 5) / 4.0::DOUBLE AS x, (p_size % 5) / 4.0::DOUBLE + (p_partkey % 7) / 256.0::DOUBLE AS y FROM part)")
+def mpp_valid(spark, sf_dir):
+    x = (F.col("p_size") % 5) / F.lit(4.0)
+    y = x + (F.col("p_partkey") % 7) / F.lit(256.0)
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide_id"), S.mpp_valid(x, y).alias("valid"))
+
+
+@query(_with(D.SLIDES_SQL, select="SELECT slide_id, trunc(offset_x * (mpp / 0.75))::BIGINT AS x, trunc(offset_y * (mpp / 0.75))::BIGINT AS y, trunc(bounds_w * (mpp / 0.75))::BIGINT AS w, trunc(bounds_h * (mpp / 0.75))::BIGINT AS h FROM slides"))
+def slide_bounds_scaled(spark, sf_dir):
+    b = S.slide_bounds(*(F.col(c) for c in ("width", "height", "offset_x", "offset_y", "bounds_w", "bounds_h")))
+    return D.slides(spark, sf_dir).select("slide_id", F.inline(F.array(S.scaled_bounds(b, S.scaling_of(F.col("mpp"), F.lit(0.75))))))
+
+
+@query(_with(D.SLIDES_SQL, "each AS (SELECT *, unnest([0, 1, 2]) AS level FROM slides)", select="SELECT slide_id, level::BIGINT AS level, (width // pow(2, level)::INT)::BIGINT AS width, (height // pow(2, level)::INT)::BIGINT AS height, pow(2, level) AS downsample, mpp * pow(2, level) AS spacing FROM each"))
+def level_metadata(spark, sf_dir):
+    return D.slides(spark, sf_dir).select("slide_id", F.inline("levels")).select("slide_id", "level", "width", "height", "downsample", F.col("mpp_x").alias("spacing"))
+
+
+@query(_with(D.SLIDES_SQL, select="SELECT slide_id, width / height::DOUBLE AS aspect_ratio, greatest(1, round(width * least(200 / width::DOUBLE, 150 / height::DOUBLE)))::BIGINT AS thumb_w, greatest(1, round(height * least(200 / width::DOUBLE, 150 / height::DOUBLE)))::BIGINT AS thumb_h FROM slides"))
+def thumbnail_size(spark, sf_dir):
+    w, h = F.col("width"), F.col("height")
+    t = S.thumbnail_size(w, h, F.lit(200), F.lit(150))
+    return D.slides(spark, sf_dir).select("slide_id", S.aspect_ratio(w, h).alias("aspect_ratio"), t["w"].alias("thumb_w"), t["h"].alias("thumb_h"))
+
+
+# --- sequences of datasets
+
+
+@query(
+    _with(
+        D.SLIDES_SQL,
+        "parts AS (SELECT slide_id, slide_id % 3 AS dataset, row_number() OVER (PARTITION BY slide_id % 3 ORDER BY slide_id) - 1 AS local FROM slides)",
+        select="SELECT slide_id, dataset::BIGINT AS dataset, local::BIGINT AS local, (local + (SELECT count(*) FROM parts q WHERE q.dataset < p.dataset))::BIGINT AS ordinal FROM parts p",
+    )
+)
+def concat_datasets(spark, sf_dir):
+    rows = D.slides(spark, sf_dir).select("slide_id", (F.col("slide_id") % 3).alias("third"))
+    rows = T.reindexed(rows, "third", "slide_id", "ordinal")
+    parts = [rows.filter(F.col("third") == k).drop("third") for k in range(3)]
+    return T.concat(parts).select("slide_id", "dataset", "local", "ordinal")
+
+
+@query("SELECT i AS ordinal, (CASE WHEN i < 40 THEN 0 WHEN i < 100 THEN 1 ELSE 2 END)::BIGINT AS dataset, (i - CASE WHEN i < 40 THEN 0 WHEN i < 100 THEN 40 ELSE 100 END)::BIGINT AS local FROM (SELECT p_partkey % 150 AS i FROM part)")
+def concat_index_lookup(spark, sf_dir):
+    starts = [0, 40, 100]
+    i = (F.col("p_partkey") % 150).alias("ordinal")
+    rows = D.table(spark, sf_dir, "part").select(i).withColumn("dataset", T.locate(F.col("ordinal"), starts))
+    return rows.withColumn("local", F.col("ordinal") - F.element_at(F.array(*map(F.lit, starts)), F.col("dataset") + 1))
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256), "n AS (SELECT slide_id, count(*) AS n FROM tiles GROUP BY slide_id)", select="SELECT slide_id, n::BIGINT AS n, coalesce(sum(n) OVER (ORDER BY slide_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n"))
+def cumulative_sizes(spark, sf_dir):
+    n = _tiles(spark, sf_dir).groupBy("slide_id").agg(F.count("*").alias("n"))
+    return T.offsets(n, "n", "slide_id")
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql("1", 128, 128), select="SELECT slide_id, region_index, x, y FROM tiles WHERE region_index >= 3 AND region_index < 7"))
+def slice_regions(spark, sf_dir):
+    return T.sliced(_tiles(spark, sf_dir, tile=(128, 128)), 3, 7, "region_index").select("slide_id", "region_index", "x", "y")
+
+
+@query(
+    _with(D.SLIDES_SQL, D.tiles_sql("1", 256, 256), select="SELECT t.slide_id, region_index, coalesce(quality, -1)::BIGINT AS quality, coalesce(toxic, -1)::BIGINT AS toxic FROM tiles t LEFT JOIN labels ON t.slide_id = doc_id")
+)
+def labels_join(spark, sf_dir):
+    made = T.with_labels(_tiles(spark, sf_dir), D.image_labels(spark, sf_dir))
+    return made.select("slide_id", "region_index", *(F.coalesce(F.col("labels")[k].cast("long"), F.lit(-1)).alias(k) for k in ("quality", "toxic")))
+
+
+# --- masks
+
+SCALE = "mpp / 0.5"
+FRACTIONS = """
+pairs AS (
+  SELECT t.slide_id, t.region_index, t.x, t.y, t.w, t.h, t.scaling,
+         greatest(0, least((t.x + t.w) / scaling, a.x0 + a.aw) - greatest(t.x / scaling, a.x0)) * greatest(0, least((t.y + t.h) / scaling, a.y0 + a.ah) - greatest(t.y / scaling, a.y0)) AS part
+  FROM tiles t JOIN annotations a USING (slide_id) WHERE a.annotation_type = 'BOX'),
+shares AS (SELECT slide_id, region_index, sum(part * scaling * scaling / (w * h)) AS fraction FROM pairs GROUP BY slide_id, region_index HAVING sum(part) > 0)"""
+MASKED = _with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.tiles_sql(SCALE, 32, 32), FRACTIONS, select="SELECT slide_id, region_index, x, y FROM tiles SEMI JOIN (SELECT * FROM shares WHERE {where}) s USING (slide_id, region_index)")
+
+
+def _boxes(spark, sf_dir):
+    return D.annotations(spark, sf_dir).filter("annotation_type = 'BOX'")
+
+
+def _masked(spark, sf_dir, threshold):
+    tiles = _tiles(spark, sf_dir, 0.5, (32, 32))
+    return M.masked_tiles(tiles, _boxes(spark, sf_dir), threshold).select("slide_id", "region_index", "x", "y")
+
+
+@query(MASKED.format(where="fraction > 0"))
+def masked_tiles_box_0(spark, sf_dir):
+    return _masked(spark, sf_dir, 0.0)
+
+
+@query(MASKED.format(where="fraction > 0.5"))
+def masked_tiles_box_05(spark, sf_dir):
+    return _masked(spark, sf_dir, 0.5)
+
+
+@query(MASKED.format(where="fraction > 1 OR fraction = 1"))
+def masked_tiles_box_1(spark, sf_dir):
+    return _masked(spark, sf_dir, 1.0)
+
+
+@query(_with(D.SLIDES_SQL, D.tiles_sql(SCALE, 128, 128), select="SELECT slide_id, region_index, x, y FROM tiles"))
+def mask_threshold_none(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir, 0.5, (128, 128))
+    return M.masked_tiles(tiles, _boxes(spark, sf_dir), None).select("slide_id", "region_index", "x", "y")
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.tiles_sql(SCALE, 32, 32), FRACTIONS, select="SELECT slide_id, region_index, (row_number() OVER (PARTITION BY slide_id ORDER BY region_index) - 1)::BIGINT AS sample_index FROM shares WHERE fraction > 0.5"))
+def masked_reindex(spark, sf_dir):
+    return T.reindexed(_masked(spark, sf_dir, 0.5)).select("slide_id", "region_index", "sample_index")
+
+
+MASK_TILES = """
+mask_tiles AS (
+  SELECT slide_id, (4 * j + i)::BIGINT AS region_index, 24 * i AS x, 24 * j AS y, 24 AS w, 24 AS h
+  FROM (SELECT vec_id AS slide_id, i, unnest(range(4)) AS j FROM (SELECT vec_id, unnest(range(4)) AS i FROM embeddings)))"""
+
+
+def _mask_tiles(spark, sf_dir):
+    """4 x 4 tiles of 24 pixels over views of 96 pixels, whose masks have 8 x 8."""
+    views = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.lit(0).alias("off_x"), F.lit(0).alias("off_y"), F.lit(96).alias("size_w"), F.lit(96).alias("size_h"), F.lit(96).alias("view_w"), F.lit(96).alias("view_h"))
+    return T.grid(views, (24, 24)).withColumn("region_index", F.col("k").cast("long"))
+
+
+@query(_with(D.MASKS_SQL, MASK_TILES, select="SELECT t.slide_id, region_index, sum(value) / 4.0::DOUBLE AS fraction FROM mask_tiles t JOIN mask_pixels p ON t.slide_id = p.slide_id AND px * 12 >= x AND px * 12 < x + w AND py * 12 >= y AND py * 12 < y + h GROUP BY t.slide_id, region_index HAVING sum(value) / 4.0 > 0.5"))
+def masked_tiles_raster(spark, sf_dir):
+    tiles, table = _mask_tiles(spark, sf_dir), M.summed_area(D.masks(spark, sf_dir))
+    return M.raster_fraction(tiles, table).filter("fraction > 0.5")
+
+
+@query(
+    _with(
+        D.MASKS_SQL,
+        "big AS (SELECT slide_id, px * 12 + dx AS px, py * 12 + dy AS py, value FROM (SELECT *, unnest(range(12)) AS dx FROM (SELECT *, unnest(range(12)) AS dy FROM mask_pixels)))",
+        "mask_tiles AS (SELECT vec_id AS slide_id, (3 * j + i)::BIGINT AS region_index, 32 * i AS x, 32 * j AS y FROM (SELECT vec_id, i, unnest(range(3)) AS j FROM (SELECT vec_id, unnest(range(3)) AS i FROM embeddings)))",
+        select="SELECT t.slide_id, region_index, avg(value)::DOUBLE AS fraction FROM mask_tiles t JOIN big p ON t.slide_id = p.slide_id AND px >= x AND px < x + 32 AND py >= y AND py < y + 32 GROUP BY t.slide_id, region_index HAVING avg(value) > 0.5",
+    )
+)
+def masked_tiles_slide(spark, sf_dir):
+    small = D.mask_pixels(spark, sf_dir)
+    step = F.sequence(F.lit(0), F.lit(11))
+    big = small.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("slide_id", (F.col("px") * 12 + F.col("dx")).alias("px"), (F.col("py") * 12 + F.col("dy")).alias("py"), "value")
+    views = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.lit(0).alias("off_x"), F.lit(0).alias("off_y"), F.lit(96).alias("size_w"), F.lit(96).alias("size_h"))
+    tiles = T.grid(views, (32, 32)).withColumn("region_index", F.col("k").cast("long"))
+    return M.slide_fraction(tiles, big).filter("fraction > 0.5")
+
+
+# --- annotations
+
+SEEN = """
+seen AS (
+  SELECT t.slide_id, t.region_index, a.layer_idx, a.label, a.annotation_type, t.x, t.y, t.scaling, a.x0, a.y0, a.x1, a.y1,
+         greatest(a.x0, t.x / scaling) AS cx0, greatest(a.y0, t.y / scaling) AS cy0, least(a.x1, (t.x + t.w) / scaling) AS cx1, least(a.y1, (t.y + t.h) / scaling) AS cy1
+  FROM tiles t JOIN shapes a USING (slide_id)
+  WHERE a.x0 <= (t.x + t.w) / scaling AND a.x1 >= t.x / scaling AND a.y0 <= (t.y + t.h) / scaling AND a.y1 >= t.y / scaling)"""
+READ = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, D.tiles_sql(SCALE, 128, 128), SEEN)
+
+
+@query(_with(*READ, select="SELECT slide_id, region_index, layer_idx::BIGINT AS layer_idx, label, cx0 * scaling - x AS x0, cy0 * scaling - y AS y0, cx1 * scaling - x AS x1, cy1 * scaling - y AS y1 FROM seen WHERE annotation_type = 'BOX' AND cx1 > cx0 AND cy1 > cy0"))
+def ann_read_region(spark, sf_dir):
+    got = A.read_regions(_tiles(spark, sf_dir, 0.5, (128, 128)), _boxes(spark, sf_dir), shapes="boxes").filter("annotation_type = 'BOX'")
+    b = G.bounds(F.col("rings"))
+    return got.select("slide_id", "region_index", "layer_idx", "label", *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
+
+
+@query(_with(*READ, select="SELECT slide_id, region_index, layer_idx::BIGINT AS layer_idx, x0 * scaling - x AS px, y0 * scaling - y AS py FROM seen WHERE annotation_type = 'POINT'"))
+def ann_points_in_tile(spark, sf_dir):
+    points = D.annotations(spark, sf_dir).filter("annotation_type = 'POINT'")
+    got = A.read_regions(_tiles(spark, sf_dir, 0.5, (128, 128)), points, shapes="boxes")
+    p = F.col("rings")[0][0]
+    return got.select("slide_id", "region_index", "layer_idx", p["x"].alias("px"), p["y"].alias("py"))
+
+
+@query()
+def ann_polygons_in_tile(spark, sf_dir):
+    """Clipped diamonds with their pieces' areas; tests/test_clip.py holds them against brute force."""
+    shapes = D.annotations(spark, sf_dir).filter("annotation_type = 'POLYGON'")
+    got = A.read_regions(_tiles(spark, sf_dir, 0.5, (128, 128)), shapes)
+    return got.select("slide_id", "region_index", "layer_idx", "part", F.size(F.col("rings")[0]).alias("corners"), F.round(G.polygon_area(F.col("rings")), 6).alias("area"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, label, annotation_type FROM annotations WHERE label IN ('A', 'R')"))
+def ann_filter_labels(spark, sf_dir):
+    return A.filter_labels(D.annotations(spark, sf_dir), ["A", "R"]).select("slide_id", "layer_idx", "label", "annotation_type")
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, "b AS (SELECT slide_id, min(x0) AS x, min(y0) AS y, max(x1) - min(x0) AS w, max(y1) - min(y0) AS h FROM shapes GROUP BY slide_id)", select="SELECT slide_id, coalesce(x, 0)::DOUBLE AS x, coalesce(y, 0)::DOUBLE AS y, coalesce(w, 0)::DOUBLE AS w, coalesce(h, 0)::DOUBLE AS h FROM slides LEFT JOIN b USING (slide_id)"))
+def ann_bounding_box(spark, sf_dir):
+    return A.bounding_box(D.annotations(spark, sf_dir), D.slides(spark, sf_dir))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, label, annotation_type, coalesce(z_index, -1)::BIGINT AS z_index, min(layer_idx)::BIGINT AS first_layer FROM annotations GROUP BY ALL"))
+def ann_available_classes(spark, sf_dir):
+    return A.available_classes(D.annotations(spark, sf_dir)).select("slide_id", "label", "annotation_type", F.coalesce("z_index", F.lit(-1)).alias("z_index"), "first_layer")
+
+
+SORTED = _with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, select="SELECT slide_id, label, annotation_type, x0::DOUBLE AS x0, (row_number() OVER (PARTITION BY slide_id ORDER BY {order}) - 1)::BIGINT AS layer_idx FROM shapes")
+
+
+def _sorted(spark, sf_dir, how):
+    return A.sort_layers(D.annotations(spark, sf_dir), how).select("slide_id", "label", "annotation_type", G.bounds(F.col("rings"))["x0"].alias("x0"), "layer_idx")
+
+
+@query(SORTED.format(order="area DESC, layer_idx"))
+def ann_sort_area(spark, sf_dir):
+    return _sorted(spark, sf_dir, "AREA")
+
+
+@query(SORTED.format(order="z_index ASC NULLS LAST, layer_idx"))
+def ann_sort_zindex(spark, sf_dir):
+    return _sorted(spark, sf_dir, "Z_INDEX")
+
+
+@query(SORTED.format(order="layer_idx DESC"))
+def ann_sort_reverse(spark, sf_dir):
+    return _sorted(spark, sf_dir, "REVERSE")
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, CASE label WHEN 'A' THEN 'tumour' WHEN 'N' THEN 'stroma' ELSE label END AS label, z_index IS NULL OR TRUE AS unstyled FROM annotations"))
+def ann_rename(spark, sf_dir):
+    got = A.rename_labels(D.annotations(spark, sf_dir), {"A": "tumour", "N": "stroma"})
+    return got.select("slide_id", "layer_idx", "label", (F.col("z_index").isNull() & F.col("color").isNull()).alias("unstyled"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, (CASE label WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END)::BIGINT AS index_value FROM annotations"))
+def ann_class_index(spark, sf_dir):
+    return A.with_index(D.annotations(spark, sf_dir), {"A": 1, "N": 2, "R": 3}).select("slide_id", "layer_idx", "index_value")
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, annotation_type = 'BOX' OR (annotation_type = 'POLYGON' AND aw = ah) AS is_rectangle FROM annotations"))
+def is_rectangle(spark, sf_dir):
+    return D.annotations(spark, sf_dir).select("slide_id", "layer_idx", G.is_rectangle(F.col("rings")).alias("is_rectangle"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, area::DOUBLE AS area FROM shapes"))
+def polygon_area(spark, sf_dir):
+    return D.annotations(spark, sf_dir).select("slide_id", "layer_idx", G.polygon_area(F.col("rings")).alias("area"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, label, string_agg(x0 || ' ' || y0, ',' ORDER BY layer_idx) AS points FROM annotations WHERE annotation_type = 'POINT' GROUP BY slide_id, label"))
+def points_by_label(spark, sf_dir):
+    rows = A.points_by_label(D.annotations(spark, sf_dir)).select("slide_id", F.explode("points").alias("label", "p"))
+    text = F.array_join(F.transform("p", lambda q: F.concat_ws(" ", q["x"].cast("long").cast("string"), q["y"].cast("long").cast("string"))), ",")
+    return rows.select("slide_id", "label", text.alias("points"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, (x0 + offset_x)::DOUBLE AS x0, (y0 + offset_y)::DOUBLE AS y0 FROM annotations JOIN slides USING (slide_id)"))
+def ann_offset_to_bounds(spark, sf_dir):
+    got = A.shifted(_corners(spark, sf_dir), D.slides(spark, sf_dir))
+    p = F.col("rings")[0][0]
+    return got.select("slide_id", "layer_idx", p["x"].alias("x0"), p["y"].alias("y0"))
+
+
+def _corners(spark, sf_dir):
+    """The annotations' upper left corners as points."""
+    rows = D.annotations(spark, sf_dir)
+    b = G.bounds(F.col("rings"))
+    return rows.withColumns({"rings": F.array(F.array(G.point(b["x0"], b["y0"]))), "annotation_type": F.lit("POINT")})
+
+
+# --- rasterising
+
+LOCAL = """
+local AS (
+  SELECT slide_id, layer_idx, label, x0, y0, x0 + aw AS x1, y0 + ah AS y1 FROM annotations WHERE annotation_type = 'BOX' AND slide_id % 4 = 0),
+px AS (SELECT *, unnest(range(x0, least(x1, {w} - 1) + 1)) AS px FROM local WHERE x0 < {w}),
+pixels AS (SELECT *, unnest(range(y0, least(y1, {h} - 1) + 1)) AS py FROM px WHERE y0 < {h})"""
+WINDOW = (320, 240)
+PIXELS = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, LOCAL.format(w=WINDOW[0], h=WINDOW[1]))
+INDEX = {"A": 1, "N": 2, "R": 3}
+INDEX_SQL = "CASE label WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+
+
+def _raster_boxes(spark, sf_dir):
+    """Boxes of every fourth slide, seen in a window of 320 x 240 pixels (the workload's definition)."""
+    return _boxes(spark, sf_dir).filter("slide_id % 4 = 0").withColumn("region_index", F.lit(0).cast("long"))
+
+
+@query(_with(*PIXELS, select=f"SELECT slide_id, px::BIGINT AS px, py::BIGINT AS py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM pixels GROUP BY slide_id, px, py"))
+def mask_last_writer(spark, sf_dir):
+    return Z.class_mask(_raster_boxes(spark, sf_dir), INDEX, ("slide_id",), WINDOW)
+
+
+@query(_with(*PIXELS, select=f"SELECT DISTINCT slide_id, ({INDEX_SQL})::BIGINT AS plane, px::BIGINT AS px, py::BIGINT AS py, 1::BIGINT AS value FROM pixels"))
+def mask_multiclass(spark, sf_dir):
+    return Z.class_planes(_raster_boxes(spark, sf_dir), INDEX, ("slide_id",), WINDOW)
+
+
+@query(_with(*PIXELS, select="SELECT DISTINCT slide_id, px::BIGINT AS px, py::BIGINT AS py, 1::BIGINT AS value FROM pixels WHERE label = 'R'"))
+def roi_mask(spark, sf_dir):
+    return Z.roi_mask(_raster_boxes(spark, sf_dir), "R", ("slide_id",), WINDOW)
+
+
+@query(
+    _with(
+        *PIXELS,
+        "cut AS (SELECT * FROM pixels WHERE NOT (px >= x0 + 2 AND px <= x1 - 2 AND py >= y0 + 1 AND py <= y1 - 1))",
+        select=f"SELECT slide_id, px::BIGINT AS px, py::BIGINT AS py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM cut GROUP BY slide_id, px, py",
+    )
+)
+def mask_holes(spark, sf_dir):
+    boxes = _raster_boxes(spark, sf_dir)
+    b = G.bounds(F.col("rings"))
+    hole = G.box_rings(b["x0"] + 2, b["y0"] + 1, b["x1"] - b["x0"] - 4, b["y1"] - b["y0"] - 2)
+    return Z.class_mask(boxes.withColumn("rings", F.concat("rings", hole)), INDEX, ("slide_id",), WINDOW)
+
+
+# --- pixels
+
+IMAGE = "image AS (SELECT vec_id AS slide_id, k % 8 AS px, k // 8 AS py, floor(embedding[k + 1]::DOUBLE * 1024)::BIGINT AS value FROM (SELECT vec_id, embedding, unnest(range(64))::INT AS k FROM embeddings))"
+
+
+def _image(spark, sf_dir):
+    """8 x 8 images of whole numbers, one level."""
+    rows = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.posexplode("embedding").alias("k", "v"))
+    return rows.select("slide_id", F.lit(0).alias("level"), (F.col("k") % 8).alias("px"), F.floor(F.col("k") / 8).cast("int").alias("py"), F.floor(F.col("v").cast("double") * 1024).alias("value"))
+
+
+def _views(spark, sf_dir, x, y, w, h, scaling=1.0):
+    level = F.array(F.struct(F.lit(0).alias("level"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1.0).alias("downsample"), F.lit(1.0).alias("mpp_x"), F.lit(1.0).alias("mpp_y")))
+    size = int(8 * scaling)
+    made = {"region_index": F.lit(0).cast("long"), "x": F.lit(float(x)), "y": F.lit(float(y)), "w": F.lit(w), "h": F.lit(h), "scaling": F.lit(scaling), "levels": level, "view_w": F.lit(size), "view_h": F.lit(size)}
+    return D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id")).withColumns(made)
+
+
+def _padded(x: int, y: int, w: int, h: int) -> str:
+    targets = f"targets AS (SELECT vec_id AS slide_id, tx, unnest(range({h})) AS ty FROM (SELECT vec_id, unnest(range({w})) AS tx FROM embeddings))"
+    return _with(IMAGE, targets, select=f"SELECT t.slide_id, tx::BIGINT AS tx, ty::BIGINT AS ty, coalesce(value, 0)::BIGINT AS value FROM targets t LEFT JOIN image i ON i.slide_id = t.slide_id AND px = tx + {x} AND py = ty + {y}")
+
+
+@query(_padded(-2, 5, 6, 7))
+def region_zero_pad(spark, sf_dir):
+    return R.resample_nearest(_views(spark, sf_dir, -2, 5, 6, 7), _image(spark, sf_dir), "zero", ("slide_id",))
+
+
+@query(_padded(0, 5, 4, 3))
+def region_crop(spark, sf_dir):
+    return R.resample_nearest(_views(spark, sf_dir, -2, 5, 6, 7), _image(spark, sf_dir), "crop", ("slide_id",))
+
+
+@query(_with(IMAGE, "targets AS (SELECT vec_id AS slide_id, tx, unnest(range(16)) AS ty FROM (SELECT vec_id, unnest(range(16)) AS tx FROM embeddings))", select="SELECT t.slide_id, tx::BIGINT AS tx, ty::BIGINT AS ty, value FROM targets t JOIN image i ON i.slide_id = t.slide_id AND px = tx // 2 AND py = ty // 2"))
+def resample_nearest(spark, sf_dir):
+    return R.resample_nearest(_views(spark, sf_dir, 0, 0, 16, 16, 2.0), _image(spark, sf_dir), None, ("slide_id",))
+
+
+@query(_with(IMAGE, select="SELECT slide_id, (px // 2)::BIGINT AS px, (py // 2)::BIGINT AS py, avg(value)::DOUBLE AS value FROM image GROUP BY slide_id, px // 2, py // 2"))
+def pyramid_downsample(spark, sf_dir):
+    return R.downsample(_image(spark, sf_dir))
+
+
+@query(_with(IMAGE, select="SELECT slide_id, (px // 2)::BIGINT AS px, (py // 2)::BIGINT AS py, value FROM image WHERE px % 2 = 0 AND py % 2 = 0"))
+def pyramid_downsample_mask(spark, sf_dir):
+    return R.downsample(_image(spark, sf_dir), is_mask=True)
+
+
+@query(_with(D.SLIDES_SQL, "n AS (SELECT *, greatest(0, least(ceil(log2(width / 128.0::DOUBLE)), ceil(log2(height / 128.0::DOUBLE))))::INT AS n FROM slides)", "l AS (SELECT *, unnest(range(n + 1))::INT AS level FROM n)", select="SELECT slide_id, level::BIGINT AS level, (width // pow(2, level)::INT)::BIGINT AS level_w, (height // pow(2, level)::INT)::BIGINT AS level_h, 1 / mpp * 10000 / pow(2, level) AS per_cm FROM l"))
+def pyramid_shapes(spark, sf_dir):
+    levels = R.pyramid_levels(F.col("width"), F.col("height"), F.lit(128), F.lit(128))
+    rows = D.slides(spark, sf_dir).select("slide_id", "mpp", F.explode(levels).alias("l"))
+    tags = R.resolution_tags(F.col("mpp"), F.col("mpp"), F.col("l.level"))
+    return rows.select("slide_id", F.col("l.level").alias("level"), F.col("l.width").alias("level_w"), F.col("l.height").alias("level_h"), tags["x"].alias("per_cm"))
+
+
+PLANS = """
+r AS (SELECT slide_id, width, height, unnest([2.0, 1.0, 0.5, 0.25])::DOUBLE AS scaling FROM slides),
+l AS (SELECT *, CASE WHEN scaling >= 1 THEN 0 WHEN scaling = 0.5 THEN 1 ELSE 2 END AS level FROM r),
+p AS (SELECT *, pow(2, level) AS ds, scaling * pow(2, level) AS ns, width // pow(2, level)::INT AS lw, height // pow(2, level)::INT AS lh, CASE WHEN scaling * pow(2, level) > 1 THEN 3 ELSE ceil(3 / (scaling * pow(2, level))) END AS extra FROM l),
+q AS (SELECT *, floor(greatest(0, least(floor(24 / ns - extra), lw)) * ds) / ds AS px, floor(greatest(0, least(floor(16 / ns - extra), lh)) * ds) / ds AS py FROM p)"""
+
+
+@query(_with(D.SLIDES_SQL, PLANS, select="SELECT slide_id, scaling, level::BIGINT AS level, px AS patch_x, py AS patch_y, ceil(greatest(0, least(ceil(24 / ns + 64 / ns + extra), lw)) - px)::BIGINT AS patch_w, ceil(greatest(0, least(ceil(16 / ns + 48 / ns + extra), lh)) - py)::BIGINT AS patch_h FROM q"))
+def read_plan(spark, sf_dir):
+    rows = D.slides(spark, sf_dir).withColumn("scaling", F.explode(F.array(*(F.lit(v) for v in (2.0, 1.0, 0.5, 0.25)))))
+    rows = rows.withColumns({"x": F.lit(24.0), "y": F.lit(16.0), "w": F.lit(64), "h": F.lit(48)})
+    return R.plan_reads(rows).select("slide_id", "scaling", "level", "patch_x", "patch_y", "patch_w", "patch_h")
+
+
+# --- colours
+
+
+@query("SELECT p_partkey AS slide_id, (p_partkey % 256)::BIGINT AS r, (p_partkey * 7 % 256)::BIGINT AS g, (p_size * 5 % 256)::BIGINT AS b FROM part")
+def hex_color(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = F.format_string("#%02x%02x%02x", (key % 256).cast("int"), (key * 7 % 256).cast("int"), (size * 5 % 256).cast("int"))
+    rgb = colors.hex_to_rgb(text)
+    return D.table(spark, sf_dir, "part").select(key.alias("slide_id"), *(rgb[k].alias(c) for k, c in enumerate("rgb")))
+
+
+@query("SELECT i::BIGINT AS i, (CASE i WHEN 2 THEN 255 WHEN 3 THEN 255 ELSE 0 END * 256)::BIGINT AS r, (CASE i WHEN 1 THEN 128 WHEN 3 THEN 255 ELSE 0 END * 256)::BIGINT AS g, 0::BIGINT AS b FROM range(256) t(i)")
+def color_lut(spark, sf_dir):
+    lut = colors.color_lut({1: (0, 128, 0), 2: (255, 0, 0), 3: (255, 255, 0)})
+    return spark.range(1).select(lut.alias("l")).select(F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(255)).alias("i"), F.col("l")[0].alias("r"), F.col("l")[1].alias("g"), F.col("l")[2].alias("b"))))

@@ -1 +1 @@
-"""sources of tilewright."""
+"""Readers and writers of slides and annotations."""

@@ -122,10 +122,11 @@ def read_regions(regions: DataFrame, tile_table: DataFrame, tile: int, kind: str
     """
     planned = plan_reads(regions)
     cols = ["slide_id", key, "w", "h", "native_x", "native_y", "native_w", "native_h", "patch_x", "patch_y", "patch_w", "patch_h", "tile_row", "tile_col", "width", "height", "bands", "data"]
-    met = tiles_of_regions(planned, tile_table, tile).select(*cols)
+    slim = planned.select("slide_id", key, "level", "w", "h", *(c for c in cols if c.startswith(("native_", "patch_"))))
+    met = tiles_of_regions(slim, tile_table, tile).select(*cols)
     kinds = {f.name: f.dataType.simpleString() for f in met.schema}
 
-    def one(keys, table: pa.Table) -> pa.Table:
+    def one(keys, table):
         rows = table.to_pylist()
         r = rows[0]
         image = np.zeros((max(r["patch_h"], 1), max(r["patch_w"], 1), r["bands"]), np.uint8)

@@ -232,7 +232,7 @@ class TiffWriter:
         out = [
             (SUBFILE, 4, [1 if level else 0]), (WIDTH, 4, [size[0]]), (LENGTH, 4, [size[1]]), (BITS, 3, [8] * bands),
             (COMPRESSION, 3, [8 if self.compression is Compression.DEFLATE else 1]), (PHOTOMETRIC, 3, [3 if self.colormap else 2 if bands >= 3 else 1]), (SAMPLES, 3, [bands]),
-            (X_RESOLUTION, 5, [round(per_cm[0] * 1_000_000), 1_000_000]), (Y_RESOLUTION, 5, [round(per_cm[1] * 1_000_000), 1_000_000]), (UNIT, 3, [3]),
+            (X_RESOLUTION, 5, [round(per_cm[0] * 10_000), 10_000]), (Y_RESOLUTION, 5, [round(per_cm[1] * 10_000), 10_000]), (UNIT, 3, [3]),
             (TILE_WIDTH, 4, [self.tile[0]]), (TILE_LENGTH, 4, [self.tile[1]]), (OFFSETS, 16, offsets), (BYTES, 16, counts),
         ]
         if self.metadata and not level:
@@ -283,7 +283,8 @@ class TiffWriter:
 
     @staticmethod
     def _directory(f, link: int, fields: list[tuple]) -> int:
-        entries, f_at = [], f.seek(0, 2)
+        entries = []
+        f.seek(0, 2)
         for tag, kind, values in fields:
             raw = values if kind == 2 else struct.pack("<" + {3: "H", 4: "I", 5: "I", 16: "Q"}[kind] * len(values), *values)
             number = len(values) // 2 if kind == 5 else len(values)

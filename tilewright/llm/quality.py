@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -28,6 +29,9 @@ GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Up to this many distinct repeated windows, membership is a scan of them; beyond, windows are sorted.
 SCANNED = 256
+#: Bounds of the sample that plans the cascade.
+SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 20_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -98,9 +102,15 @@ def _rejects(rule: Rule, text: str) -> Column:
     return F.coalesce(F.expr(rule.rejects.format(text=f"`{text}`")), F.lit(False))
 
 
-def plan(measured: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000) -> list[Rule]:
-    """``rules`` by rejections per second on a sample, best first; the sample is the first rows read."""
-    sample = measured.filter(~F.col("base_failed")).limit(sample_rows).persist()
+def plan(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[Rule]:
+    """``rules`` by rejections per second on a sample, best first.
+
+    The sample is the first ``sample_rows`` texts of at most ``sample_chars``: fetching them reads partitions one after
+    the other until there are enough, whatever the table's size.
+    """
+    some = df.filter(F.length(text) <= sample_chars).select(F.col(text).alias(text)).take(sample_rows)
+    rows = df.sparkSession.createDataFrame([(r[0],) for r in some], T.StructType([T.StructField(text, T.StringType())]))
+    sample = measure(rows, text).filter(~F.col("base_failed")).persist()
     try:
         total, ranked = sample.count(), []
         for k, rule in enumerate(rules):
@@ -114,11 +124,11 @@ def plan(measured: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
         sample.unpersist()
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def cascade(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``df`` with its measures, ``base_failed``, ``rejected_by`` (a rule's name or null) and ``kept``."""
     measured = measure(df, text)
     verdict = F.when(F.col("base_failed"), F.lit("base"))
-    for rule in plan(measured, rules, text, sample_rows):
+    for rule in plan(df, rules, text, sample_rows):
         verdict = verdict.when(_rejects(rule, text), F.lit(rule.name))
     out = _once(measured.drop("rejected_by", "kept"), rejected_by=verdict)
     return out.withColumn("kept", F.col("rejected_by").isNull())

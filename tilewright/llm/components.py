@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step groups links by a node, takes the least neighbour and hangs the other neighbours on it; the number of
-steps grows with the logarithm of the nodes. Least neighbours are aggregated before they are shuffled, and links
-meet them in a join, whose skewed partitions Spark splits; no node's links are gathered in one place.
+steps grows with the logarithm of the nodes. A link (u, v), u above v, meets only the least of v's lesser
+neighbours, so that the many links of a star's centre pass through a join with a small table, whose skewed partitions
+Spark splits; minima are aggregated before they are shuffled, and no node's links are gathered in one place.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = checkpointed(now)
     before = None
     while True:
-        # large-star: a node's larger neighbours hang on its least neighbour, itself included
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # large-star: a node's larger neighbours hang on its least neighbour, or on itself if none is less. The table
+        # is checkpointed so that both sides of the join are shuffled by it, which lets Spark split a crowded key.
+        least = checkpointed(_least(now)).select(F.col("u").alias("v"), "m")
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         # small-star: a node and its smaller neighbours hang on the least of them
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -33,6 +33,8 @@ PER_CLASS = 3000
 SAMPLE_CHARS = 20_000
 EPOCHS = 8
 LEAST_UPDATES = 400
+#: Spread of new embeddings: near nothing, so that n-grams never trained on add no noise.
+INIT = 0.001
 REMEMBERED = 300_000
 STRIP = "\"'.,!?;:()[]{}"
 
@@ -127,7 +129,7 @@ class Model:
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int = DIMS, epochs: int = EPOCHS, rate: float = 0.5, batch: int = 64, decay: float = 1e-6, seed: int = 7) -> Model:
     """Bucket scores from (label, buckets, weights) rows: embeddings and softmax by AdaGrad on cross entropy."""
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (BUCKETS, dims)).astype(np.float32)
+    emb = rng.normal(0, INIT, (BUCKETS, dims)).astype(np.float32)
     out = np.zeros((dims, 2), np.float32)
     out[:, 1] = rng.normal(0, 0.1, dims)
     out[:, 0] = -out[:, 1]

@@ -76,3 +76,24 @@ def test_cells_find_what_the_inequality_join_finds(spark):
     for cell in (64, 512):
         got = spatial_join(r, a, cell).select("rid", "aid").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("rid", "aid").collect())) and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize("tile,overlap,mode,order", [((100, 100), (0, 0), "overflow", "F"), ((64, 48), (16, 8), "skip", "C"), ((37, 91), (0, 0), "overflow", "C")])
+@pytest.mark.parametrize("threshold", [None, 0.0, 0.3, 1.0])
+def test_grids_from_the_annotations_side(spark, annotations, tile, overlap, mode, order, threshold):
+    """Tiles made from the annotations are those that the join over all tiles keeps."""
+    slide = spark.createDataFrame([("s", 1000, 1000, 0.25, [(100, 100, 500, 300), (300, 600, 600, 400)])], "slide_id string, width int, height int, mpp double, rois array<struct<x:int,y:int,w:int,h:int>>")
+    how = {"overlap": overlap, "mode": mode, "order": order}
+    key = lambda df: sorted((r["region_index"], r["k"], r["ix"], r["iy"], r["x"], r["y"], r["w"], r["h"]) for r in df.collect())
+    for more in ({}, {"rois": "rois"}):
+        tiles = T.standard_tiling(slide, 0.5, tile, **how, **more)
+        assert key(M.masked_grid(slide, annotations, threshold, 0.5, tile, **how, **more)) == key(M.masked_tiles(tiles, annotations, threshold))
+
+
+def test_grid_reads_see_what_region_reads_see(spark, annotations):
+    from tilewright.operators import annotations as A
+
+    slide = spark.createDataFrame([("s", 1000, 1000, 0.25)], "slide_id string, width int, height int, mpp double")
+    layers = annotations.select("*", F.lit("L").alias("label"))
+    key = lambda df: sorted((r["region_index"], r["layer_idx"], str(r["rings"])) for r in df.collect())
+    assert key(A.read_grid(slide, layers, 0.5, (64, 64), overlap=(8, 8))) == key(A.read_regions(T.standard_tiling(slide, 0.5, (64, 64), (8, 8)), layers))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import AnnotationError
 from ..functions import geometry as G
 from ..model import RINGS, AnnotationSorting
+from . import tiling as T
 from .clip import clip_parts
 
 #: Side of a cell in level-0 pixels.
@@ -48,26 +49,42 @@ def spatial_join(regions: DataFrame, annotations: DataFrame, cell: int = CELL, h
     return met.filter(meets & here).drop("_cx", "_cy")
 
 
-def read_regions(regions: DataFrame, annotations: DataFrame, cell: int = CELL, shapes: str = "any") -> DataFrame:
-    """What each region sees: annotations clipped to it, in tile-local coordinates, one row per part.
+def grid_join(slides: DataFrame, annotations: DataFrame, mpp: float | None, tile: tuple[int, int], overlap: tuple[int, int] = (0, 0), mode: str = "overflow", order: str = "C", rois: str | None = None, limit_bounds: bool = True) -> DataFrame:
+    """The pairs that ``spatial_join`` finds between a standard tiling and annotations with bounds, without making a
+    tile that no annotation reaches: the columns and rows under an annotation's box follow from its grid's step.
 
-    ``regions``: slide_id, x, y, w, h, scaling and others; ``annotations``: slide_id, layer_idx, label,
-    annotation_type, color, z_index, rings. Points on the edge count; areas that only touch it don't. Boxes and
-    other upright rectangles stay in the JVM; other polygons go through a vectorised function unless ``shapes`` is
-    "boxes". A box that is no rectangle any more becomes a polygon; part numbers tell split polygons apart.
+    Slides meet annotations in one join on slide_id; the rest is row by row.
     """
+    found = T.lattice(T.extents(slides, mpp, rois, limit_bounds), tile, overlap, mode).withColumn("_start", T.first_region(tile, overlap, mode, rois))
+    keep = ["slide_id", "grid_index", "scaling", "view_mpp", "view_w", "view_h", "off_x", "off_y", "nx", "ny", "step_x", "step_y", "_start"]
+    met = found.select(*keep).join(annotations, "slide_id")
+    for axis, n, size in (("x", "nx", tile[0]), ("y", "ny", tile[1])):
+        low, high = (F.col(f"a{axis}{k}") * F.col("scaling") - F.col(f"off_{axis}") for k in (0, 1))
+        first = F.greatest(F.lit(0), F.ceil((low - size) / F.col(f"step_{axis}")).cast("int"))
+        last = F.least(F.col(n) - 1, F.floor(high / F.col(f"step_{axis}")).cast("int"))
+        met = met.withColumns({"_a": first, "_z": last}).filter("_a <= _z").withColumn(f"i{axis}", F.explode(F.sequence("_a", "_z")))
+    met = T.placed(met.drop("_a", "_z").withColumn("k", T.number(order)), tile).withColumn("region_index", F.col("_start") + F.col("k"))
+    made = with_query_box(met)
+    # the arithmetic of steps may round: the boxes decide
+    meets = (F.col("ax0") <= F.col("rx1")) & (F.col("ax1") >= F.col("rx0")) & (F.col("ay0") <= F.col("ry1")) & (F.col("ay1") >= F.col("ry0"))
+    return made.filter(meets).drop("_start", "step_x", "step_y")
+
+
+def _known(annotations: DataFrame) -> DataFrame:
+    """Annotations with bounds and what clipping asks of each of them once."""
     rings = F.col("rings")
-    known = with_bounds(annotations).withColumns({"_upright": G.is_upright_box(rings), "_flat": G.polygon_area(rings) == 0})
-    pairs = spatial_join(with_query_box(regions), known, cell)
+    return with_bounds(annotations).withColumns({"_upright": G.is_upright_box(rings), "_flat": G.polygon_area(rings) == 0})
+
+
+def _seen(pairs: DataFrame, shapes: str) -> DataFrame:
     box = F.struct(F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
     edges = [F.col(k) for k in ("rx0", "ry0", "rx1", "ry1")]
-    point, upright = F.col("annotation_type") == "POINT", F.col("_upright")
+    point, upright, flat = F.col("annotation_type") == "POINT", F.col("_upright"), F.col("_flat")
     inside = (F.col("ax0") >= edges[0]) & (F.col("ay0") >= edges[1]) & (F.col("ax1") <= edges[2]) & (F.col("ay1") <= edges[3])
     one = F.array(F.col("rings"))
     none = F.array().cast(f"array<{RINGS}>")
     clipped = F.when(G.box_overlap(box, *edges) > 0, F.array(G.clip_box(box, *edges))).otherwise(none)
-    flat = F.col("_flat")  # without area before: survives as it is
-    parts = F.when(point | flat | inside, one).when(upright, clipped)
+    parts = F.when(point | flat | inside, one).when(upright, clipped)  # without area before: survives as it is
     if shapes == "any":
         rest = ~(point | flat | inside | upright)
         parts = F.coalesce(parts, clip_parts(F.when(rest, F.col("rings")), *edges))
@@ -78,6 +95,22 @@ def read_regions(regions: DataFrame, annotations: DataFrame, cell: int = CELL, s
     return seen.withColumns({"annotation_type": kind, "rings": local}).drop("_rings", "_upright", "_flat", "rx0", "ry0", "rx1", "ry1", "ax0", "ay0", "ax1", "ay1")
 
 
+def read_regions(regions: DataFrame, annotations: DataFrame, cell: int = CELL, shapes: str = "any") -> DataFrame:
+    """What each region sees: annotations clipped to it, in tile-local coordinates, one row per part.
+
+    ``regions``: slide_id, x, y, w, h, scaling and others; ``annotations``: slide_id, layer_idx, label,
+    annotation_type, color, z_index, rings. Points on the edge count; areas that only touch it don't. Boxes and
+    other upright rectangles stay in the JVM; other polygons go through a vectorised function unless ``shapes`` is
+    "boxes". A box that is no rectangle any more becomes a polygon; part numbers tell split polygons apart.
+    """
+    return _seen(spatial_join(with_query_box(regions), _known(annotations), cell), shapes)
+
+
+def read_grid(slides: DataFrame, annotations: DataFrame, mpp: float | None, tile: tuple[int, int], shapes: str = "any", **tiling) -> DataFrame:
+    """``read_regions`` for all tiles of a standard tiling; see ``grid_join``."""
+    return _seen(grid_join(slides, _known(annotations), mpp, tile, **tiling), shapes)
+
+
 def filter_labels(annotations: DataFrame, labels: str | Sequence[str]) -> DataFrame:
     return annotations.filter(F.col("label").isin(*([labels] if isinstance(labels, str) else labels)))
 

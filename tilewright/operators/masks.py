@@ -11,26 +11,47 @@ from pyspark.sql import functions as F
 
 from ..errors import TilewrightError
 from ..functions import geometry as G
-from .annotations import CELL, spatial_join, with_bounds, with_query_box
+from . import tiling as T
+from .annotations import CELL, grid_join, spatial_join, with_bounds, with_query_box
 
 
 def _passes(fraction: Column, threshold: float) -> Column:
     return (fraction > threshold) | (F.lit(threshold == 1.0) & (fraction == 1.0))
 
 
+def _shapes(annotations: DataFrame) -> DataFrame:
+    areas = annotations.filter(F.col("annotation_type") != "POINT").select("slide_id", "rings")
+    return with_bounds(areas).withColumn("_upright", G.is_upright_box(F.col("rings")))
+
+
+def _share() -> Column:
+    """The part of a tile that an annotation covers, in view pixels."""
+    box = F.struct(F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
+    edges = [F.col(k) for k in ("rx0", "ry0", "rx1", "ry1")]
+    part = F.when(F.col("_upright"), G.box_overlap(box, *edges)).otherwise(G.clipped_area(F.col("rings"), *edges))
+    return part * F.col("scaling") * F.col("scaling") / (F.col("w") * F.col("h"))
+
+
 def annotated_fraction(tiles: DataFrame, annotations: DataFrame, key: str = "region_index", cell: int = CELL) -> DataFrame:
     """(slide_id, key, fraction) of tiles that polygons reach: summed clipped areas over the tile's, in view pixels;
     where polygons overlap they count twice."""
     slim = with_query_box(tiles.select("slide_id", key, "x", "y", "w", "h", "scaling"))
-    shapes = with_bounds(annotations.filter(F.col("annotation_type") != "POINT").select("slide_id", "rings")).withColumn("_upright", G.is_upright_box(F.col("rings")))
-    pairs = spatial_join(slim, shapes, cell)
-    box = F.struct(F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
-    edges = [F.col(k) for k in ("rx0", "ry0", "rx1", "ry1")]
-    part = F.when(F.col("_upright"), G.box_overlap(box, *edges)).otherwise(G.clipped_area(F.col("rings"), *edges))
-    each = pairs.withColumn("_a", part * F.col("scaling") * F.col("scaling") / (F.col("w") * F.col("h")))
+    each = spatial_join(slim, _shapes(annotations), cell).withColumn("_a", _share())
     return each.groupBy("slide_id", key).agg(F.sum("_a").alias("fraction"))
 
 
+def masked_grid(slides: DataFrame, annotations: DataFrame, threshold: float | None, mpp: float | None, tile: tuple[int, int], **tiling) -> DataFrame:
+    """``masked_tiles`` of a standard tiling by annotations, made from the annotations' side: only tiles that one
+    reaches become rows, and the only shuffles are the join on slide_id and the sum by tile."""
+    if threshold is None or threshold < 0:
+        return T.standard_tiling(slides, mpp, tile, **tiling)
+    pairs = grid_join(slides, _shapes(annotations), mpp, tile, **tiling).withColumn("_a", _share())
+    by = ["slide_id", "grid_index", "region_index"]
+    same = ["k", "ix", "iy", "nx", "ny", "x", "y", "w", "h", "scaling", "view_mpp", "view_w", "view_h"]  # one value a tile
+    shares = pairs.groupBy(*by).agg(F.sum("_a").alias("fraction"), *(F.first(c).alias(c) for c in same))
+    return shares.filter(_passes(F.col("fraction"), threshold))
+
+
 def raster_fraction(tiles: DataFrame, masks: DataFrame, key: str = "region_index") -> DataFrame:
     """(slide_id, key, fraction) by the sum of mask pixels under a tile over its area in mask pixels.
 

@@ -51,23 +51,37 @@ def indexed_mesh(df: DataFrame, axes: Sequence[str], out: Sequence[str]) -> Data
     return df
 
 
+def lattice(extents: DataFrame, tile: tuple[float, float], overlap: tuple[float, float] = (0, 0), mode: str = "skip") -> DataFrame:
+    """Each extent that holds a tile with its columns and rows nx, ny and the steps step_x, step_y between tiles."""
+    check_tiling((1, 1), tile, overlap)
+    tw, th, ow, oh = (F.lit(float(v)) for v in (*tile, *overlap))
+    wide, high = F.col("size_w").cast("double"), F.col("size_h").cast("double")
+    made = extents.withColumns({"nx": axis_count(wide, tw, ow, mode), "ny": axis_count(high, th, oh, mode), "step_x": stride(wide, tw, ow), "step_y": stride(high, th, oh)})
+    return made.filter((F.col("nx") > 0) & (F.col("ny") > 0))
+
+
+def placed(tiles: DataFrame, tile: tuple[float, float]) -> DataFrame:
+    """Add x, y, w and h of tiles with ix and iy."""
+    at = {"x": F.col("ix") * F.col("step_x") + F.col("off_x"), "y": F.col("iy") * F.col("step_y") + F.col("off_y")}
+    return tiles.withColumns({**at, "w": F.lit(int(tile[0])), "h": F.lit(int(tile[1]))})
+
+
+def number(order: str) -> Column:
+    """A tile's number in its grid, from ix and iy."""
+    c = F.col("iy") * F.col("nx") + F.col("ix") if GridOrder(order) is GridOrder.C else F.col("ix") * F.col("ny") + F.col("iy")
+    return c.cast("int")
+
+
 def grid(extents: DataFrame, tile: tuple[float, float], overlap: tuple[float, float] = (0, 0), mode: str = "skip", order: str = "C") -> DataFrame:
     """Tiles of each extent: ``extents`` has off_x, off_y, size_w, size_h; adds k, ix, iy, nx, ny, x, y, w and h.
 
     Order C numbers along x first, F along y first.
     """
-    check_tiling((1, 1), tile, overlap)
-    tw, th, ow, oh = (F.lit(float(v)) for v in (*tile, *overlap))
-    wide, high = F.col("size_w").cast("double"), F.col("size_h").cast("double")
-    made = extents.withColumns({"nx": axis_count(wide, tw, ow, mode), "ny": axis_count(high, th, oh, mode), "_sx": stride(wide, tw, ow), "_sy": stride(high, th, oh)})
-    made = made.filter((F.col("nx") > 0) & (F.col("ny") > 0)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)))
+    made = lattice(extents, tile, overlap, mode).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)))
     by = "nx" if GridOrder(order) is GridOrder.C else "ny"
     first, second = F.pmod(F.col("k"), F.col(by)), F.floor(F.col("k") / F.col(by)).cast("int")
     ix, iy = (first, second) if by == "nx" else (second, first)
-    made = made.withColumns({"ix": ix, "iy": iy})
-    return made.withColumns(
-        {"x": F.col("ix") * F.col("_sx") + F.col("off_x"), "y": F.col("iy") * F.col("_sy") + F.col("off_y"), "w": F.lit(int(tile[0])), "h": F.lit(int(tile[1]))}
-    ).drop("_sx", "_sy")
+    return placed(made.withColumns({"ix": ix, "iy": iy}), tile).drop("step_x", "step_y")
 
 
 def parse_rois(rois: Column, scaling: Column, width: Column | None = None, height: Column | None = None, strict: bool = False) -> Column:
@@ -103,6 +117,15 @@ def extents(slides: DataFrame, mpp: float | None, rois: str | None = None, limit
     return rows.withColumns({"off_x": F.col("_e.x"), "off_y": F.col("_e.y"), "size_w": F.col("_e.w"), "size_h": F.col("_e.h")}).drop("_e")
 
 
+def first_region(tile: tuple[int, int], overlap: tuple[int, int], mode: str, rois: str | None) -> Column:
+    """Tiles of the slide's grids before this one: their number follows from their extents, no shuffle is needed."""
+    if rois is None:
+        return F.lit(0).cast("long")
+    tw, th, ow, oh = (F.lit(float(v)) for v in (*tile, *overlap))
+    sizes = F.transform(parse_rois(F.col(rois), F.col("scaling")), lambda r: (axis_count(r["w"].cast("double"), tw, ow, mode) * axis_count(r["h"].cast("double"), th, oh, mode)).cast("long"))
+    return F.aggregate(F.slice(sizes, 1, F.col("grid_index")), F.lit(0).cast("long"), lambda a, v: a + v)
+
+
 def standard_tiling(
     slides: DataFrame,
     mpp: float | None,
@@ -121,13 +144,7 @@ def standard_tiling(
     ``ix, iy`` are the true column and row.
     """
     tiles = grid(extents(slides, mpp, rois, limit_bounds), tile, overlap, mode, order)
-    if rois is None:
-        start = F.lit(0).cast("long")
-    else:
-        # grids before this one: their sizes follow from their extents, no shuffle is needed
-        tw, th, ow, oh = (F.lit(float(v)) for v in (*tile, *overlap))
-        sizes = F.transform(parse_rois(F.col(rois), F.col("scaling")), lambda r: (axis_count(r["w"].cast("double"), tw, ow, mode) * axis_count(r["h"].cast("double"), th, oh, mode)).cast("long"))
-        start = F.aggregate(F.slice(sizes, 1, F.col("grid_index")), F.lit(0).cast("long"), lambda a, v: a + v)
+    start = first_region(tile, overlap, mode, rois)
     tiles = tiles.withColumns({"region_index": start + F.col("k"), "local_i": F.floor(F.col("k") / F.col("ny")).cast("int"), "local_j": F.pmod(F.col("k"), F.col("ny"))})
     return recentred(tiles, output_tile) if output_tile else tiles
 

@@ -228,8 +228,7 @@ def _boxes(spark, sf_dir):
 
 
 def _masked(spark, sf_dir, threshold):
-    tiles = _tiles(spark, sf_dir, 0.5, (32, 32))
-    return M.masked_tiles(tiles, _boxes(spark, sf_dir), threshold).select("slide_id", "region_index", "x", "y")
+    return M.masked_grid(D.slides(spark, sf_dir), _boxes(spark, sf_dir), threshold, 0.5, (32, 32)).select("slide_id", "region_index", "x", "y")
 
 
 @query(MASKED.format(where="fraction > 0"))
@@ -306,11 +305,17 @@ READ = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, D.tiles_sql(SCALE, 128, 1
 
 @query(_with(*READ, select="SELECT slide_id, region_index, layer_idx::BIGINT AS layer_idx, label, cx0 * scaling - x AS x0, cy0 * scaling - y AS y0, cx1 * scaling - x AS x1, cy1 * scaling - y AS y1 FROM seen WHERE annotation_type = 'BOX' AND cx1 > cx0 AND cy1 > cy0"))
 def ann_read_region(spark, sf_dir):
-    got = A.read_regions(_tiles(spark, sf_dir, 0.5, (128, 128)), _boxes(spark, sf_dir), shapes="boxes").filter("annotation_type = 'BOX'")
+    got = A.read_grid(D.slides(spark, sf_dir), _boxes(spark, sf_dir), 0.5, (128, 128), "boxes").filter("annotation_type = 'BOX'")
     b = G.bounds(F.col("rings"))
     return got.select("slide_id", "region_index", "layer_idx", "label", *(b[k].alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.tiles_sql(SCALE, 64, 64), FRACTIONS, select="SELECT slide_id, region_index, fraction FROM shares"))
+def annotated_fraction(spark, sf_dir):
+    """The general join by cells, for regions of any kind."""
+    return M.annotated_fraction(_tiles(spark, sf_dir, 0.5, (64, 64)), _boxes(spark, sf_dir)).filter("fraction > 0")
+
+
 @query(_with(*READ, select="SELECT slide_id, region_index, layer_idx::BIGINT AS layer_idx, x0 * scaling - x AS px, y0 * scaling - y AS py FROM seen WHERE annotation_type = 'POINT'"))
 def ann_points_in_tile(spark, sf_dir):
     points = D.annotations(spark, sf_dir).filter("annotation_type = 'POINT'")
@@ -323,7 +328,7 @@ def ann_points_in_tile(spark, sf_dir):
 def ann_polygons_in_tile(spark, sf_dir):
     """Clipped diamonds with their pieces' areas; tests/test_clip.py holds them against brute force."""
     shapes = D.annotations(spark, sf_dir).filter("annotation_type = 'POLYGON'")
-    got = A.read_regions(_tiles(spark, sf_dir, 0.5, (128, 128)), shapes)
+    got = A.read_grid(D.slides(spark, sf_dir), shapes, 0.5, (128, 128))
     return got.select("slide_id", "region_index", "layer_idx", "part", F.size(F.col("rings")[0]).alias("corners"), F.round(G.polygon_area(F.col("rings")), 6).alias("area"))
 
 

@@ -54,7 +54,7 @@ def image(w, h, bands):
     return np.stack([(x * 7 + y * 3 + 40 * b) % 251 for b in range(bands)], -1).astype(np.uint8)
 
 
-@pytest.mark.parametrize("compression", ["none", "deflate"])
+@pytest.mark.parametrize("compression", ["none", "deflate", "packbits", "zstd"])
 @pytest.mark.parametrize("w,h,bands", [(300, 200, 3), (256, 512, 1), (1024, 256, 4)])
 def test_tiff_round_trip(spark, tmp_path, w, h, bands, compression):
     path, pixels = str(tmp_path / "x.tiff"), image(w, h, bands)

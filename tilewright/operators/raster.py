@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.slide import best_level, level_at
 from ..model import BoundaryMode
@@ -180,3 +181,22 @@ def cut_tiles(image: np.ndarray, tile: tuple[int, int]) -> list[tuple[int, int,
     """(tile_row, tile_col, pixels) in row-major order, the last ones smaller."""
     w, h = tile
     return [(r // h, c // w, image[r : r + h, c : c + w]) for r in range(0, image.shape[0], h) for c in range(0, image.shape[1], w)]
+
+
+@F.arrow_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("bands", T.IntegerType()), T.StructField("data", T.BinaryType())]))
+def _pasted(image: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+    rows = []
+    for i, *at in zip(image.to_pylist(), *(c.to_pylist() for c in (x, y, w, h)), strict=True):
+        px, py, width, height = (int(v) for v in at)
+        if (px, py, width, height) == (0, 0, i["width"], i["height"]):
+            rows.append(i)
+            continue
+        canvas = np.zeros((height, width, i["bands"]), np.uint8)
+        canvas[py : py + i["height"], px : px + i["width"]] = np.frombuffer(i["data"], np.uint8).reshape(i["height"], i["width"], i["bands"])
+        rows.append({"width": width, "height": height, "bands": i["bands"], "data": canvas.tobytes()})
+    return pa.array(rows, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("bands", pa.int32()), ("data", pa.binary())]))
+
+
+def pasted(image: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The image on a black canvas of w x h at (x, y)."""
+    return _pasted(image, x, y, w, h)

@@ -1,7 +1,8 @@
 """Tiled TIFF files: a numpy parser and writer, and a Spark data source of their tiles.
 
 ``spark.read.format("tiled_tiff").load(path)`` gives the tile table; options ``level``, ``x``, ``y``, ``w``, ``h`` prune
-it to the tiles that a window of a level overlaps before any is read. Uncompressed and deflated tiles are supported.
+it to the tiles that a window of a level overlaps before any is read. Uncompressed, deflated, PackBits and zstd tiles are
+supported; the codecs of photographs need libraries that are not here.
 Files are opened by pyarrow's file systems, so that every executor can read its own tiles.
 """
 
@@ -25,7 +26,7 @@ TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 12: (
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, SAMPLES = 256, 257, 258, 259, 262, 277
 X_RESOLUTION, Y_RESOLUTION, UNIT, SOFTWARE, COLOR_MAP = 282, 283, 296, 305, 320
 TILE_WIDTH, TILE_LENGTH, OFFSETS, BYTES, SUBFILE, DESCRIPTION = 322, 323, 324, 325, 254, 270
-CODES = {1: Compression.NONE, 8: Compression.DEFLATE, 32946: Compression.DEFLATE}
+CODES = {1: Compression.NONE, 8: Compression.DEFLATE, 32946: Compression.DEFLATE, 32773: Compression.PACKBITS, 50000: Compression.ZSTD}
 #: Micrometres in a resolution unit.
 UNITS = {2: 25400.0, 3: 10000.0, 4: 1000.0, 5: 1.0}
 
@@ -72,6 +73,56 @@ class Page:
         return ratio(X_RESOLUTION), ratio(Y_RESOLUTION)
 
 
+def pack_bits(raw: bytes) -> bytes:
+    """Runs of two or more bytes as (257 - n, byte), others as (n - 1, bytes)."""
+    out, literal, i = bytearray(), bytearray(), 0
+
+    def flush() -> None:
+        for k in range(0, len(literal), 128):
+            part = literal[k : k + 128]
+            out.append(len(part) - 1)
+            out.extend(part)
+        literal.clear()
+
+    while i < len(raw):
+        j = i + 1
+        while j < len(raw) and j - i < 128 and raw[j] == raw[i]:
+            j += 1
+        if j - i > 1:
+            flush()
+            out.extend((257 - (j - i), raw[i]))
+        else:
+            literal.append(raw[i])
+        i = j
+    flush()
+    return bytes(out)
+
+
+def unpack_bits(raw: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(raw):
+        n = raw[i]
+        if n < 128:
+            out += raw[i + 1 : i + 2 + n]
+            i += 2 + n
+        else:
+            if n > 128:
+                out += raw[i + 1 : i + 2] * (257 - n)
+            i += 2
+    return bytes(out)
+
+
+def _zstd():
+    import zstandard
+
+    return zstandard
+
+
+ENCODERS = {Compression.NONE: bytes, Compression.DEFLATE: lambda b: zlib.compress(b, 6), Compression.PACKBITS: pack_bits, Compression.ZSTD: lambda b: _zstd().ZstdCompressor().compress(b)}
+DECODERS = {Compression.NONE: bytes, Compression.DEFLATE: zlib.decompress, Compression.PACKBITS: unpack_bits, Compression.ZSTD: lambda b: _zstd().ZstdDecompressor().decompress(b)}
+TAG_OF = {Compression.NONE: 1, Compression.DEFLATE: 8, Compression.PACKBITS: 32773, Compression.ZSTD: 50000}
+
+
 def read_pages(f) -> list[Page]:
     f.seek(0)
     head = f.read(16)
@@ -115,7 +166,7 @@ def read_tile(f, page: Page, row: int, col: int) -> np.ndarray:
         raw, code = f.read(n), CODES.get(page.one(COMPRESSION, 1))
         if code is None:
             raise UnsupportedSlideError(f"unsupported compression {page.one(COMPRESSION)}")
-        pixels = np.frombuffer(zlib.decompress(raw) if code is Compression.DEFLATE else raw, np.uint8).reshape(th, tw, page.bands)
+        pixels = np.frombuffer(DECODERS[code](raw), np.uint8).reshape(th, tw, page.bands)
     return pixels[: min(th, h - row * th), : min(tw, w - col * tw)]
 
 
@@ -212,7 +263,7 @@ class TiffWriter:
     def __init__(self, path: str, size: tuple[int, int, int], mpp: tuple[float, float], tile: tuple[int, int] = (512, 512), pyramid: bool = False, colormap: dict[int, tuple[int, int, int]] | None = None, compression: str = "deflate", is_mask: bool = False, metadata: dict | None = None):
         """``size`` is width, height, bands."""
         kind = Compression(compression)
-        if kind not in (Compression.NONE, Compression.DEFLATE):
+        if kind not in ENCODERS:
             raise NotImplementedError(f"no encoder for {kind.value}")
         if colormap is not None and size[2] != 1:
             raise ValueError("a colour map needs a single band")
@@ -231,7 +282,7 @@ class TiffWriter:
         per_cm = [1 / m * 10000 / 2**level for m in self.mpp]
         out = [
             (SUBFILE, 4, [1 if level else 0]), (WIDTH, 4, [size[0]]), (LENGTH, 4, [size[1]]), (BITS, 3, [8] * bands),
-            (COMPRESSION, 3, [8 if self.compression is Compression.DEFLATE else 1]), (PHOTOMETRIC, 3, [3 if self.colormap else 2 if bands >= 3 else 1]), (SAMPLES, 3, [bands]),
+            (COMPRESSION, 3, [TAG_OF[self.compression]]), (PHOTOMETRIC, 3, [3 if self.colormap else 2 if bands >= 3 else 1]), (SAMPLES, 3, [bands]),
             (X_RESOLUTION, 5, [round(per_cm[0] * 10_000), 10_000]), (Y_RESOLUTION, 5, [round(per_cm[1] * 10_000), 10_000]), (UNIT, 3, [3]),
             (TILE_WIDTH, 4, [self.tile[0]]), (TILE_LENGTH, 4, [self.tile[1]]), (OFFSETS, 16, offsets), (BYTES, 16, counts),
         ]
@@ -259,7 +310,7 @@ class TiffWriter:
                     t = t.reshape(t.shape[0], t.shape[1], -1)
                     full = np.zeros((self.tile[1], self.tile[0], self.size[2]), np.uint8)
                     full[: t.shape[0], : t.shape[1]] = t
-                    raw = zlib.compress(full.tobytes(), 6) if self.compression is Compression.DEFLATE else full.tobytes()
+                    raw = ENCODERS[self.compression](full.tobytes())
                     offsets.append(f.tell())
                     counts.append(len(raw))
                     f.write(raw)

@@ -37,7 +37,7 @@ SHARED = 3
 SAMPLE = 2000
 #: Pivots of the sample are at most this near to one another.
 APART = 0.5
-CHUNK = 1024
+CHUNK = 256
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -18,7 +18,9 @@ from ..operators import annotations as A
 from ..operators import masks as M
 from ..operators import raster as R
 from ..operators import rasterize as Z
+from ..operators import samples
 from ..operators import tiling as T
+from ..sources import geojson
 from . import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,6 +413,34 @@ def _corners(spark, sf_dir):
     return rows.withColumns({"rings": F.array(F.array(G.point(b["x0"], b["y0"]))), "annotation_type": F.lit("POINT")})
 
 
+def _double(sql: str) -> str:
+    return f"({sql})::DOUBLE::VARCHAR"
+
+
+WKT_SQL = f"""CASE annotation_type
+  WHEN 'POINT' THEN 'POINT (' || {_double('x0')} || ' ' || {_double('y0')} || ')'
+  WHEN 'BOX' THEN 'POLYGON ((' || array_to_string([{', '.join(f"{_double(x)} || ' ' || {_double(y)}" for x, y in (('x0', 'y0'), ('x0 + aw', 'y0'), ('x0 + aw', 'y0 + ah'), ('x0', 'y0 + ah'), ('x0', 'y0')))}], ', ') || '))'
+  ELSE 'POLYGON ((' || array_to_string([{', '.join(f"{_double(x)} || ' ' || {_double(y)}" for x, y in (('x0', 'y0 + ah'), ('x0 + aw', 'y0'), ('x0 + 2 * aw', 'y0 + ah'), ('x0 + aw', 'y0 + 2 * ah'), ('x0', 'y0 + ah')))}], ', ') || '))' END"""
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select=f"SELECT slide_id, layer_idx::BIGINT AS layer_idx, {WKT_SQL} AS wkt FROM annotations"))
+def ann_wkt(spark, sf_dir):
+    return D.annotations(spark, sf_dir).select("slide_id", "layer_idx", G.wkt(F.col("annotation_type"), F.col("rings")).alias("wkt"))
+
+
+@query()
+def ann_geojson(spark, sf_dir):
+    """A document for each slide; tests/test_annotations.py reads one back."""
+    return geojson.documents(D.annotations(spark, sf_dir))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.tiles_sql(SCALE, 32, 32), FRACTIONS, select="SELECT s.slide_id, (row_number() OVER (PARTITION BY s.slide_id ORDER BY s.region_index) - 1)::BIGINT AS sample_index, s.region_index, 0::BIGINT AS grid_index, (k // ny)::BIGINT AS local_i, (k % ny)::BIGINT AS local_j, x, y, view_mpp AS mpp, coalesce(quality, -1)::BIGINT AS quality FROM shares s JOIN tiles t ON s.slide_id = t.slide_id AND s.region_index = t.region_index LEFT JOIN labels ON s.slide_id = doc_id WHERE fraction > 0.5"))
+def tile_sample_rows(spark, sf_dir):
+    made = samples.tile_samples(D.slides(spark, sf_dir), 0.5, (32, 32), mask=_boxes(spark, sf_dir), mask_threshold=0.5, labels=D.image_labels(spark, sf_dir))
+    local, at = F.col("grid_local_coordinates"), F.col("coordinates")
+    return made.select("slide_id", "sample_index", "region_index", "grid_index", local["i"].alias("local_i"), local["j"].alias("local_j"), at["x"].alias("x"), at["y"].alias("y"), "mpp", F.coalesce(F.col("labels")["quality"].cast("long"), F.lit(-1)).alias("quality"))
+
+
 # --- rasterising
 
 LOCAL = """
@@ -528,6 +558,31 @@ def read_plan(spark, sf_dir):
     return R.plan_reads(rows).select("slide_id", "scaling", "level", "patch_x", "patch_y", "patch_w", "patch_h")
 
 
+@query(_with(D.SLIDES_SQL, "r AS (SELECT slide_id, width, height, -5.5::DOUBLE AS x, height - 40.0::DOUBLE AS y FROM slides)", select="SELECT slide_id, x + greatest(0, -x) AS read_x, y + greatest(0, -y) AS read_y, greatest(0, trunc(greatest(0, least(x + 64, width)) - x - greatest(0, -x)))::BIGINT AS read_w, greatest(0, trunc(greatest(0, least(y + 48, height)) - y - greatest(0, -y)))::BIGINT AS read_h, floor(greatest(0, -x))::BIGINT AS paste_x, floor(greatest(0, -y))::BIGINT AS paste_y, 64::BIGINT AS out_w, 48::BIGINT AS out_h FROM r"))
+def region_boundary(spark, sf_dir):
+    rows = D.slides(spark, sf_dir).withColumns({"x": F.lit(-5.5), "y": F.col("height") - F.lit(40.0), "w": F.lit(64), "h": F.lit(48), "view_w": F.col("width"), "view_h": F.col("height")})
+    return R.boundary(rows, "zero").select("slide_id", "read_x", "read_y", "read_w", "read_h", "paste_x", "paste_y", "out_w", "out_h")
+
+
+@query()
+def resample_lanczos(spark, sf_dir):
+    """8 x 8 images of one byte a pixel read at twice their size; tests/test_pixels.py holds the kernel."""
+    one = F.transform("embedding", lambda v: F.unhex(F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 128 + 128)))), 2, "0")))
+    data = F.aggregate(one, F.lit(b""), lambda a, b: F.concat(a, b))
+    table = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.lit(0).alias("level"), F.lit(0).alias("tile_row"), F.lit(0).alias("tile_col"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("bands"), data.alias("data"))
+    got = R.read_regions(_views(spark, sf_dir, 0, 0, 16, 16, 2.0), table, 8)
+    return got.select("slide_id", "width", "height", F.sha2("data", 256).alias("pixels_sha256"))
+
+
+@query("SELECT p_partkey AS slide_id, CASE WHEN p_partkey % 2 = 0 THEN 10000 / (100 + p_size)::DOUBLE ELSE -1 END AS mpp_x, CASE WHEN p_partkey % 2 = 0 THEN 10000 / (200 + p_size)::DOUBLE ELSE -1 END AS mpp_y FROM part")
+def tiff_mpp(spark, sf_dir):
+    text = {"openslide.library-version": F.when(F.col("p_partkey") % 2 == 0, F.lit("3.4.1")).otherwise(F.lit("4.0.0")), "openslide.vendor": F.lit("generic-tiff"), "tiff.ResolutionUnit": F.lit("centimeter"), "tiff.XResolution": (100 + F.col("p_size")).cast("string"), "tiff.YResolution": (200 + F.col("p_size")).cast("string")}
+    tags = F.create_map(*(c for k, v in text.items() for c in (F.lit(k), v)))
+    x, y = S.mpp_from_tiff(F.col("tags"))
+    rows = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide_id"), tags.alias("tags"))
+    return rows.select("slide_id", F.coalesce(x, F.lit(-1.0)).alias("mpp_x"), F.coalesce(y, F.lit(-1.0)).alias("mpp_y"))
+
+
 # --- colours
 
 

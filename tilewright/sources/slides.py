@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedSlideError
 from ..functions.slide import check_mpp
-from ..operators.raster import resize
+from ..operators.raster import flatten_alpha, resize
 from . import tiff
 
 
@@ -125,7 +125,7 @@ def thumbnail(path: str, box: tuple[int, int] = (512, 512)) -> np.ndarray:
     s = open_slide(path)
     ratio = min(box[0] / s["width"], box[1] / s["height"])
     size = (max(1, int(s["width"] * ratio)), max(1, int(s["height"] * ratio)))
-    return read_region(path, (0, 0), ratio, size)
+    return flatten_alpha(read_region(path, (0, 0), ratio, size))
 
 
 def resample(path: str, out: str, mpp: float, tile: tuple[int, int] = (512, 512), compression: str = "deflate", pyramid: bool = True) -> None:

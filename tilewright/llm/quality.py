@@ -89,7 +89,7 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("symbols", "6 * n_symbols > n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 16 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("few_letters", r"10 * length(regexp_replace({text}, '\\P{{L}}+', '')) < 7 * word_chars"),
@@ -161,7 +161,7 @@ m AS (
   FROM split s LEFT JOIN covered c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words
+       NOT (base_failed OR 6 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words
             OR 2 * n_dup_lines > n_lines
             OR 10 * length(regexp_replace(body, '\P{L}+', '', 'g')) < 7 * word_chars
             OR 10 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 4 * word_chars

@@ -36,6 +36,7 @@ def test_counts_equal_brute_force(spark):
     got = {(r["lang"], r["gram"]): r["n"] for r in language.count_grams(docs, "text", "lang").collect()}
     want: dict = {}
     for r in docs.collect():
+        want[(r["lang"], language.ROWS)] = want.get((r["lang"], language.ROWS), 0) + 1
         for g in language.grams([r["text"]])[0].tolist():
             want[(r["lang"], g)] = want.get((r["lang"], g), 0) + 1
     assert got == want

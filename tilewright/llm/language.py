@@ -17,6 +17,8 @@ output is replaced; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,6 +36,8 @@ HASHES = 4
 #: Distinct languages that may be learned: bitmasks are words of 62 bits, and the table is broadcast.
 MOST_LANGUAGES = 496
 WORD = 62
+#: Stands in place of an n-gram for the number of rows.
+ROWS = -1
 
 _LETTER = regex.compile(r"\p{L}").search
 #: ASCII letters and all bytes of other scripts stay, the rest are gaps.
@@ -63,10 +67,11 @@ def _slots(gram: np.ndarray, bits: int, hashes: int):
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, gram, n) over all rows with a text and a language, pre-aggregated by task."""
+    """(lang, gram, n) over all rows with a text and a language, pre-aggregated by task; gram ``ROWS`` counts the rows."""
 
     def run(batches):
         names: dict[str, int] = {}
+        rows: Counter = Counter()
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -80,6 +85,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 which = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()], np.uint64)
+                rows.update(part.column("lang").to_pylist())
                 gram, doc = grams(part.column("text").to_pylist())
                 key = np.sort(which[doc] << np.uint64(32) | gram)
                 if len(key):
@@ -94,6 +100,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                         held = 0
         if kept:
             yield from out(merged(kept), names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([ROWS] * len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
 
     def out(one, names):
         key, n = one
@@ -142,14 +149,15 @@ class Filters:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, keep_ratio: float = KEEP_RATIO, bits: int = SLOT_BITS, hashes: int = HASHES) -> Filters:
     """Filters of all languages in ``docs``."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
+    counted = cut(count_grams(docs, text, lang))
+    rows = counted.filter(F.col("gram") == ROWS).select("lang", F.col("n").alias("count")).limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [r["lang"] for r in sorted(rows, key=lambda r: (-r["count"], r["lang"]))]
     words = max(1, -(-len(languages) // WORD))
     found = np.zeros((words, 1 << bits), np.int64)
     if languages:
-        n = cut(count_grams(docs, text, lang))
+        n = counted.filter(F.col("gram") != ROWS)
         total = n.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language: at most MOST_LANGUAGES
         share = n.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
         share = share.filter(F.col("share") >= min_share)

@@ -29,6 +29,8 @@ NONE = np.iinfo(np.int32).max
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Pieces that a worker remembers with their ids; when full the memory starts anew.
 REMEMBERED = 200_000
+#: Bytes of text encoded at once: the more, the fewer and fuller the matrices.
+SLICE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -229,7 +231,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
         coder = Encoder(cached(raw.value, pattern))
         return lambda texts: [_lists(coder(texts), pa.int32())]
 
-    return map_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], start, [c for c in df.columns if c != text])
+    return map_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], start, [c for c in df.columns if c != text], SLICE)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", pattern: str = public_tokenizers.PATTERN) -> DataFrame:

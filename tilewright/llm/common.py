@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +70,12 @@ def map_text(
     fields: Sequence[T.StructField],
     start: Callable[[], Callable[[list], list]],
     keep: Sequence[str] | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Give ``df``'s columns ``keep`` (all, if None) and ``fields``, computed in Python from the column ``text``.
 
     ``start()`` runs once per task and returns a function from a list of texts (None where null) to one list
-    or Arrow array per field. A column of ``df`` whose name a field takes is replaced.
+    or Arrow array per field; the texts of a call have about ``most`` bytes. A column of ``df`` whose name a field takes is replaced.
     """
     new = [f.name for f in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
@@ -87,7 +88,7 @@ def map_text(
     def run(batches):
         work = start()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 made = work(part.column(text).to_pylist())
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 for f, values in zip(new, made, strict=True):

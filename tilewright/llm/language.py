@@ -38,6 +38,8 @@ MOST_LANGUAGES = 496
 WORD = 62
 #: Stands in place of an n-gram for the number of rows.
 ROWS = -1
+#: Bytes of text whose n-grams are handled at once; each takes some 60 bytes in arrays.
+SLICE = 1 << 19
 
 _LETTER = regex.compile(r"\p{L}").search
 #: ASCII letters and all bytes of other scripts stay, the rest are gaps.
@@ -83,7 +85,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             return key[first], np.add.reduceat(n, first)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 which = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()], np.uint64)
                 rows.update(part.column("lang").to_pylist())
                 gram, doc = grams(part.column("text").to_pylist())
@@ -184,7 +186,7 @@ def identify(df: DataFrame, filters: Filters, text: str = "text", lang_pred: str
         known = shared.value
         return lambda texts: list(known.predict(texts))
 
-    return map_text(df, text, [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())], start)
+    return map_text(df, text, [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())], start, most=SLICE)
 
 
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

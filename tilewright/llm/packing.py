@@ -30,7 +30,7 @@ from .common import cut, slices, table
 SIZE = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers are merged by one task.
-MERGED = 64
+MERGED = 16
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

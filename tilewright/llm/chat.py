@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, cut, table
+from .common import bound_batches, checkpointed, cut, table
 
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
 MOST_ROUNDS = 40
@@ -82,6 +82,7 @@ def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assis
 
     ``messages`` has tree, id, parent, role, text and score (null: 0).
     """
+    bound_batches(messages.sparkSession)
     rows = messages.select("tree", "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     found = paths(rows.select("tree", "id", "parent"))
     scored = found.join(rows.select("tree", "id", "score"), ["tree", "id"])

@@ -16,6 +16,19 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and Python: each task holds some of them in both, outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to ``BATCH_BYTES``, if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "-1")
+    plain = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else -1
+    if plain < 0 or plain > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +90,7 @@ def map_text(
     ``start()`` runs once per task and returns a function from a list of texts (None where null) to one list
     or Arrow array per field; the texts of a call have about ``most`` bytes. A column of ``df`` whose name a field takes is replaced.
     """
+    bound_batches(df.sparkSession)
     new = [f.name for f in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     use = list(dict.fromkeys([*keep, text]))

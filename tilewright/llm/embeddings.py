@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bound_batches, cut, table
 from .components import components
 
 COSINE = 0.98
@@ -82,6 +82,7 @@ def _stars(near: np.ndarray) -> list[tuple[int, int]]:
 def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     all_ = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     x = F.col("embedding")
     finite = F.forall(x, lambda v: F.coalesce((v == v) & (F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v), F.lit(False)))

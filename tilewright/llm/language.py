@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fold, map_text, slices, table
+from .common import bound_batches, cut, fold, map_text, slices, table
 
 UNDETERMINED = "und"
 MIN_SHARE = 2.0**-18
@@ -71,6 +71,8 @@ def _slots(gram: np.ndarray, bits: int, hashes: int):
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all rows with a text and a language, pre-aggregated by task; gram ``ROWS`` counts the rows."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         names: dict[str, int] = {}
         rows: Counter = Counter()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import bound_batches, cut, slices, table
 
 SIZE = 1024
 OPEN_WINDOWS = 64
@@ -135,6 +135,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = df.sparkSession
+    bound_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
     kind = df.schema[doc_id].dataType.simpleString()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, slices, table
+from .common import bound_batches, cut, fold, slices, table
 
 ORDER = 5
 MIN_SHARE = 2.0**-21
@@ -65,6 +65,8 @@ def keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 def count(docs: DataFrame, text: str, order: int) -> DataFrame:
     """(gram, word, n): counts of (context, symbol)s, the word null, and of words, the gram null."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         tally: Counter = Counter()

@@ -23,9 +23,8 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit on Arrow batches to ``BATCH_BYTES``, if it is higher."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1")
-    plain = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else -1
-    if plain < 0 or plain > BATCH_BYTES:
+    now = spark.conf.get(key).lower().rstrip("b")
+    if int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1], 1) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -20,6 +20,8 @@ from .clip import clip_parts
 
 #: Side of a cell in level-0 pixels.
 CELL = 512
+#: Tasks among which the annotations of one slide are dealt.
+SALTS = 16
 
 
 def with_bounds(annotations: DataFrame) -> DataFrame:
@@ -49,15 +51,17 @@ def spatial_join(regions: DataFrame, annotations: DataFrame, cell: int = CELL, h
     return met.filter(meets & here).drop("_cx", "_cy")
 
 
-def grid_join(slides: DataFrame, annotations: DataFrame, mpp: float | None, tile: tuple[int, int], overlap: tuple[int, int] = (0, 0), mode: str = "overflow", order: str = "C", rois: str | None = None, limit_bounds: bool = True) -> DataFrame:
+def grid_join(slides: DataFrame, annotations: DataFrame, mpp: float | None, tile: tuple[int, int], overlap: tuple[int, int] = (0, 0), mode: str = "overflow", order: str = "C", rois: str | None = None, limit_bounds: bool = True, salts: int = SALTS) -> DataFrame:
     """The pairs that ``spatial_join`` finds between a standard tiling and annotations with bounds, without making a
     tile that no annotation reaches: the columns and rows under an annotation's box follow from its grid's step.
 
-    Slides meet annotations in one join on slide_id; the rest is row by row.
+    Slides meet annotations in one join on slide_id and a salt, so that the annotations of one crowded slide are dealt
+    to ``salts`` tasks; a slide is a row or two, so that repeating it costs little. The rest is row by row.
     """
     found = T.lattice(T.extents(slides, mpp, rois, limit_bounds), tile, overlap, mode).withColumn("_start", T.first_region(tile, overlap, mode, rois))
     keep = ["slide_id", "grid_index", "scaling", "view_mpp", "view_w", "view_h", "off_x", "off_y", "nx", "ny", "step_x", "step_y", "_start"]
-    met = found.select(*keep).join(annotations, "slide_id")
+    dealt = annotations.withColumn("_salt", F.pmod(F.xxhash64("ax0", "ay0", "ax1", "ay1"), F.lit(salts)).cast("int"))
+    met = found.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")).join(dealt, ["slide_id", "_salt"]).drop("_salt")
     for axis, n, size in (("x", "nx", tile[0]), ("y", "ny", tile[1])):
         low, high = (F.col(f"a{axis}{k}") * F.col("scaling") - F.col(f"off_{axis}") for k in (0, 1))
         first = F.greatest(F.lit(0), F.ceil((low - size) / F.col(f"step_{axis}")).cast("int"))

@@ -23,7 +23,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +90,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     classes = cut(all_.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     drawn = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toArrow()["embedding"].combine_chunks()
     size = int(np.bincount(drawn.value_lengths().to_numpy()).argmax()) if len(drawn) else 1
-    main = choose_pivots(_matrix(drawn.filter(pa.compute.equal(drawn.value_lengths(), size))) if len(drawn) else np.empty((0, 1)), pivots)
+    main = choose_pivots(_matrix(drawn.filter(pc.equal(drawn.value_lengths(), size))) if len(drawn) else np.empty((0, 1)), pivots)
     points = spark.sparkContext.broadcast(main)  # pivots vectors of the sample
 
     def describe(batches):

@@ -41,10 +41,6 @@ HELD = 500_000
 SLICE = 1 << 18
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(context and symbol of every position, text of each)."""
     size = np.array([len(t) + order + 1 for t in texts], np.int64)

@@ -6,11 +6,11 @@ Embeddings and softmax are trained together on a bounded sample of labelled rows
 model scores a word with one number, a text with averages of them; a misspelling never seen shares n-grams with
 words that were.
 
-The sample: see ``learn``. A third of it calibrates the averages to probabilities,
-classes weighing as in all labels, which are counted.
+The sample: see ``learn``. A third of it calibrates the averages to probabilities, classes weighing as in all labels,
+which are counted.
 
-Defined results: a null or empty text has the class prior; rows with a null label or text teach nothing; if a class
-has no labelled rows every score is the prior; equal rows get equal scores; an input column named like an output is
+Defined results: a null or empty text has no words and the score of averages of 0; rows with a null label or text
+teach nothing; if a class has no labelled rows every score is the prior; equal rows get equal scores; an input column named like an output is
 replaced; an empty table gives an empty one.
 """
 

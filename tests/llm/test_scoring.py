@@ -91,3 +91,34 @@ def test_awkward_rows(spark):
     untrained = scoring.score(rows, F.lit(False), keep=["doc_id"]).filter("doc_id = 13").first()
     assert (untrained["train_tokens"], untrained["base_score"]) == (0, 0.0) and untrained["score"] == pytest.approx(-math.log10(257))
     assert scoring.score(rows.limit(0), F.lit(True), keep=["doc_id"]).count() == 0
+
+
+def whole_trie(texts, order=scoring.ORDER):
+    """The model of ``texts`` with nothing pruned."""
+    key, _ = scoring.keys(texts, order)
+    grams = [np.unique(key & np.uint64((1 << 9 * (k + 1)) - 1), return_counts=True) for k in range(order + 1)]
+    contexts = [np.unique(key >> np.uint64(9) & np.uint64((1 << 9 * k) - 1), return_counts=True) for k in range(order + 1)]
+    return scoring.Trie(grams, contexts)
+
+
+def test_rare_contexts_stay_in_the_model(spark):
+    rare = "a quick brown zebra jumps over the lazy quagga"
+    rows = [(i, "ab" * 5_000) for i in range(500)] + [(500, rare), (501, rare[8:] + " ab"), (502, "another zebra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(docs, F.col("doc_id") < 501, keep=["doc_id"]).collect()}
+    trie = whole_trie([t.encode() for d, t in rows if d < 501])
+    for d in (0, 500, 501, 502):
+        want = trie.log_probabilities(scoring.keys([rows[d][1].encode()], scoring.ORDER)[0]).sum()
+        assert got[d] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_broadcast_and_joined_grams_score_alike(spark, order, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK", 50)
+    rows = awkward(spark).filter("doc_id < 15 or doc_id > 16")
+    a, b = ({(r["doc_id"], r["score"]) for r in scoring.score(rows, F.col("doc_id") > 3, keep=["doc_id"], order=order, gram_share=x).collect()} for x in (2.0, 0.0))
+    assert a == b
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in rows.collect()]
+    trie = whole_trie([t for d, t in texts if d > 3], order)
+    want = {d: trie.log_probabilities(scoring.keys([t], order)[0]).sum() for d, t in texts}
+    assert all(s == pytest.approx(want[d], abs=1e-6) for d, s in a)

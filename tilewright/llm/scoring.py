@@ -7,10 +7,14 @@ otherwise the model escapes to the context one symbol shorter, where the symbols
 last to all symbols unseen. Since the kept symbols of a context are kept in its suffix too, what exclusion takes from
 a suffix is one number per context, so that escapes are table look-ups over arrays of positions.
 
-Counting covers all training rows and is aggregated by task before it is shuffled. A (context, symbol) is kept where
-it makes up at least ``min_share`` of all positions; what is pruned adds to the escape. That bounds the table by
-1/min_share entries per order at any size of corpus, hence the model may be broadcast. Words are alike: those of at
-least ``word_share`` of all tokens are broadcast (at most 1/word_share), the others are looked up by a join.
+Counting covers all rows and is aggregated by task before it is shuffled; no (context, symbol) counted in training is
+pruned. A position's probability depends on its (context, symbol) alone, so each distinct one is given its probability
+once: the counts are partitioned by the last ``HEAD + 1`` symbols of the context, which holds all longer contexts of a
+group in one task; the counts of shorter contexts (a table bounded by the number of symbols, not by the corpus) go to
+every task. A (context, symbol) that makes up at least ``gram_share`` of all positions is broadcast with its
+probability (at most 1/gram_share), the others are looked up by a join. Words are alike: those of at least
+``word_share`` of all tokens are broadcast (at most 1/word_share), the others are joined. Logarithms are added as
+whole numbers of 2^-36, so that a score doesn't depend on the order of rows.
 
 Defined results: null and empty texts hold the end alone; with no training rows every symbol is equally likely and
 every base probability is 1; equal rows get equal scores; an empty table gives an empty one. Rows are told apart by
@@ -30,8 +34,14 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, fold, slices, table
 
 ORDER = 5
-MIN_SHARE = 2.0**-21
+GRAM_SHARE = 2.0**-21
 WORD_SHARE = 2.0**-20
+#: Orders whose counts go to every task.
+HEAD = 2
+#: Logarithms are kept as whole numbers of this part.
+UNIT = 2.0**-36
+#: Distinct (context, symbol)s that are given their probabilities at once.
+CHUNK = 300_000
 #: Bits of a symbol: 0 is the boundary (start and end of text), byte b is b + 1.
 BITS = 9
 SYMBOLS = 257
@@ -58,8 +68,10 @@ def keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[here], doc[here]
 
 
-def count(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(gram, word, n): counts of (context, symbol)s, the word null, and of words, the gram null."""
+def count(docs: DataFrame, training: Column, text: str, order: int) -> DataFrame:
+    """(gram, word, n): counts of (context, symbol)s, the word null, and of words in training rows, the gram null.
+
+    A gram is twice the (context, symbol), plus 1 for its count in training rows."""
 
     bound_batches(docs.sparkSession)
 
@@ -90,9 +102,12 @@ def count(docs: DataFrame, text: str, order: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                for t in texts:
-                    tally.update(t.lower().split())
-                key = np.sort(keys(texts, order)[0])
+                trains = part.column("training").to_numpy(zero_copy_only=False).astype(np.uint64)
+                for t, one in zip(texts, trains, strict=True):
+                    if one:
+                        tally.update(t.lower().split())
+                key, doc = keys(texts, order)
+                key = np.sort(key << np.uint64(1) | trains[doc])
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 grams.append((key[first], np.diff(np.r_[first, len(key)])))
                 held += len(first)
@@ -109,7 +124,8 @@ def count(docs: DataFrame, text: str, order: int) -> DataFrame:
             yield from out_grams()
         yield from out_words()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    flag = F.coalesce(training, F.lit(False)).alias("training")
+    return docs.select(F.col(text).alias("text"), flag).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -212,27 +228,81 @@ class Trie:
         return out
 
 
-def learn(docs: DataFrame, text: str = "text", order: int = ORDER, min_share: float = MIN_SHARE, word_share: float = WORD_SHARE):
-    """(trie, DataFrame of (word, c) of all training words, dict of frequent words' counts, N, V)."""
-    counted = cut(count(docs, text, order))
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    by = np.argsort(key)
+    key, n = key[by], n[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _levels(key: np.ndarray, n: np.ndarray, low: int, high: int):
+    """(grams, contexts) of orders ``low`` to ``high`` from counts of an order of at least ``high``."""
+    grams = [_summed(key & _low(k + 1), n) for k in range(low, high + 1)]
+    return grams, [_summed(g >> np.uint64(BITS), c) for g, c in grams]
+
+
+def solve(counted: DataFrame, order: int) -> DataFrame:
+    """(gram, n, p): every (context, symbol) of ``count`` with its count in all rows and log10 of its probability."""
+    head = min(HEAD, order)
+    grams = counted.filter("word IS NULL").select("gram", "n")
+    plain = F.shiftrightunsigned("gram", 1)
+    short = grams.filter(F.col("gram").bitwiseAND(F.lit(1)) == 1).groupBy(plain.bitwiseAND(F.lit(int(_low(head + 1)))).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 257^(head+1)
+    shared = counted.sparkSession.sparkContext.broadcast(_levels(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), 0, head))
+    names = ["gram", "n", "p"]
+
+    def run(batches):
+        def solved(held):
+            tagged, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, every = _summed(tagged >> np.uint64(1), n)
+            trained = (tagged & np.uint64(1)).astype(bool)
+            g, c = _levels(tagged[trained] >> np.uint64(1), n[trained], head + 1, order)
+            p = np.rint(Trie(shared.value[0] + g, shared.value[1] + c).log_probabilities(key) / UNIT).astype(np.int64)
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (key.astype(np.int64), every, p)], names=names)
+
+        held, rows, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            suffix, tagged, n = (batch.column(k).to_numpy() for k in range(3))
+            tagged = tagged.astype(np.uint64)
+            change = np.flatnonzero(np.r_[last is None or suffix[0] != last, suffix[1:] != suffix[:-1]])
+            at = 0
+            if len(change) and rows + change[-1] >= CHUNK:  # whole suffixes only
+                at = change[-1]
+                held.append((tagged[:at], n[:at]))
+                yield from solved(held)
+                held, rows = [], 0
+            held.append((tagged[at:], n[at:]))
+            rows, last = rows + len(n) - at, suffix[-1]
+        if rows:
+            yield from solved(held)
+
+    suffix = F.shiftrightunsigned("gram", BITS + 1).bitwiseAND(F.lit(int(_low(head + 1))))
+    dealt = grams.select(suffix.alias("suffix"), "gram", "n").repartition("suffix").sortWithinPartitions("suffix")
+    return dealt.mapInArrow(run, "gram long, n long, p long")
+
+
+def learn(docs: DataFrame, training: Column, text: str = "text", order: int = ORDER, gram_share: float = GRAM_SHARE, word_share: float = WORD_SHARE):
+    """(Table of frequent (context, symbol)s, their log-probabilities, DataFrame of (gram, p) of the others, DataFrame
+    of (word, c) of rare training words, dict of frequent words' counts, N, V, training rows)."""
+    counted = cut(count(docs, training, text, order))
     totals = counted.agg(
         F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("positions"),
         F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("words"),
         F.count("word").alias("distinct"),
     ).first()
-    ends = docs.count()
+    ends = docs.filter(training).count()
     tokens, distinct = totals["words"] + ends, totals["distinct"] + (1 if ends else 0)
-    levels = [F.struct(F.lit(k).alias("k"), F.lit(True).alias("symbol"), F.col("gram").bitwiseAND(F.lit(int(_low(k + 1)))).alias("key")) for k in range(order + 1)]
-    levels += [F.struct(F.lit(k).alias("k"), F.lit(False).alias("symbol"), F.shiftright(F.col("gram").bitwiseAND(F.lit(int(_low(k + 1)))), BITS).alias("key")) for k in range(order + 1)]
-    nodes = counted.filter("word IS NULL").select("n", F.inline(F.array(*levels))).groupBy("k", "symbol", "key").agg(F.sum("n").alias("n"))
-    got = nodes.filter(F.col("n") >= totals["positions"] * min_share).toArrow()  # at most 1/min_share a level and kind
-    k, symbol, key, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("k", "symbol", "key", "n"))
-    pick = lambda level, kind: (key[(k == level) & (symbol == kind)].astype(np.uint64), n[(k == level) & (symbol == kind)])
-    trie = Trie([pick(i, True) for i in range(order + 1)], [pick(i, False) for i in range(order + 1)])
+    model = cut(solve(counted, order))
+    got = model.filter(F.col("n") >= totals["positions"] * gram_share).select("gram", "p").toArrow().sort_by("gram")  # at most 1/gram_share
+    common, p = Table(got["gram"].to_numpy().astype(np.uint64)), got["p"].to_numpy()
     vocabulary = counted.filter("word IS NOT NULL").select("word", F.col("n").alias("c"))
     found = vocabulary.filter(F.col("c") >= tokens * word_share).toArrow()  # at most 1/word_share
     frequent = dict(zip((w.encode() for w in found["word"].to_pylist()), found["c"].to_pylist(), strict=True))
-    return trie, vocabulary.filter(F.col("c") < tokens * word_share), frequent, int(tokens), int(distinct), int(ends)
+    others = model.filter(F.col("n") < totals["positions"] * gram_share).select("gram", "p")
+    return common, p, others, vocabulary.filter(F.col("c") < tokens * word_share), frequent, int(tokens), int(distinct), int(ends)
 
 
 def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
@@ -241,26 +311,37 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in made]
     order = how.get("order", ORDER)
-    trie, rare, frequent, n, v, ends = learn(df.filter(training), text, **how)
+    common, p, others, rare, frequent, n, v, ends = learn(df, training, text, **how)
     whole = float(np.log10(n + v + 1))
     logs = {w: float(np.log10(c + 1)) - whole for w, c in frequent.items()}
-    shared = df.sparkSession.sparkContext.broadcast((trie, logs))
+    shared = df.sparkSession.sparkContext.broadcast((common, p, logs))
     end = float(np.log10(ends + 1)) - whole
     from pyspark.sql.pandas.types import to_arrow_schema
 
     inner = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text"))
     shape = ", ".join(f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in keep) + (", " if keep else "")
-    shape += "_row long, n_tokens long, _known long, _base double, score double, _rare array<struct<word:string,n:long>>"
+    shape += "_row long, n_tokens long, _known long, _base double, _sum long, _rare array<struct<word:string,n:long>>, _grams array<struct<gram:long,n:int>>"
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
     def run(batches):
-        model, known = shared.value
+        model, logp, known = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
                 key, doc = keys(texts, order)
-                total = np.bincount(doc, model.log_probabilities(key), len(texts))
+                at = model.find(key)
+                there, other = at >= 0, np.flatnonzero(at < 0)
+                ends_ = np.searchsorted(doc, np.arange(len(texts) + 1))
+                run_ = np.zeros(len(key) + 1, np.int64)
+                run_[1:][there] = logp[at[there]]
+                total = np.diff(np.cumsum(run_)[ends_])
+                other = other[np.lexsort((key[other], doc[other]))]
+                k, d = key[other], doc[other]
+                first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, np.int64)
+                fields = [pa.array(k[first].astype(np.int64)), pa.array(np.diff(np.r_[first, len(k)]).astype(np.int32))]
+                kind = arrow.field(len(keep) + 6).type
+                grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(d[first], np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["gram", "n"])).cast(kind)
                 tokens, hits, base, rest = [], [], [], []
                 for t in texts:
                     w = t.lower().split()
@@ -273,7 +354,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 made_ = [np.arange(row, row + len(texts)), tokens, hits, base, total, rest]
                 row += len(texts)
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_)), grams], schema=arrow)
 
     scored = cut(inner.mapInArrow(run, shape))
     looked = scored.select("_row", F.inline("_rare")).join(rare, "word", "left")
@@ -281,14 +362,16 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(whole))).alias("_more"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_found"),
     )
-    both = scored.drop("_rare").join(part, "_row", "left")
+    asked = scored.select("_row", F.inline("_grams")).join(others, "gram")
+    more = asked.groupBy("_row").agg(F.sum(F.col("n") * F.col("p")).alias("_rest"))
+    both = scored.drop("_rare", "_grams").join(part, "_row", "left").join(more, "_row", "left")
     return both.select(
         *(F.col(f"`{c}`") for c in keep),
         "n_tokens",
         (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
+        ((F.col("_sum") + F.coalesce("_rest", F.lit(0))) * F.lit(UNIT)).alias("score"),
     )
 
 

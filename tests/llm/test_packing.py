@@ -83,3 +83,18 @@ def test_packer_is_bounded_and_best_fit():
     assert put(7) == [] and len(p.windows) == 2
     full = put(6)  # none fits: the fullest is topped up and leaves
     assert sum(len(x[2]) for x in full[0]) == 8 and len(p.windows) == 2
+
+
+def test_added_tokens_in_texts_keep_their_ids(spark):
+    loaded = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>  \n y<|endoftext|><|endoftext|> z  ", "<|endoftext| >", "it's  <|endoftext|>'s 12", "ü<|endoftext|>日本 <|EndOfText|>", "plain text"]
+    want = [loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    content = open(PATH, encoding="utf-8").read()
+    assert [x.tolist() for x in packing.tokenizer(content, added=True)(texts)] == want
+    stripped = content.replace('"lstrip":false', '"lstrip":true', 1)
+    assert stripped != content
+    other = Tokenizer.from_str(stripped)
+    assert [x.tolist() for x in packing.tokenizer(stripped, added=True)(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check(packing.pack(rows, PATH).collect(), {i: [*w, 0] for i, w in enumerate(want)}) == 0

@@ -42,27 +42,32 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def tokenizer(content: str):
+def tokenizer(content: str, added: bool = False):
     """A function from texts to ids, equal to the ``tokenizers`` library's on a byte-level BPE file.
 
-    The file's merges are in the order of their ids, so that tiktoken's merge loop gives the same ids some four
+    With ``added`` the file's added tokens are matched in the text, as by the library as loaded; without, special ones
+    are spelt out like other text, as by the library with ``encode_special_tokens``. The file's merges are in the order of their ids, so that tiktoken's merge loop gives the same ids some four
     times faster; a file for which that doesn't hold goes through ``tokenizers`` itself.
     """
     model = json.loads(content)["model"]
     of = _bytes_of_symbols()
-    special = {x["content"] for x in json.loads(content).get("added_tokens", [])}
+    extra = json.loads(content).get("added_tokens") or []
+    special = {x["content"]: x["id"] for x in extra}
+    # one added token without options is matched alike by both
+    simple = len(extra) <= 1 and not any(x.get(k) for x in extra for k in ("single_word", "lstrip", "rstrip", "normalized"))
     plain = {t: i for t, i in model["vocab"].items() if t not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     order = [model["vocab"]["".join(m)] for m in merges]
     setting = json.loads(content)["pre_tokenizer"] or {}
-    if model["type"] == "BPE" and order == sorted(order) and len(plain) == 256 + len(merges) and setting.get("type") == "ByteLevel" and not setting.get("add_prefix_space"):
+    if model["type"] == "BPE" and order == sorted(order) and len(plain) == 256 + len(merges) and setting.get("type") == "ByteLevel" and not setting.get("add_prefix_space") and (simple or not added):
         ranks = {bytes(of[c] for c in t): i for t, i in plain.items()}
-        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [coder.encode_to_numpy(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
+        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+        allowed = set(special) if added else set()
+        return lambda texts: [coder.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(content)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added
     return lambda texts: [np.array(e.ids, np.uint32) for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -143,7 +148,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     schema = to_arrow_schema(spark.createDataFrame([], shape).schema)
 
     def first(batches):
-        code, packer, part = tokenizer(content.value), Packer(size, open_windows), TaskContext.get().partitionId()
+        code, packer, part = tokenizer(content.value, added=True), Packer(size, open_windows), TaskContext.get().partitionId()
         number = part << 36
 
         def closed():

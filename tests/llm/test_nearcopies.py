@@ -1,0 +1,52 @@
+"""Near copies against brute force, and in the pipeline's stage."""
+
+import random
+
+import corpus_pipeline
+from tilewright.llm import nearcopies
+
+from .helpers import SF, awkward, prose
+
+
+def brute(rows, least=0.8):
+    sets = [nearcopies.shingles(t) for _, t in rows]
+    at = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if nearcopies.jaccard(sets[i], sets[j]) >= least:
+                a, b = at[i], at[j]
+                at = [min(a, b) if x in (a, b) else x for x in at]
+    return {d: rows[a][0] for (d, _), a in zip(rows, at, strict=True)}
+
+
+def planted():
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        w = prose(rng, 200).split()
+        rows.append((len(rows), " ".join(w)))
+        for p in rng.sample(range(200), k % 6):
+            w[p] = "changed"
+        rows.append((len(rows), " ".join(w).upper()))
+    return rows
+
+
+def test_groups_equal_brute_force(spark):
+    rows = planted()
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 60 < len(set(want.values())) < 120
+
+
+def test_stage_joins_near_copies(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in planted()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == set(brute(planted()).values())
+
+
+def test_awkward_rows(spark):
+    got = nearcopies.near_copies(awkward(spark))
+    assert got.count() == awkward(spark).count()
+    of = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert of[12] == of[13] == of[14] == 12 and of[17] == 1 and of[15] == 15
+    assert nearcopies.near_copies(awkward(spark).limit(0)).count() == 0

@@ -1,0 +1,92 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+
+Texts of equal lower-cased (A-Z) words are copies and met in a group-by. Of each such group one text gets ``BANDS``
+keys of ``ROWS`` MinHash values each; texts that share a key are candidates (a pair at 0.8 shares none with
+probability 3e-5, a closer one less), and every candidate pair is verified on its exact shingle sets, so that no link
+is below ``least``. Pairs of a bucket are all verified: a bucket of n distinct near copies costs n^2 / 2 comparisons.
+
+Defined results: null, empty and blank texts are copies of each other; a text of fewer words than a shingle is one
+shingle; a null id represents its group only if that has no other; an empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import bound_batches, cut, map_text, slices
+from .components import components
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 4
+SEED = 42
+_RANDOM = np.random.default_rng(SEED)
+_A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
+    w = words(text)
+    if not w:
+        return set()
+    return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def bands(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """A signed key for each band."""
+    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 4096):
+        mixed = h[k : k + 4096, None] * _A + _B
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(low, mixed.min(0), out=low)
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(doc_id, component_id): the least id that any chain of links reaches."""
+    spark = df.sparkSession
+    bound_batches(spark)
+
+    def start():
+        return lambda texts: [[xxhash.xxh3_128_hexdigest(b" ".join(words(t))) for t in texts], [bands(t, shingle) for t in texts]]
+
+    fields = [T.StructField("_copy", T.StringType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marked = cut(map_text(rows, "text", fields, start, ["doc_id", "text"]))
+    groups = cut(marked.groupBy("_copy").agg(F.min("doc_id").alias("_rep"), F.first("_bands").alias("_bands")))
+    keys = groups.select("_copy", F.posexplode("_bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").count().filter("count > 1").select("band", "key")
+    members = cut(keys.join(shared, ["band", "key"]))
+    pairs = members.select("band", "key", F.col("_copy").alias("a")).join(members.select("band", "key", F.col("_copy").alias("b")), ["band", "key"]).filter("a < b")
+    pairs = cut(pairs.select("a", "b").distinct())
+    asked = pairs.select(F.col("a").alias("_copy")).union(pairs.select(F.col("b").alias("_copy"))).distinct()
+    texts = cut(marked.select("_copy", "text").join(asked, "_copy").groupBy("_copy").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("_copy").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("_copy").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            for part in slices(batch, "x"):
+                near = [jaccard(shingles(x, shingle), shingles(y, shingle)) >= least for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a string, b string"))
+    joined = components(links, "a", "b")
+    named = groups.select("_copy", "_rep").join(joined, F.col("_copy") == F.col("node"), "left").select("_copy", "_rep", F.coalesce("component", "_copy").alias("_all"))
+    named = cut(named)
+    of = named.join(named.groupBy("_all").agg(F.min("_rep").alias("component_id")), "_all").select("_copy", "component_id")
+    return marked.select("doc_id", "_copy").join(of, "_copy").select("doc_id", "component_id")

@@ -51,21 +51,34 @@ def test_branches_are_ranked(spark):
     assert sorted(r["leaf"] for r in both.collect()) == [2, 5]
 
 
+def walked(parent, leaf):
+    out = []
+    while leaf is not None:
+        out.append(leaf)
+        leaf = parent[leaf]
+    return out
+
+
 def test_paths_of_deep_and_bushy_trees(spark):
     parent = {i: i // 3 if i % 7 else i - 1 for i in range(1, 120)}
     parent[0] = None
-    rows = spark.createDataFrame([(0, i, p) for i, p in parent.items()], "tree long, id long, parent long")
+    rows = spark.createDataFrame([(0, i, p, float(i)) for i, p in parent.items()], "tree long, id long, parent long, score double")
+    levels, summed = chat.ancestors(rows)
+    assert {r["id"]: (r["total"], r["n"]) for r in summed.collect()} == {i: (sum(walked(parent, i)), len(walked(parent, i))) for i in parent}
+    leaves = sorted(set(parent) - {p for p in parent.values() if p is not None})
     got = defaultdict(dict)
-    for r in chat.paths(rows).collect():
+    for r in chat.paths(spark.createDataFrame([(0, x) for x in leaves], "tree long, leaf long"), levels).collect():
         got[r["leaf"]][r["up"]] = r["id"]
-    leaves = set(parent) - {p for p in parent.values() if p is not None}
-    assert set(got) == leaves
-    for leaf in leaves:
-        want, at = [], leaf
-        while at is not None:
-            want.append(at)
-            at = parent[at]
-        assert [got[leaf][k] for k in range(len(want))] == want and len(got[leaf]) == len(want)
+    assert {x: [got[x][k] for k in range(len(got[x]))] for x in leaves} == {x: walked(parent, x) for x in leaves}
+
+
+def test_a_comb_is_ranked_without_all_its_paths(spark):
+    """A spine of n messages with a reply to each: its paths hold n^2 messages, the tables 2 n."""
+    n = 50_000
+    spine = spark.range(n).selectExpr("0L tree", "id", "if(id = 0, null, id - 1) parent", "'user' role", "'s' text", "0D score")
+    tooth = spark.range(n).selectExpr("0L tree", f"id + {n} id", "id parent", "'assistant' role", "'t' text", "if(id = 7, 100D, -1D) score")
+    got = chat.format_trees(spine.union(tooth)).collect()
+    assert [(r["leaf"], r["n_turns"]) for r in got] == [(n + 7, 9)]
 
 
 def test_awkward_rows(spark):
@@ -78,7 +91,13 @@ def test_awkward_rows(spark):
     assert chat.read_back(formatted, keep=("tree",)).count() == 4
 
 
-def test_cycles_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(chat, "MOST_ROUNDS", 4)
+@pytest.mark.parametrize("rows", [[(0, 1, 2), (0, 2, 1)], [(0, 1, 1)], [(0, 0, None), (0, 1, 0), (0, 5, 6), (0, 6, 7), (0, 7, 5), (0, 8, 5), (0, 9, 8)]])
+def test_cycles_are_an_error(spark, rows):
     with pytest.raises(ValueError):
-        chat.paths(spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "tree long, id long, parent long"))
+        chat.ancestors(spark.createDataFrame([(*r, 1.0) for r in rows], "tree long, id long, parent long, score double"))
+
+
+def test_messages_without_a_place(spark):
+    rows = [(None, 1, None, "user", "a", 1.0), (1, None, 2, "user", "b", 1.0), (1, 2, None, "user", "c", float("nan")), (1, 2, None, "user", "d", 0.0), (1, 3, 2, None, None, None)]
+    got = chat.format_trees(spark.createDataFrame(rows, TREE)).collect()
+    assert sorted([t for _, t in chat.parse_turns(r["formatted"])] for r in got) == [["a"], ["b"], ["c", ""]]

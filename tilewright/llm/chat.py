@@ -1,19 +1,21 @@
 """Chat formatting of reply trees.
 
-Messages form trees: each names its parent. Root-to-leaf paths are enumerated by iterative self-joins with doubled
-steps: ``jump`` holds every message's ancestor 2^k above, a join of ``jump`` with itself gives 2^(k+1), and each
-round a leaf's known path is extended by the ancestors 2^k above it, so that a tree of depth d takes log2(d) rounds.
-Branches are ranked by the mean score of their messages (then the more messages, then the smaller leaf), and the
-best ``branches`` of each tree become one conversation each.
+Messages form trees: each names its parent. Iterative self-joins with doubled steps find root-to-leaf paths: a round
+joins every message's ancestor 2^k above it with that one's own, which gives 2^(k+1), and adds up the scores in
+between, so that a tree of depth d takes log2(d) rounds of one row a message. Branches are ranked by the mean score of
+their messages (then the more messages, then the smaller leaf); only the best ``branches`` of each tree are then
+enumerated, along the same ancestors, and become one conversation each.
 
 The template marks a turn as ``<|turn|>role<|says|>text<|done|>``. In roles and texts every ``<|`` becomes ``<\\|``
 and every ``<\\`` becomes ``<\\\\``, so that no control string can occur inside and the original is read back exactly.
 Loss spans are the code points of assistant texts as formatted.
 
-Defined results: null texts and roles are empty; a message whose parent isn't there starts a tree of its own path;
-messages of one conversation that share a turn are ordered by role and text; a null conversation id is a
-conversation of its own; a cycle of parents has no leaf or root and raises ValueError; an empty table gives an empty
-one. A conversation is one row of the result, hence gathered in one task.
+Defined results: null texts and roles are empty; a message whose parent isn't there starts a tree of its own path; a
+message with a null tree or id is a conversation of its own; of messages that share a tree and an id one counts, the
+least by parent, score, role and text; turns of one conversation that share a number are ordered by role and text; a null conversation
+id is a conversation of its own; a cycle of parents, or a message that hangs on one, raises ValueError; very long texts are handled
+one by one; columns beside those named are ignored; an empty table gives an empty one. A conversation is one row of
+the result, hence gathered in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 from .common import bound_batches, checkpointed, cut, table
 
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
-MOST_ROUNDS = 40
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _PARSED = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|done\|>", re.DOTALL)
 
@@ -59,40 +60,61 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(a), unescape(b)) for a, b in _PARSED.findall(formatted)]
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, id, up): for each leaf all messages of its path, ``up`` steps above it.
+def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(for k = 0, 1, ...: (tree, id, above), the ancestor 2^k above each message that has one; (tree, id, total, n),
+    the sum of scores and the number of messages of the path from each message up to its root).
 
-    ``messages`` has tree, id and parent (null at a root), none of the first two null, ids unique in a tree.
+    ``messages`` has tree, id, parent (null at a root) and score, the first two not null and unique together. Every
+    table has at most a row for each message. One of a tree's m messages has at most m - 1 ancestors; more mean that
+    it hangs on a cycle, which raises ValueError after log2(m) rounds.
     """
-    jump = messages.alias("c").join(messages.select("tree", F.col("id").alias("parent")).alias("p"), ["tree", "parent"]).select("tree", "id", F.col("parent").alias("above"))
-    jump = checkpointed(jump)
-    leaves = messages.select("tree", "id").join(jump.select("tree", F.col("above").alias("id")).distinct(), ["tree", "id"], "left_anti")
-    found = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    for k in range(MOST_ROUNDS):
-        if jump.isEmpty():
-            return found
-        more = found.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
-        found = checkpointed(found.unionByName(more))
-        jump = checkpointed(jump.join(jump.select("tree", F.col("id").alias("above"), F.col("above").alias("next")), ["tree", "above"]).select("tree", "id", F.col("next").alias("above")))
+    there = messages.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
+    first = messages.select("tree", "id", "parent", "score").join(there, ["tree", "parent"], "left")
+    now = checkpointed(first.select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))
+    most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    levels: list[DataFrame] = []
+    for _ in range((most - 1).bit_length() + 1):
+        going = now.filter("above IS NOT NULL")
+        if going.isEmpty():
+            return levels, now.select("tree", "id", "total", "n")
+        levels.append(going.select("tree", "id", "above"))
+        upper = now.select("tree", F.col("id").alias("above"), F.col("above").alias("next"), F.col("total").alias("more"), F.col("n").alias("m"))
+        further = going.join(upper, ["tree", "above"]).select("tree", "id", F.col("next").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        now = checkpointed(now.filter("above IS NULL").unionByName(further))
     raise ValueError("parents form a cycle")
 
 
+def paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, id, up): all messages of the path of each of ``leaves`` (tree, leaf), ``up`` steps above it. Each
+    round adds to the known messages of a path those 2^k above them."""
+    found = leaves.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"))
+    for k, level in enumerate(levels):
+        more = found.join(level, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
+        found = checkpointed(found.unionByName(more))
+    return found
+
+
 def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """(tree, leaf, n_turns, formatted, loss): the best ``branches`` paths of each tree, formatted.
 
-    ``messages`` has tree, id, parent, role, text and score (null: 0).
+    ``messages`` has tree, id, parent, role, text and score (null or not a number: 0).
     """
     bound_batches(messages.sparkSession)
-    rows = messages.select("tree", "id", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    found = paths(rows.select("tree", "id", "parent"))
-    scored = found.join(rows.select("tree", "id", "score"), ["tree", "id"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
-    best = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n"), "leaf")
-    chosen = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select("tree", "leaf")
-    turns = found.join(chosen, ["tree", "leaf"]).join(rows.select("tree", "id", "role", "text"), ["tree", "id"])
-    told = turns.groupBy("tree", "leaf").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))), lambda s: F.struct(s["role"], s["text"])).alias("turns")
-    )
+    score = F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score")
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    rows = messages.select("tree", "id", "parent", score, *said)
+    loose = F.col("tree").isNull() | F.col("id").isNull()
+    # of rows that share an id, one
+    whole = rows.filter(~loose).groupBy("tree", "id").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select("tree", "id", "m.*")
+    whole = cut(whole)
+    levels, summed = ancestors(whole.select("tree", "id", "parent", "score"))
+    parents = whole.select("tree", F.col("parent").alias("id")).filter("id IS NOT NULL").distinct()
+    leaves = summed.join(parents, ["tree", "id"], "left_anti")
+    best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "id")
+    chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select("tree", F.col("id").alias("leaf"))
+    turns = paths(checkpointed(chosen), levels).join(whole.select("tree", "id", "role", "text"), ["tree", "id"])
+    told = turns.groupBy("tree", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))), lambda s: F.struct(s["role"], s["text"])).alias("turns"))
+    told = told.unionByName(rows.filter(loose).select("tree", F.col("id").alias("leaf"), F.array(F.struct("role", "text")).alias("turns")))
 
     shape = f"tree {messages.schema['tree'].dataType.simpleString()}, leaf {messages.schema['id'].dataType.simpleString()}, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,9 +1,12 @@
 import os
+import random
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.llm import quality
 
@@ -22,7 +25,7 @@ def brute(text):
 
 
 def test_measures(spark, monkeypatch):
-    texts = [None, "", " \n ", "a b", "a a a a", "x y z x y z q", "l1\nl1\n\n \nl2\nl1", "#a *b $%&|<> é日本 \U0001f600", "a\x0bb\x0cc\td\re\x1cf g", "p q r s " * 200, "p q r " * 3 + prose(__import__("random").Random(1), 400)]
+    texts = [None, "", " \n ", "a b", "a a a a", "x y z x y z q", "l1\nl1\n\n \nl2\nl1", "#a *b $%&|<> é日本 \U0001f600", "a\x0bb\x0cc\td\re\x1cf g", "p q r s " * 200, "p q r " * 3 + prose(random.Random(1), 400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     want = {i: brute(t) for i, t in enumerate(texts)}
     for most in (quality.SCANNED, 0):  # both ways to find repeated windows
@@ -31,16 +34,40 @@ def test_measures(spark, monkeypatch):
         assert got == want
 
 
+def brute_kept(text):
+    n, chars, symbols, dup, _, failed = brute(text)
+    text = text or ""
+    lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    letters = sum(unicodedata.category(c)[0] in "LM" for c in text)
+    return not (failed or 6 * symbols > n or chars < 2 * n or chars > 16 * n or 2 * dup > lines or 10 * letters < 7 * chars or 10 * len(re.findall("[A-Z]", text)) > 4 * chars or 5 * text.count("!") > n)
+
+
 def test_order_follows_rejections_per_cost_and_not_the_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rules = (quality.Rule("never", "false"), quality.Rule("slow", "length(regexp_replace({text}, '(a|b|c)+x?', '')) < 0 OR n_words % 2 = 0"), quality.Rule("quick", "n_words % 2 = 0"))
-    planned = quality.plan(docs, rules)
-    assert sorted(r.name for r in planned) == ["never", "quick", "slow"] and planned[-1].name == "never"
-    a = {r["doc_id"]: r["kept"] for r in quality.cascade(docs, rules).collect()}
-    b = {r["doc_id"]: r["kept"] for r in quality.cascade(docs, rules[::-1]).collect()}
+    even = lambda t, m: m("n_words") % 2 == 0
+    never = quality.Rule("never", lambda t, m: m("n_words") < 0)
+    dear = quality.Rule("dear", lambda t, m: (quality._left(t, "((a|e|i|o|u)+x?)+z") < 0) | even(t, m))
+    measured = quality.Rule("measured", lambda t, m: (m("n_repeat_words") < 0) | even(t, m))
+    cheap, rare = quality.Rule("cheap", even), quality.Rule("rare", lambda t, m: m("n_words") % 50 == 0)
+    assert [r.name for r in quality.plan(docs, (never, dear, cheap))] == ["cheap", "dear", "never"]
+    assert [r.name for r in quality.plan(docs, (measured, cheap))] == ["cheap", "measured"]
+    assert [r.name for r in quality.plan(docs, (rare, cheap))] == ["cheap", "rare"]
+    a = {r["doc_id"]: r["kept"] for r in quality.cascade(docs, (dear, cheap, rare)).collect()}
+    b = {r["doc_id"]: r["kept"] for r in quality.cascade(docs, (rare, cheap, dear)).collect()}
     assert a == b
 
 
+def test_judge_gives_the_cascades_verdict(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(awkward(spark))
+    rng = random.Random(1)
+    hindi = " ".join("".join(chr(rng.randrange(0x915, 0x939)) + chr(rng.randrange(0x93E, 0x94D)) for _ in range(3)) for _ in range(60))  # half its characters are marks
+    docs = docs.unionByName(spark.createDataFrame([(10**6, hindi, "hi", "s", 1)], docs.schema))
+    got = sorted((str(r["doc_id"]), r["kept"]) for r in quality.judge(docs).collect())
+    assert got == sorted((str(r["doc_id"]), r["kept"]) for r in quality.cascade(docs).collect())
+    assert got == sorted((str(r["doc_id"]), brute_kept(r["text"])) for r in docs.collect()) and (str(10**6), True) in got
+    assert quality.judge(docs.select("*", *(F.lit(1).alias(c) for c in ("_body", "_words", "kept", "n_words")))).columns == [*docs.columns, "_body", "_words", "n_words", "kept"]
+
+
 def test_query_equals_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -24,7 +24,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit on Arrow batches to ``BATCH_BYTES``, if it is higher."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().rstrip("b")
-    if int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1], 1) > BATCH_BYTES:
+    if int(now.rstrip("kmgtp")) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(now[-1], 0) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -37,10 +37,21 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from ``df``'s columns, in any case."""
+    mark, taken = "_", {c.lower() for c in df.columns}
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one is set on a local master and an error
+    raised on a cluster, whose executors don't share local folders."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", there)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,17 +1,19 @@
 import itertools
 import random
 import re
+import unittest.mock
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tilewright.llm import simhash
 from tilewright.llm.components import components
 
-from .helpers import SF, awkward, crowded
+from .helpers import SF, awkward, crowded, prose
 
 
 def brute_fingerprint(text):
@@ -106,6 +108,95 @@ def test_query(spark):
     assert sorted(tuple(r) for r in simhash.op9_covering_simhash(spark, SF).collect()) == want
 
 
+def test_null_ids_bridge(spark):
+    """A document without an id links its neighbours like any other."""
+    docs = spark.createDataFrame([(9, "x"), (None, "y"), (3, "z")], "doc_id long, text string")
+    fps = {"x": 0, "y": 3, "z": 15}
+    def faked(df, text, out, shingle, seed, keep):
+        return df.select(*keep, F.create_map(*(F.lit(v) for kv in fps.items() for v in kv))[F.col(text)].cast("long").alias(out))
+
+    with unittest.mock.patch.object(simhash, "fingerprints", faked):
+        got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(3, f"{15:016x}", 3), (9, f"{0:016x}", 3), (None, f"{3:016x}", 3)]
+
+
+def test_awkward_names(spark):
+    rows = awkward(spark)
+    more = rows.select("*", *(F.lit(1).alias(c) for c in ("_fp", "_fp2", "_of", "fp", "rep", "_OWN", "all", "node")))
+    key = lambda df: sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in df.collect())
+    got = simhash.near_duplicates(more)
+    assert got.columns == [c for c in more.columns if c != "text"] + ["fingerprint", "component_id"] and key(got) == key(simhash.near_duplicates(rows))
+
+
+def brute_near(rows, least=0.8):
+    """The least id of what each row's text reaches through pairs of at least ``least``."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else set() for _, t in rows]
+    at = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if at[i] != at[j] and (sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = at[i], at[j]
+                at = [min(a, b) if x in (a, b) else x for x in at]
+    return {d: rows[a][0] for (d, _), a in zip(rows, at, strict=True)}
+
+
+def planted():
+    """Texts of 200 words and copies with up to five of them changed, in capitals."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        w = prose(rng, 200).split()
+        rows.append((len(rows), " ".join(w)))
+        for p in rng.sample(range(200), k % 6):
+            w[p] = "changed"
+        rows.append((len(rows), " ".join(w).upper()))
+    return rows
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = planted()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_near(rows)
+    assert len(got) == len(want) and 60 < len(set(want.values())) < 120
+    assert all(want[c] == want[d] for d, c in got.items())  # no link below the similarity
+    assert sum(got[d] == c for d, c in want.items()) >= 0.95 * len(want)
+
+
+def test_crowded_buckets_give_the_same_components(spark):
+    """A crowd of near fingerprints: by pairs, by forests, and dealt in small chunks."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
+    flips = (rng.random((6, 120, 2, 64)) < 0.05).astype(np.uint64) << np.arange(64, dtype=np.uint64)
+    x, y = (base[:, None] ^ flips.sum(-1, dtype=np.uint64)).reshape(-1, 2).T
+    d = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
+
+    def joined(pairs):
+        at = np.arange(len(x))
+        for a, b in pairs:
+            at[at == max(at[a], at[b])] = min(at[a], at[b])
+        return at
+
+    want = joined(np.argwhere(d <= 20))
+    few, forest = simhash._close(x, y, 20, few=10**9), simhash._close(x, y, 20, few=0)
+    assert len(few[0]) == (d <= 20).sum() // 2 - len(x) // 2 and len(forest[0]) == len(x) - len(set(want))
+    assert (joined(zip(*few, strict=True)) == want).all() and (joined(zip(*forest, strict=True)) == want).all()
+    groups = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(x.view(np.int64), y.view(np.int64), strict=True))], "name long, x long, y long")
+    whole = {(r["a"], r["b"]) for r in simhash.candidates(groups, far=20).collect()}
+    dealt = {(r["a"], r["b"]) for r in simhash.candidates(groups, far=20, chunk=16).collect()}
+    assert all(d[a, b] <= 20 for a, b in whole | dealt)
+    assert (joined(whole) == want).all() and (joined(dealt) == want).all()
+
+
+def test_near_copies_of_awkward_rows(spark):
+    rows = crowded(awkward(spark))
+    got = simhash.near_copies(rows)
+    assert got.count() == rows.count()
+    of = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert of[12] == of[13] == of[14] == 12 and of[17] == 1 and of[15] == 15
+    assert simhash.near_copies(rows.limit(0)).count() == 0
+
+
 def test_awkward_rows(spark):
     rows = crowded(awkward(spark))
     got = simhash.near_duplicates(rows)

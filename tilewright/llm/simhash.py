@@ -10,13 +10,25 @@ ones are dealt in chunks of at most ``chunk`` fingerprints, every pair of chunks
 bucket is gathered whole. A group returns its
 components as stars, never all pairs.
 
+``near_copies`` links texts by the Jaccard similarity of their shingle sets. A similarity of 0.8 is some 15 % of a
+fingerprint's bits, too many for masks of the kind above, so two independent fingerprints of 64 bits are cut into
+``BLOCKS`` blocks each and a table keeps ``KEPT`` of them: of the C(8, 2) tables of a fingerprint one holds every pair
+within 6 of its 64 bits, and most pairs beyond. Pairs of a bucket within ``FAR`` of the 128 bits are candidates; a
+crowded bucket gives the edges of its minimum spanning forest in that distance instead, which joins, at every smaller
+distance, what its pairs would join. Every candidate is verified on the exact shingle sets. Recall is measured in
+tests/llm/test_simhash.py and the README. For many more than 2^25 distinct texts take longer keys (``kept`` 3).
+
 Defined results: a null or empty text has the fingerprint zero, linked like any other; a text of fewer words than a
-shingle is hashed whole; a null id takes part as itself and sorts before all others as a representative only if its
-group has no other id; input columns named like outputs are replaced; an empty table gives an empty one.
+shingle is hashed whole; a row with a null id links like any other, but the id stands for its component only if that
+has no other; equal rows get equal results, ties don't matter as the least id is taken; very long texts are hashed
+whole, in blocks of shingles; input columns named like outputs are replaced, other names never clash; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,13 +36,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_text, table
+from .common import bound_batches, cut, fresh, map_text, slices, table
 from .components import components
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 CHUNK = 1024
+#: Of near copies: the least Jaccard similarity; blocks of a fingerprint and those that a table keeps; the most differing
+#: bits of two fingerprints. At a similarity of 0.8 these are 19.4 of 128 on average; 99.6 % of pairs differ in 30 or less.
+LEAST = 0.8
+BLOCKS, KEPT = 8, 2
+FAR = 30
+WIDE_CHUNK = 4096
+#: Rows of a bucket up to which all buckets' pairs are compared at once, and rows compared at once.
+SMALL = 32
+RUN = 200_000
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -133,17 +154,190 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, chunk: int = CHU
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (all but the text, if None) with ``fingerprint`` (16 hex digits) and ``component_id``,
     the least id that any chain of links reaches."""
-    keep = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in ("fingerprint", "component_id", "_fp")]
-    marked = cut(fingerprints(df, text, "_fp", shingle, seed, keep))
-    # copies first: one row for each distinct fingerprint
-    groups = cut(marked.groupBy("_fp").agg(F.min(doc_id).alias("_rep")))
-    found = links(groups, "_fp", radius, chunk)
-    rep = groups.select(F.col("_fp"), F.col("_rep"))
-    named = found.join(rep.select(F.col("_fp").alias("a"), F.col("_rep").alias("ra")), "a").join(rep.select(F.col("_fp").alias("b"), F.col("_rep").alias("rb")), "b")
-    joined = components(named.select("ra", "rb"), "ra", "rb")
-    final = cut(groups.join(joined, groups["_rep"] == joined["node"], "left").select(groups["_fp"].alias("_fp2"), F.coalesce("component", "_rep").alias("component_id")))
-    back = marked.join(final, marked["_fp"] == final["_fp2"])
-    return back.select(*keep, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    keep = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in ("fingerprint", "component_id")]
+    fp, of, own = fresh(df, "fp", "of", "own")
+    ids = [] if doc_id in keep else [doc_id]
+    marked = cut(fingerprints(df, text, fp, shingle, seed, [*keep, *ids]))
+    # copies first: one row for each distinct fingerprint, whatever the ids of its rows
+    groups = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(f"`{doc_id}`").alias("rep")))
+    named = _named(groups, links(groups, "fp", radius, chunk), "fp")
+    back = marked.join(named.select(F.col("fp").alias(of), F.col("component_id").alias(own)), F.col(fp) == F.col(of))
+    return back.select(*(F.col(f"`{c}`") for c in keep), F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), F.col(own).alias("component_id"))
+
+
+def _named(groups: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """(node, component_id): the least ``rep`` among the nodes that the links ``found`` (a, b) join."""
+    joined = components(found, "a", "b").select(F.col("node").alias(node), "component")
+    named = cut(groups.select(node, "rep").join(joined, node, "left").select(node, "rep", F.coalesce("component", node).alias("all")))
+    return cut(named.join(named.groupBy("all").agg(F.min("rep").alias("component_id")), "all").select(node, "component_id"))
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingles(w: list[bytes], shingle: int) -> set[bytes]:
+    """The set of a text's word shingles; fewer words are one shingle, none are none."""
+    return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def _name(w: list[bytes]) -> int:
+    """What all texts of the same words share."""
+    return xxhash.xxh64_intdigest(b" ".join(w), 7) - (1 << 63)
+
+
+def two_fingerprints(w: list[bytes], shingle: int) -> tuple[int, int]:
+    """Two independent SimHashes, as signed longs, of the set of shingles."""
+    every = list(shingles(w, shingle))
+    ones = np.zeros(128, np.int64)
+    for k in range(0, len(every), 1 << 15):
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in every[k : k + (1 << 15)]]), np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(every)).view(np.int64).tolist())
+
+
+def block_tables(blocks: int = BLOCKS, kept: int = KEPT) -> list[tuple[int, tuple[int, ...]]]:
+    """(fingerprint, first bits of the blocks) of each table."""
+    size = 64 // blocks
+    return [(word, tuple(size * b for b in some)) for word in (0, 1) for some in itertools.combinations(range(blocks), kept)]
+
+
+def _forest(x: np.ndarray, y: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the minimum spanning forest of the rows' distances up to ``far`` (Prim)."""
+    n = len(x)
+    rest, near, of = np.arange(1, n), np.full(n - 1, 255, np.uint8), np.zeros(n - 1, np.int64)
+    a, b, at = [], [], 0
+    while len(rest):
+        d = np.bitwise_count(x[rest] ^ x[at]) + np.bitwise_count(y[rest] ^ y[at])
+        less = d < near
+        near[less], of[less] = d[less], at
+        k = int(near.argmin())
+        at = rest[k]
+        if near[k] <= far:
+            a.append(of[k])
+            b.append(at)
+        rest[k], near[k], of[k] = rest[-1], near[-1], of[-1]
+        rest, near, of = rest[:-1], near[:-1], of[:-1]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _close(x: np.ndarray, y: np.ndarray, far: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``far`` bits, or the edges of their forest if there are over ``few`` pairs a row."""
+    found, total = [], 0
+    for k in range(0, len(x), 256):
+        d = np.bitwise_count(x[k : k + 256, None] ^ x[k:]) + np.bitwise_count(y[k : k + 256, None] ^ y[k:])
+        a, b = np.nonzero(d <= far)
+        ok = a < b
+        found.append((a[ok] + k, b[ok] + k))
+        total += int(ok.sum())
+        if total > few * len(x):
+            return _forest(x, y, far)
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _candidates(key: np.ndarray, x: np.ndarray, y: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows with equal ``key`` (sorted): runs of a few rows all at once, longer ones one by one."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    left = np.repeat(np.where(size <= SMALL, first + size, 0), size) - np.arange(len(key))  # rows of the run from here on
+    a, b = [], []
+    here, step = np.flatnonzero(left > 1), 1
+    while len(here):
+        near = np.bitwise_count(x[here] ^ x[here + step]) + np.bitwise_count(y[here] ^ y[here + step]) <= far
+        a.append(here[near])
+        b.append(here[near] + step)
+        step += 1
+        here = here[left[here] > step]
+    for p, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        i, j = _close(x[p : p + n], y[p : p + n], far)
+        a.append(i + p)
+        b.append(j + p)
+    return (np.concatenate(a), np.concatenate(b)) if a else (first[:0], first[:0])
+
+
+def candidates(groups: DataFrame, far: int = FAR, blocks: int = BLOCKS, kept: int = KEPT, chunk: int = WIDE_CHUNK) -> DataFrame:
+    """(a, b): names of distinct texts to be verified. ``groups`` has name, x and y (two fingerprints)."""
+    size = 64 // blocks
+    keys = []
+    for t, (word, starts) in enumerate(block_tables(blocks, kept)):
+        key = F.lit(t).cast("long")
+        for s in starts:
+            key = F.shiftleft(key, size).bitwiseOR(F.shiftrightunsigned("y" if word else "x", s).bitwiseAND(F.lit((1 << size) - 1)))
+        keys.append(key)
+    rows = groups.select(F.explode(F.array(*keys)).alias("key"), "name", "x", "y")
+    # a crowded bucket is dealt in chunks; each pair of chunks is a task's group
+    crowded = cut(rows.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
+    rows = rows.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    order = ["key", "i", "j"]
+    dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name", "x", "y").repartition(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def found(parts):
+            key, i, j, name, x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
+            new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            a, b = _candidates(np.cumsum(new), x.view(np.uint64), y.view(np.uint64), far)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(name[a], name[b])), pa.array(np.maximum(name[a], name[b]))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            if held and any(c[0] != h[-1] for c, h in zip(cols[:3], held[-1][:3], strict=True)):
+                change = np.r_[0, change]
+            at = 0
+            if len(change) and rows + change[-1] >= RUN:  # whole groups only
+                at = int(change[-1])
+                held.append([c[:at] for c in cols])
+                yield found(held)
+                held, rows = [], 0
+            held.append([c[at:] for c in cols])
+            rows += batch.num_rows - at
+        if rows:
+            yield found(held)
+
+    bound_batches(groups.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = LEAST, **how) -> DataFrame:
+    """(doc_id, component_id), a row for each of ``df``: the least id that a chain of texts reaches whose shingle sets
+    have a Jaccard similarity of at least ``least``. ``df`` is read twice, so it should be a table."""
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+    def start():
+        def work(texts):
+            split = [words(t) for t in texts]
+            two = [two_fingerprints(w, shingle) for w in split]
+            return [[_name(w) for w in split], [t[0] for t in two], [t[1] for t in two]]
+
+        return work
+
+    marked = cut(map_text(rows, "text", [T.StructField(c, T.LongType()) for c in ("name", "x", "y")], start, ["doc_id"]))
+    groups = cut(marked.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("x").alias("x"), F.first("y").alias("y")))
+    pairs = cut(candidates(groups, **how))
+    asked = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+    named = map_text(rows, "text", [T.StructField("name", T.LongType())], lambda: lambda texts: [[_name(words(t)) for t in texts]])
+    texts = cut(named.join(asked, "name", "left_semi").groupBy("name").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("t")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            for part in slices(batch, "s"):
+                near = [jaccard(shingles(words(s), shingle), shingles(words(t), shingle)) >= least for s, t in zip(part.column("s").to_pylist(), part.column("t").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    found = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
+    return marked.select("doc_id", "name").join(_named(groups, found, "name"), "name").select("doc_id", "component_id")
 
 
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

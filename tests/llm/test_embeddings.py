@@ -3,6 +3,8 @@ import pytest
 
 from tilewright.llm import embeddings
 
+from .helpers import SF
+
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
@@ -53,14 +55,42 @@ def test_against_brute_force(spark, chunk):
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.95 * len(want)
 
 
-def test_recall_on_near_pairs():
-    """Pairs at cosine 0.98 share three of six pivots in nearly all cases."""
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    """One vec_id under two labels and with two lengths; a row without an id bridges two others."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees))), 0.0]
+    rows = [(1, at(0), 0), (1, at(0), 1), (2, at(5), 1), (1, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (7, at(90), 3), (None, at(100), 3), (5, at(110), 3), (None, at(200), 3)]
+    got = embeddings.link(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (7, 1, 5, False), (None, 2, 5, False), (5, 1, 5, True), (None, 0, None, True)], key=str)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    spark.createDataFrame(clustered(400, 3, 64), SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for folder in (SF, str(tmp_path)):
+        rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+        got, want = sorted(tuple(r) for r in embeddings.op3_pivot_neardup(spark, folder).collect()), brute(rows)
+        true = sum(w[1] for w in want)
+        assert len(got) == len(want) and 0.95 * true <= sum(g[1] for g in got) <= true
+        assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.95 * len(want)
+    assert true > 100
+
+
+def test_rests_that_meet():
+    rests = np.array([[-1, -1, -1], [2, -1, -1], [2, 5, -1], [5, -1, -1], [2, 5, 6]])
+    count = lambda *n: np.array(n)
+    assert embeddings._meets(rests, count(1, 1, 1, 1, 1), 9).tolist() == [True] * 5
+    assert embeddings._meets(rests[1:], count(3, 3, 3, 3), 9).tolist() == [True, False, True, False]
+    assert embeddings._meets(rests[:1], count(1), 9).tolist() == [False] and embeddings._meets(rests[:1], count(2), 9).tolist() == [True]
+
+
+@pytest.mark.parametrize("vectors", [5_000, 30_000_000])
+def test_recall_on_near_pairs(vectors):
+    """Pairs at cosine 0.98 share three of six pivots in nearly all cases, also with the pivots of a large index."""
     rng = np.random.default_rng(2)
     x = embeddings.unit(rng.normal(size=(4000, 64)))
     noise = rng.normal(size=x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     y = embeddings.unit(0.98 * x + np.sqrt(1 - 0.98**2) * embeddings.unit(noise))
-    pivots = embeddings.choose_pivots(x[:2000])
+    pivots = embeddings.choose_pivots(x[:2000], embeddings.pivots_for(vectors))
     near = lambda v: np.argsort(-(v @ pivots.T), 1)[:, : embeddings.NEAREST]
     shared = [len({*a} & {*b}) for a, b in zip(near(x).tolist(), near(y).tolist(), strict=True)]
     assert np.mean([s >= embeddings.SHARED for s in shared]) >= 0.97
@@ -75,6 +105,6 @@ def test_awkward_rows(spark):
     twice = spark.createDataFrame([*rows, rows[0], (None, v, 0)], SCHEMA).selectExpr("*", "1 as n", "2 as rep", "3 as links")
     again = embeddings.link(twice)
     assert again.count() == len(rows) + 2
-    assert {r["n_links"] for r in again.filter("vec_id = 1").collect()} == {3}
-    assert [tuple(r) for r in again.filter("vec_id is null").collect()] == [(None, 0, None, True)]
+    assert {r["n_links"] for r in again.filter("vec_id = 1").collect()} == {4}  # the row without an id counts
+    assert [tuple(r) for r in again.filter("vec_id is null").collect()] == [(None, 4, 1, False)]
     assert embeddings.link(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,11 +57,21 @@ def test_raster_mask(spark, tiles, threshold, n):
 @pytest.mark.parametrize("threshold,n", [(0.0, 7), (0.4, 7), (0.5, 4), (1.0, 3)])
 def test_slide_mask(spark, tiles, threshold, n):
     m = np.kron(_array(), np.ones((10, 10), int))
-    step = 5  # a coarser copy of the pixels has the same shares
-    ys, xs = np.mgrid[0:1000:step, 0:1000:step]
-    rows = [("s", int(x), int(y), int(m[y, x])) for x, y in zip(xs.ravel(), ys.ravel(), strict=True)]
-    pixels = spark.createDataFrame(rows, "slide_id string, px int, py int, value int")
-    assert M.masked_tiles(tiles, pixels, threshold, "slide").count() == n
+    blocks = [("s", c // M.BLOCK, r // M.BLOCK, *(p := m[r : r + M.BLOCK, c : c + M.BLOCK]).shape[::-1], p.ravel().tolist()) for r in range(0, 1000, M.BLOCK) for c in range(0, 1000, M.BLOCK)]
+    table = spark.createDataFrame(blocks, "slide_id string, block_x int, block_y int, mask_w int, mask_h int, pixels array<int>")
+    assert M.masked_tiles(tiles, table, threshold, "slide").count() == n
+    got = {r["region_index"]: r["fraction"] for r in M.slide_fraction(tiles, table).collect()}
+    for t in tiles.collect():
+        x, y = int(t["x"]), int(t["y"])
+        assert got[t["region_index"]] == pytest.approx(m[y : y + t["h"], x : x + t["w"]].mean())
+
+
+def test_large_rasters_take_seconds(spark):
+    rng = np.random.default_rng(1)
+    mask = rng.integers(0, 2, (2000, 2000))
+    began = time.perf_counter()
+    made = M.summed_area(spark.createDataFrame([("s", 2000, 2000, mask.ravel().tolist())], "slide_id string, mask_w int, mask_h int, pixels array<int>"))
+    assert made.selectExpr("element_at(sums, -1) s", "size(sums) n").first() == (mask.sum(), 2001 * 2001) and time.perf_counter() - began < 60
 
 
 def test_unknown_kind(tiles, annotations):

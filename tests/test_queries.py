@@ -37,4 +37,4 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"ann_polygons_in_tile", "ann_geojson", "resample_lanczos"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"ann_geojson"}

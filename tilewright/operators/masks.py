@@ -6,6 +6,8 @@ or, at exactly 1, what is wholly covered; raster masks only what exceeds it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from . import tiling as T
 from .annotations import CELL, grid_join, spatial_join, with_bounds, with_query_box
 
 
+#: Side of a mask slide's blocks.
+BLOCK = 512
+
+
 def _passes(fraction: Column, threshold: float) -> Column:
     return (fraction > threshold) | (F.lit(threshold == 1.0) & (fraction == 1.0))
 
@@ -69,35 +75,50 @@ def raster_fraction(tiles: DataFrame, masks: DataFrame, key: str = "region_index
     return m.select("slide_id", key, (total / area).alias("fraction"))
 
 
-def summed_area(masks: DataFrame) -> DataFrame:
-    """Masks (slide_id, mask_w, mask_h, pixels: row-major array of ints) to summed-area tables."""
-    w, h = F.col("mask_w"), F.col("mask_h")
-    row = lambda j: F.slice("pixels", j * w + 1, w)
+def _sums(blocks: DataFrame, keep: list[str], foreground: bool) -> DataFrame:
+    """``keep`` and sums: summed-area tables of row-major pixels, of 0 and 1 if ``foreground``; one numpy pass a row."""
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", sums array<long>"
 
-    def running(values: Column) -> Column:
-        return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    def run(batches):
+        for batch in batches:
+            w, h = (batch.column(c).to_pylist() for c in ("mask_w", "mask_h"))
+            offsets, values = [0], []
+            pixels = batch.column("pixels")
+            for i in range(batch.num_rows):
+                p = pixels[i].values.fill_null(0).to_numpy(zero_copy_only=False).reshape(h[i], w[i]).astype(np.int64)
+                out = np.zeros((h[i] + 1, w[i] + 1), np.int64)
+                np.cumsum(np.cumsum(p > 0 if foreground else p, 0, dtype=np.int64), 1, out=out[1:, 1:])
+                values.append(out.ravel())
+                offsets.append(offsets[-1] + out.size)
+            sums = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sums], names=[*keep, "sums"])
 
-    def add(acc: Column, j: Column) -> Column:
-        above = F.slice(acc, -(w + 1), w + 1)
-        return F.concat(acc, F.zip_with(above, running(row(j)), lambda a, b: a + b))
+    return blocks.mapInArrow(run, shape)
 
-    sums = F.aggregate(F.sequence(F.lit(0), h - 1), F.array_repeat(F.lit(0).cast("long"), w + 1), add)
-    return masks.select("slide_id", "mask_w", "mask_h", sums.alias("sums"))
+
+def summed_area(masks: DataFrame) -> DataFrame:
+    """Masks (slide_id, mask_w, mask_h, pixels: row-major array of ints) to summed-area tables."""
+    return _sums(masks.select("slide_id", "mask_w", "mask_h", "pixels"), ["slide_id", "mask_w", "mask_h"], False)
 
 
-def slide_fraction(tiles: DataFrame, pixels: DataFrame, key: str = "region_index") -> DataFrame:
+def slide_fraction(tiles: DataFrame, blocks: DataFrame, key: str = "region_index", side: int = BLOCK) -> DataFrame:
     """(slide_id, key, fraction): the share of a mask slide's pixels with any colour under each tile.
 
-    ``pixels``: slide_id, px, py, value (null or 0: background) at the tiles' scaling. Tiles and pixels meet in
-    square cells of the grid's own pitch.
+    ``blocks``: slide_id, block_x, block_y, mask_w, mask_h, pixels: the mask slide at the tiles' scaling in squares of
+    ``side`` pixels (the last ones smaller), row-major, null or 0 where there is background. A tile meets the few
+    blocks under it and costs four look-ups in each, whatever their size.
     """
-    side = 64
-    cells = tiles.select("slide_id", key, "x", "y", "w", "h").withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x") / side), F.floor((F.col("x") + F.col("w") - 1) / side))))
-    cells = cells.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y") / side), F.floor((F.col("y") + F.col("h") - 1) / side))))
-    seen = pixels.withColumns({"_cx": F.floor(F.col("px") / side), "_cy": F.floor(F.col("py") / side)})
-    met = cells.join(seen, ["slide_id", "_cx", "_cy"])
-    met = met.filter((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h")))
-    return met.groupBy("slide_id", key).agg(F.avg((F.coalesce("value", F.lit(0)) > 0).cast("int")).alias("fraction"))
+    spans = {f"_{a}": F.explode(F.sequence(F.floor(F.col(a) / side).cast("int"), F.floor((F.col(a) + F.col(n) - 1) / side).cast("int"))) for a, n in (("x", "w"), ("y", "h"))}
+    cells = tiles.select("slide_id", key, "x", "y", "w", "h").withColumn("block_x", spans["_x"]).withColumn("block_y", spans["_y"])
+    tables = _sums(blocks.select("slide_id", "block_x", "block_y", "mask_w", "mask_h", "pixels"), ["slide_id", "block_x", "block_y", "mask_w", "mask_h"], True)
+    met = cells.join(tables, ["slide_id", "block_x", "block_y"])
+    inside = lambda v, a, n: F.greatest(F.lit(0), F.least(F.ceil(v - F.col(f"block_{a}") * side).cast("int"), F.col(n)))
+    met = met.withColumns({"_x0": inside(F.col("x"), "x", "mask_w"), "_y0": inside(F.col("y"), "y", "mask_h"), "_x1": inside(F.col("x") + F.col("w"), "x", "mask_w"), "_y1": inside(F.col("y") + F.col("h"), "y", "mask_h")})
+    at = lambda x, y: F.element_at("sums", F.col(y) * (F.col("mask_w") + 1) + F.col(x) + 1)
+    total = at("_x1", "_y1") - at("_x0", "_y1") - at("_x1", "_y0") + at("_x0", "_y0")
+    part = met.select("slide_id", key, total.alias("_n"), ((F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))).cast("long").alias("_a"))
+    return part.groupBy("slide_id", key).agg((F.sum("_n") / F.nullif(F.sum("_a"), F.lit(0))).alias("fraction"))
 
 
 def masked_tiles(tiles: DataFrame, mask: DataFrame | None, threshold: float | None, kind: str = "annotations", key: str = "region_index") -> DataFrame:

@@ -1,13 +1,18 @@
 """Annotations of a tile to pixels: class masks, class planes, regions of interest and point lists.
 
-Each polygon is expanded to the pixels of its box, tested pixel by pixel (edges count, coordinates rounded half to
-even), and the last polygon in order of layers wins a pixel. Only covered pixels are rows, so that work follows the
-annotated area and not the tile's.
+A mask is an array, not rows of pixels. Tiles are cut into bands of ``BAND`` rows; an annotation goes to the bands that
+its box reaches, each band is filled in numpy from a stream of polygons (edges count, coordinates rounded half to even,
+exact in whole numbers), and the last polygon in order of layers wins a pixel. A task holds one band whatever the number
+of its polygons, a large view spreads over its bands, and bands that nothing reaches are never made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import gcd
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnnotationError
@@ -15,62 +20,156 @@ from ..functions import geometry as G
 from .annotations import points_by_label, with_index
 
 TILE = ("slide_id", "region_index")
-
-
-def covered(annotations: DataFrame, by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None) -> DataFrame:
-    """(by, layer_idx, label, px, py): pixels inside each polygon's shell and outside its holes.
-
-    ``size``: tile width and height, if all are alike; otherwise columns w and h are read.
-    """
+#: Rows of a band.
+BAND = 128
+
+
+def ring_covers(xs: np.ndarray, ys: np.ndarray, left: int, top: int, width: int, height: int) -> np.ndarray:
+    """Which lattice points of the window lie inside or on a ring with whole coordinates."""
+    odd = np.zeros((height, width + 1), bool)
+    edge = np.zeros((height, width), bool)
+    xs, ys = xs.tolist(), ys.tolist()
+    for x1, y1, x2, y2 in zip(xs, ys, xs[1:] + xs[:1], ys[1:] + ys[:1], strict=True):
+        if y1 > y2:
+            x1, y1, x2, y2 = x2, y2, x1, y1
+        dx, dy = x2 - x1, y2 - y1
+        rows = np.arange(max(y1, top), min(y2, top + height))
+        if len(rows):  # points right of the crossing change sides
+            after = x1 + (rows - y1) * dx // dy + 1
+            odd[rows - top, np.clip(after - left, 0, width)] ^= True
+        steps = gcd(dx, dy)
+        k = np.arange(steps + 1)
+        x, y = x1 + k * (dx // max(steps, 1)) - left, y1 + k * (dy // max(steps, 1)) - top
+        seen = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+        edge[y[seen], x[seen]] = True
+    return np.logical_xor.accumulate(odd[:, :width], axis=1) | edge
+
+
+def polygon_covers(rings: list[tuple[np.ndarray, np.ndarray]], w: int, top: int, rows: int) -> tuple[slice, slice, np.ndarray] | None:
+    """(rows, columns, covered) of the part of a band that a polygon covers: in its shell and in no hole."""
+    xs, ys = rings[0]
+    x0, x1 = max(int(xs.min()), 0), min(int(xs.max()), w - 1)
+    y0, y1 = max(int(ys.min()), top), min(int(ys.max()), top + rows - 1)
+    if x0 > x1 or y0 > y1:
+        return None
+    inside = ring_covers(xs, ys, x0, y0, x1 - x0 + 1, y1 - y0 + 1)
+    for hx, hy in rings[1:]:
+        if len(hx):
+            a, b = max(int(hx.min()), x0), min(int(hx.max()), x1)
+            c, d = max(int(hy.min()), y0), min(int(hy.max()), y1)
+            if a <= b and c <= d:
+                inside[c - y0 : d - y0 + 1, a - x0 : b - x0 + 1] &= ~ring_covers(hx, hy, a, c, b - a + 1, d - c + 1)
+    return slice(y0 - top, y1 - top + 1), slice(x0, x1 + 1), inside
+
+
+def _rings_of(column: pa.ListArray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    outer, inner = column.offsets.to_numpy(), column.values.offsets.to_numpy()
+    points = column.values.values
+    x, y = (np.rint(points.field(k).to_numpy(zero_copy_only=False)).astype(np.int64) for k in ("x", "y"))
+    return [[(x[inner[r] : inner[r + 1]], y[inner[r] : inner[r + 1]]) for r in range(a, b)] for a, b in zip(outer[:-1].tolist(), outer[1:].tolist(), strict=True)]
+
+
+def paint(shapes: DataFrame, by: tuple[str, ...], band: int = BAND) -> DataFrame:
+    """(by, band, w, rows, pixels): for every band that one of ``shapes`` (by, layer_idx, value, w, h, rings) reaches,
+    the value of the last over each pixel, row-major, null where there is none."""
+    b = G.bounds(F.col("rings"))
+    first, last = F.greatest(F.lit(0), F.floor(b["y0"])), F.least(F.col("h") - 1, F.ceil(b["y1"]))
+    reached = shapes.withColumns({"_a": F.floor(first / band).cast("int"), "_z": F.floor(last / band).cast("int"), "_x0": b["x0"], "_x1": b["x1"]})
+    # half a pixel more, as coordinates are rounded
+    reached = reached.filter((first <= last) & (F.col("_x0") < F.col("w")) & (F.col("_x1") >= -0.5))
+    cut = reached.withColumn("band", F.explode(F.sequence("_a", "_z"))).select(*by, "band", "w", F.least(F.lit(band), F.col("h") - F.col("band") * band).alias("rows"), "layer_idx", F.col("value").cast("int").alias("value"), "rings")
+    group = [*by, "band"]
+    dealt = cut.repartition(*group).sortWithinPartitions(*group, "layer_idx")
+    shape = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in by) + ", band int, w int, rows int, pixels array<int>"
+    n = len(by)
+
+    def run(batches):
+        now, held, values, seen = None, None, None, None
+
+        def done():
+            cols = [pa.array([v], held.schema.field(k).type) for k, v in enumerate(now)]
+            rows, w = values.shape
+            cols += [pa.array([w], pa.int32()), pa.array([rows], pa.int32()), pa.ListArray.from_arrays(pa.array([0, w * rows], pa.int32()), pa.array(values.ravel(), pa.int32(), mask=~seen.ravel()))]
+            return pa.RecordBatch.from_arrays(cols, names=[*group, "w", "rows", "pixels"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(n + 1)), strict=True))
+            w, rows, value = (batch.column(c).to_pylist() for c in ("w", "rows", "value"))
+            for i, rings in enumerate(_rings_of(batch.column("rings"))):
+                if keys[i] != now:
+                    if now is not None and seen.any():
+                        yield done()
+                    now, held = keys[i], batch
+                    values, seen = np.zeros((rows[i], w[i]), np.int32), np.zeros((rows[i], w[i]), bool)
+                got = polygon_covers(rings, w[i], now[-1] * band, rows[i]) if rings and len(rings[0][0]) else None
+                if got is not None:
+                    values[got[0], got[1]][got[2]] = value[i]
+                    seen[got[0], got[1]] |= got[2]
+        if now is not None and seen.any():
+            yield done()
+
+    return dealt.mapInArrow(run, shape)
+
+
+def _shapes(annotations: DataFrame, by: tuple[str, ...], size: tuple[int, int] | None) -> DataFrame:
     w, h = (F.lit(size[0]), F.lit(size[1])) if size else (F.col("w"), F.col("h"))
-    shapes = annotations.filter(F.col("annotation_type") != "POINT").select(*by, "layer_idx", "label", w.alias("_w"), h.alias("_h"), G.rounded(F.col("rings")).alias("_r"))
-    shapes = shapes.withColumn("_b", G.bounds(F.col("_r")))
-    low = lambda k: F.greatest(F.lit(0), F.col(f"_b.{k}").cast("int"))
-    high = lambda k, n: F.least(F.col(n) - 1, F.col(f"_b.{k}").cast("int"))
-    shapes = shapes.withColumns({"_x0": low("x0"), "_y0": low("y0"), "_x1": high("x1", "_w"), "_y1": high("y1", "_h")}).filter("_x0 <= _x1 AND _y0 <= _y1")
-    holes = F.transform(F.slice("_r", 2, F.greatest(F.size("_r"), F.lit(1))), lambda r: F.struct(r.alias("r"), G.bounds(F.array(r)).alias("b"), G.is_upright_box(F.array(r)).alias("upright")))
-    shapes = shapes.withColumns({"_upright": G.is_upright_box(F.slice("_r", 1, 1)), "_holes": holes})
-    pixels = shapes.withColumn("px", F.explode(F.sequence("_x0", "_x1"))).withColumn("py", F.explode(F.sequence("_y0", "_y1")))
-    x, y = F.col("px").cast("double"), F.col("py").cast("double")
-    inside = F.col("_upright") | G.covers(F.col("_r")[0], x, y)  # an upright box holds all of its pixels
-
-    def in_hole(h):
-        b = h["b"]
-        boxed = (x >= b["x0"]) & (x <= b["x1"]) & (y >= b["y0"]) & (y <= b["y1"])
-        return boxed & (h["upright"] | G.covers(h["r"], x, y))
-
-    return pixels.filter(inside & ~F.exists("_holes", in_hole)).select(*by, "layer_idx", "label", "px", "py")
+    return annotations.filter(F.col("annotation_type") != "POINT").select(*by, "layer_idx", "label", w.cast("int").alias("w"), h.cast("int").alias("h"), "rings")
 
 
 def class_mask(annotations: DataFrame, index_map: dict[str, int], by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None, roi: str | None = None) -> DataFrame:
-    """(by, px, py, value): the class of the last polygon over each covered pixel."""
+    """Bands of the class of the last polygon over each covered pixel.
+
+    ``size``: tile width and height, if all are alike; otherwise columns w and h are read."""
     shapes = annotations if roi is None else annotations.filter(F.col("label") != roi)
-    found = with_index(covered(shapes, by, size), index_map)
-    return found.groupBy(*by, "px", "py").agg(F.max_by("index_value", "layer_idx").alias("value"))
+    return paint(with_index(_shapes(shapes, by, size), index_map).withColumnRenamed("index_value", "value"), by)
 
 
 def class_planes(annotations: DataFrame, index_map: dict[str, int], by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None, roi: str | None = None) -> DataFrame:
-    """(by, plane, px, py, value): 1 in the plane of every class over a covered pixel."""
+    """Bands by plane: 1 in the plane of every class over a covered pixel."""
     shapes = annotations if roi is None else annotations.filter(F.col("label") != roi)
-    found = with_index(covered(shapes, by, size), index_map)
-    return found.select(*by, F.col("index_value").alias("plane"), "px", "py").distinct().withColumn("value", F.lit(1))
+    made = with_index(_shapes(shapes, by, size), index_map).withColumnRenamed("index_value", "plane").withColumn("value", F.lit(1))
+    return paint(made, (*by, "plane"))
 
 
 def roi_mask(annotations: DataFrame, roi: str, by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None) -> DataFrame:
-    """(by, px, py, value): 1 inside the shells of the regions of interest; holes don't count."""
+    """Bands of 1 inside the shells of the regions of interest; holes don't count."""
     shells = annotations.filter(F.col("label") == roi).withColumn("rings", F.slice("rings", 1, 1))
-    return covered(shells, by, size).select(*by, "px", "py").distinct().withColumn("value", F.lit(1))
+    return paint(_shapes(shells, by, size).withColumn("value", F.lit(1)), by)
+
+
+def runs(bands: DataFrame, by: tuple[str, ...] = TILE, band: int = BAND) -> DataFrame:
+    """(by, py, x0, x1, value): a mask's covered pixels as runs of equal values, ends included."""
+    keep = [c for c in bands.columns if c not in ("band", "w", "rows", "pixels")]
+    shape = ", ".join(f"`{c}` {bands.schema[c].dataType.simpleString()}" for c in keep) + ", py int, x0 int, x1 int, value int"
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pixels = batch.column("pixels")[i].values
+                w, top = batch.column("w")[i].as_py(), batch.column("band")[i].as_py() * band
+                seen = pixels.is_valid().to_numpy(zero_copy_only=False)
+                v = pixels.fill_null(0).to_numpy()
+                at = np.arange(len(v))
+                start = seen & ((at % w == 0) | np.r_[True, ~seen[:-1] | (v[1:] != v[:-1])])
+                end = seen & ((at % w == w - 1) | np.r_[~seen[1:] | (v[1:] != v[:-1]), True])
+                a, z = np.flatnonzero(start), np.flatnonzero(end)
+                same = [batch.column(c).take(pa.array(np.full(len(a), i))) for c in keep]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x.astype(np.int32)) for x in (a // w + top, a % w, z % w, v[a]))], names=[*keep, "py", "x0", "x1", "value"])
+
+    return bands.mapInArrow(run, shape)
 
 
-def dense(pixels: DataFrame, tiles: DataFrame, by: tuple[str, ...] = TILE, default: int = 0, out: str = "mask", size: tuple[int, int] | None = None) -> DataFrame:
+def dense(bands: DataFrame, tiles: DataFrame, by: tuple[str, ...] = TILE, default: int = 0, out: str = "mask", size: tuple[int, int] | None = None, band: int = BAND) -> DataFrame:
     """(by, mask): rows of pixels (array of arrays, rows by columns) for every tile, ``default`` elsewhere."""
     w, h = (F.lit(size[0]), F.lit(size[1])) if size else (F.col("w"), F.col("h"))
-    held = pixels.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("py", "px"), "value"))).alias("_m"))
-    shapes = tiles.select(*by, w.alias("_w"), h.alias("_h")).join(held, list(by), "left")
-    # one map per row of pixels would be smaller still; a tile's map is bounded by its size
-    value = lambda j, i: F.coalesce(F.try_element_at("_m", F.struct(j.alias("py"), i.alias("px"))), F.lit(default))
-    rows = F.transform(F.sequence(F.lit(0), F.col("_h") - 1), lambda j: F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: value(j, i)))
-    return shapes.select(*by, rows.alias(out))
+    each = tiles.select(*by, w.alias("_w"), h.alias("_h")).withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("_h") - 1) / band).cast("int"))))
+    met = each.join(bands.select(*by, "band", "pixels"), [*by, "band"], "left")
+    lines = F.least(F.lit(band), F.col("_h") - F.col("band") * band)
+    empty = F.array_repeat(F.array_repeat(F.lit(default), F.col("_w")), lines)
+    rows = F.transform(F.sequence(F.lit(0), lines - 1), lambda j: F.transform(F.slice("pixels", j * F.col("_w") + 1, F.col("_w")), lambda v: F.coalesce(v, F.lit(default))))
+    made = met.withColumn("_r", F.when(F.col("pixels").isNull(), empty).otherwise(rows))
+    stacked = made.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("band", "_r"))).alias("_b"))  # as many as the tile has bands
+    return stacked.select(*by, F.flatten(F.transform("_b", lambda b: b["_r"])).alias(out))
 
 
 def to_masks(annotations: DataFrame, tiles: DataFrame, index_map: dict[str, int], roi: str | None = None, default: int = 0, multiclass: bool = False, by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None) -> DataFrame:
@@ -80,22 +179,18 @@ def to_masks(annotations: DataFrame, tiles: DataFrame, index_map: dict[str, int]
     """
     points = points_by_label(annotations, by)
     if multiclass:
-        planes = class_planes(annotations, index_map, by, size, roi)
-        parts = None
-        for k in range(max(index_map.values()) + 1):
-            one = dense(planes.filter(F.col("plane") == k), tiles, by, 0, f"_p{k}", size)
-            parts = one if parts is None else parts.join(one, list(by))
-        made = parts.select(*by, F.array(*(F.col(f"_p{k}") for k in range(max(index_map.values()) + 1))).alias("mask"))
+        planes = F.explode(F.sequence(F.lit(0), F.lit(max(index_map.values())))).alias("plane")
+        every = dense(class_planes(annotations, index_map, by, size, roi), tiles.select("*", planes), (*by, "plane"), 0, "_p", size)
+        made = every.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("plane", "_p"))), lambda p: p["_p"]).alias("mask"))  # as many as classes
     else:
         made = dense(class_mask(annotations, index_map, by, size, roi), tiles, by, default, "mask", size)
     out = made.join(points, list(by), "left")
     if roi is None:
         return out
     inside = roi_mask(annotations, roi, by, size)
-    there = inside.select(*by).distinct().withColumn("_roi", F.lit(True))
-    out = out.join(dense(inside, tiles, by, 0, "roi", size), list(by)).join(there, list(by), "left")
-    lacking = F.raise_error(F.lit(f"no region of interest {roi!r} in a tile")).cast("array<array<int>>")
-    return out.withColumn("roi", F.when(F.col("_roi"), F.col("roi")).otherwise(lacking)).drop("_roi")
+    out = out.join(dense(inside, tiles, by, 0, "roi", size), list(by))
+    lacking: Column = F.raise_error(F.lit(f"no region of interest {roi!r} in a tile")).cast("array<array<int>>")
+    return out.withColumn("roi", F.when(F.exists("roi", lambda r: F.array_contains(r, 1)), F.col("roi")).otherwise(lacking))
 
 
 def require_roi(annotations: DataFrame, tiles: DataFrame, roi: str, by: tuple[str, ...] = TILE) -> None:

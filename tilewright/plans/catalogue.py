@@ -286,12 +286,13 @@ def masked_tiles_raster(spark, sf_dir):
     )
 )
 def masked_tiles_slide(spark, sf_dir):
-    small = D.mask_pixels(spark, sf_dir)
-    step = F.sequence(F.lit(0), F.lit(11))
-    big = small.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("slide_id", (F.col("px") * 12 + F.col("dx")).alias("px"), (F.col("py") * 12 + F.col("dy")).alias("py"), "value")
+    """Masks of 8 x 8 as mask slides of 96 x 96, cut into blocks of 48."""
+    cell = lambda by, bx: F.transform(F.sequence(F.lit(0), F.lit(48 * 48 - 1)), lambda k: F.element_at("pixels", (F.lit(4 * by) + F.floor(k / 48 / 12)).cast("int") * 8 + (F.lit(4 * bx) + F.floor(k % 48 / 12)).cast("int") + 1))
+    block = lambda by, bx: F.struct(F.lit(bx).alias("block_x"), F.lit(by).alias("block_y"), F.lit(48).alias("mask_w"), F.lit(48).alias("mask_h"), cell(by, bx).alias("pixels"))
+    blocks = D.masks(spark, sf_dir).select("slide_id", F.inline(F.array(*(block(y, x) for y in (0, 1) for x in (0, 1)))))
     views = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.lit(0).alias("off_x"), F.lit(0).alias("off_y"), F.lit(96).alias("size_w"), F.lit(96).alias("size_h"))
     tiles = T.grid(views, (32, 32)).withColumn("region_index", F.col("k").cast("long"))
-    return M.slide_fraction(tiles, big).filter("fraction > 0.5")
+    return M.slide_fraction(tiles, blocks, side=48).filter("fraction > 0.5")
 
 
 # --- annotations
@@ -326,12 +327,44 @@ def ann_points_in_tile(spark, sf_dir):
     return got.select("slide_id", "region_index", "layer_idx", p["x"].alias("px"), p["y"].alias("py"))
 
 
-@query()
+#: An area in whole steps, whose limits no exact area meets: the engines' last bits differ.
+STEP = "floor(({}) * 997 + 0.123)::BIGINT"
+
+
+def _steps(area):
+    return F.floor(area * 997 + F.lit(0.123))
+
+
+#: Diamonds clipped to tiles, in the view's pixels: the height over x is linear between the places where an edge starts,
+#: turns or meets the tile, so that trapezoids over them give the area.
+CLIPPED = """
+near AS (
+  SELECT t.slide_id, t.region_index, a.layer_idx, (a.x0 + a.aw) * scaling - t.x AS cx, (a.y0 + a.ah) * scaling - t.y AS cy, a.aw * scaling AS hw, a.ah * scaling AS hh, t.w, t.h, scaling
+  FROM tiles t JOIN shapes a USING (slide_id)
+  WHERE a.annotation_type = 'POLYGON' AND a.x0 < (t.x + t.w) / scaling AND a.x1 > t.x / scaling AND a.y0 < (t.y + t.h) / scaling AND a.y1 > t.y / scaling),
+spans AS (SELECT *, greatest(0, cx - hw) AS a, least(w, cx + hw) AS z FROM near),
+turns AS (
+  SELECT *, list_sort([greatest(a, least(z, v)) FOR v IN [a, z, cx, cx - hw * (1 - abs(cy) / hh), cx + hw * (1 - abs(cy) / hh), cx - hw * (1 - abs(h - cy) / hh), cx + hw * (1 - abs(h - cy) / hh)]]) AS v FROM spans),
+heights AS (SELECT *, [greatest(0, least(h, cy + hh * (1 - abs(x - cx) / hw)) - greatest(0, cy - hh * (1 - abs(x - cx) / hw))) FOR x IN v] AS f FROM turns),
+clipped AS (SELECT slide_id, region_index, layer_idx, scaling, w, h, hw, hh, list_sum([(v[i + 1] - v[i]) * (f[i] + f[i + 1]) / 2 FOR i IN range(1, 7)]) AS area FROM heights)"""
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, D.tiles_sql(SCALE, 128, 128), CLIPPED, select=f"SELECT slide_id, region_index, layer_idx::BIGINT AS layer_idx, 1::BIGINT AS parts, {STEP.format('area')} AS area_steps FROM clipped WHERE area > 0.001"))
 def ann_polygons_in_tile(spark, sf_dir):
-    """Clipped diamonds with their pieces' areas; tests/test_clip.py holds them against brute force."""
+    """Clipped diamonds with their areas in the view's pixels; tests/test_clip.py holds other shapes to brute force."""
     shapes = D.annotations(spark, sf_dir).filter("annotation_type = 'POLYGON'")
     got = A.read_grid(D.slides(spark, sf_dir), shapes, 0.5, (128, 128))
-    return got.select("slide_id", "region_index", "layer_idx", "part", F.size(F.col("rings")[0]).alias("corners"), F.round(G.polygon_area(F.col("rings")), 6).alias("area"))
+    each = got.groupBy("slide_id", "region_index", "layer_idx").agg(F.count("*").alias("parts"), F.sum(G.polygon_area(F.col("rings"))).alias("area")).filter("area > 0.001")
+    return each.select("slide_id", "region_index", "layer_idx", "parts", _steps(F.col("area")).alias("area_steps"))
+
+
+@query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, D.tiles_sql(SCALE, 64, 64), CLIPPED, select=f"SELECT slide_id, region_index, {STEP.format('sum(area)')} AS area_steps FROM clipped GROUP BY slide_id, region_index HAVING sum(area) > 0.001"))
+def annotated_fraction_polygons(spark, sf_dir):
+    """The share of each tile that diamonds cover."""
+    shapes = D.annotations(spark, sf_dir).filter("annotation_type = 'POLYGON'")
+    made = M.annotated_fraction(_tiles(spark, sf_dir, 0.5, (64, 64)), shapes)
+    area = F.col("fraction") * 64 * 64
+    return made.filter(area > 0.001).select("slide_id", "region_index", _steps(area).alias("area_steps"))
 
 
 @query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, select="SELECT slide_id, layer_idx::BIGINT AS layer_idx, label, annotation_type FROM annotations WHERE label IN ('A', 'R')"))
@@ -441,62 +474,108 @@ def tile_sample_rows(spark, sf_dir):
     return made.select("slide_id", "sample_index", "region_index", "grid_index", local["i"].alias("local_i"), local["j"].alias("local_j"), at["x"].alias("x"), at["y"].alias("y"), "mpp", F.coalesce(F.col("labels")["quality"].cast("long"), F.lit(-1)).alias("quality"))
 
 
-# --- rasterising
+# --- rasterising: all slides, seen whole at a quarter of their size
 
-LOCAL = """
+QUARTER = """
+views AS (SELECT slide_id, width // 4 AS vw, height // 4 AS vh FROM slides),
 local AS (
-  SELECT slide_id, layer_idx, label, x0, y0, x0 + aw AS x1, y0 + ah AS y1 FROM annotations WHERE annotation_type = 'BOX' AND slide_id % 4 = 0),
-px AS (SELECT *, unnest(range(x0, least(x1, {w} - 1) + 1)) AS px FROM local WHERE x0 < {w}),
-pixels AS (SELECT *, unnest(range(y0, least(y1, {h} - 1) + 1)) AS py FROM px WHERE y0 < {h})"""
-WINDOW = (320, 240)
-PIXELS = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, LOCAL.format(w=WINDOW[0], h=WINDOW[1]))
+  SELECT slide_id, layer_idx, label, annotation_type, vw, vh, round_even(x0 / 4.0::DOUBLE, 0)::INT AS x0, round_even(y0 / 4.0::DOUBLE, 0)::INT AS y0,
+         round_even(x1 / 4.0::DOUBLE, 0)::INT AS x1, round_even(y1 / 4.0::DOUBLE, 0)::INT AS y1, round_even((x0 + aw) / 4.0::DOUBLE, 0)::INT AS xm, round_even((y0 + ah) / 4.0::DOUBLE, 0)::INT AS ym,
+         round_even((x0 + 2) / 4.0::DOUBLE, 0)::INT AS hx0, round_even((y0 + 1) / 4.0::DOUBLE, 0)::INT AS hy0, round_even((x1 - 2) / 4.0::DOUBLE, 0)::INT AS hx1, round_even((y1 - 1) / 4.0::DOUBLE, 0)::INT AS hy1
+  FROM shapes JOIN views USING (slide_id) WHERE annotation_type <> 'POINT'),
+px AS (SELECT *, unnest(range(x0, least(x1, vw - 1) + 1)) AS px FROM local WHERE x0 < vw),
+boxed AS (SELECT *, unnest(range(y0, least(y1, vh - 1) + 1)) AS py FROM px WHERE y0 < vh),
+pixels AS (
+  SELECT * FROM boxed WHERE annotation_type = 'BOX' OR (
+    (xm - x0) * (py - ym) <= (y1 - ym) * (px - x0) AND (xm - x0) * (ym - py) <= (ym - y0) * (px - x0)
+    AND (x1 - xm) * (py - ym) <= (y1 - ym) * (x1 - px) AND (x1 - xm) * (ym - py) <= (ym - y0) * (x1 - px)))"""
+PIXELS = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL, QUARTER)
 INDEX = {"A": 1, "N": 2, "R": 3}
 INDEX_SQL = "CASE label WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+SUMS = "count(*)::BIGINT AS n, sum(px)::BIGINT AS sx, sum(py)::BIGINT AS sy, sum(px * px)::BIGINT AS sxx, sum(px * py)::BIGINT AS sxy, sum(py * py)::BIGINT AS syy"
+LAST = f"last AS (SELECT slide_id, px, py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM pixels GROUP BY slide_id, px, py)"
+VIEW = ("slide_id",)
+
+
+def _quarter(spark, sf_dir):
+    """All boxes and diamonds on their slides' views."""
+    views = D.slides(spark, sf_dir).select("slide_id", F.floor(F.col("width") / 4).cast("int").alias("w"), F.floor(F.col("height") / 4).cast("int").alias("h"))
+    shapes = D.annotations(spark, sf_dir).filter("annotation_type <> 'POINT'").join(views, "slide_id")
+    return shapes.withColumn("rings", G.map_points(F.col("rings"), lambda p: G.point(p["x"] / 4, p["y"] / 4)))
 
 
-def _raster_boxes(spark, sf_dir):
-    """Boxes of every fourth slide, seen in a window of 320 x 240 pixels (the workload's definition)."""
-    return _boxes(spark, sf_dir).filter("slide_id % 4 = 0").withColumn("region_index", F.lit(0).cast("long"))
+def _moments(bands: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Number of a mask's pixels, and the sums of their coordinates, squares and products, by value."""
+    runs = Z.runs(bands, by).withColumns({"n": F.col("x1") - F.col("x0") + 1, "a": F.col("x0").cast("long"), "z": F.col("x1").cast("long"), "py": F.col("py").cast("long")})
+    n, y = F.col("n"), F.col("py")
+    sx = F.expr("(a + z) * n div 2")
+    square = lambda k: f"({k} * ({k} + 1) * (2 * {k} + 1) div 6)"
+    sxx = F.expr(f"{square('z')} - {square('(a - 1)')}")
+    return runs.groupBy(*by, "value").agg(F.sum(n).alias("n"), F.sum(sx).alias("sx"), F.sum(n * y).alias("sy"), F.sum(sxx).alias("sxx"), F.sum(sx * y).alias("sxy"), F.sum(n * y * y).alias("syy"))
 
 
-@query(_with(*PIXELS, select=f"SELECT slide_id, px::BIGINT AS px, py::BIGINT AS py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM pixels GROUP BY slide_id, px, py"))
+@query(_with(*PIXELS, LAST, select=f"SELECT slide_id, value, {SUMS} FROM last GROUP BY slide_id, value"))
 def mask_last_writer(spark, sf_dir):
-    return Z.class_mask(_raster_boxes(spark, sf_dir), INDEX, ("slide_id",), WINDOW)
+    return _moments(Z.class_mask(_quarter(spark, sf_dir), INDEX, VIEW), VIEW)
 
 
-@query(_with(*PIXELS, select=f"SELECT DISTINCT slide_id, ({INDEX_SQL})::BIGINT AS plane, px::BIGINT AS px, py::BIGINT AS py, 1::BIGINT AS value FROM pixels"))
+@query(_with(*PIXELS, f"planes AS (SELECT DISTINCT slide_id, ({INDEX_SQL})::BIGINT AS plane, px, py FROM pixels)", select=f"SELECT slide_id, plane, 1::BIGINT AS value, {SUMS} FROM planes GROUP BY slide_id, plane"))
 def mask_multiclass(spark, sf_dir):
-    return Z.class_planes(_raster_boxes(spark, sf_dir), INDEX, ("slide_id",), WINDOW)
+    by = (*VIEW, "plane")
+    return _moments(Z.class_planes(_quarter(spark, sf_dir), INDEX, VIEW), by)
 
 
-@query(_with(*PIXELS, select="SELECT DISTINCT slide_id, px::BIGINT AS px, py::BIGINT AS py, 1::BIGINT AS value FROM pixels WHERE label = 'R'"))
+@query(_with(*PIXELS, "inside AS (SELECT DISTINCT slide_id, px, py FROM pixels WHERE label = 'R')", select=f"SELECT slide_id, 1::BIGINT AS value, {SUMS} FROM inside GROUP BY slide_id"))
 def roi_mask(spark, sf_dir):
-    return Z.roi_mask(_raster_boxes(spark, sf_dir), "R", ("slide_id",), WINDOW)
+    return _moments(Z.roi_mask(_quarter(spark, sf_dir), "R", VIEW), VIEW)
 
 
 @query(
     _with(
         *PIXELS,
-        "cut AS (SELECT * FROM pixels WHERE NOT (px >= x0 + 2 AND px <= x1 - 2 AND py >= y0 + 1 AND py <= y1 - 1))",
-        select=f"SELECT slide_id, px::BIGINT AS px, py::BIGINT AS py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM cut GROUP BY slide_id, px, py",
+        f"last AS (SELECT slide_id, px, py, max_by({INDEX_SQL}, layer_idx)::BIGINT AS value FROM pixels WHERE NOT (px BETWEEN hx0 AND hx1 AND py BETWEEN hy0 AND hy1) GROUP BY slide_id, px, py)",
+        select=f"SELECT slide_id, value, {SUMS} FROM last GROUP BY slide_id, value",
     )
 )
 def mask_holes(spark, sf_dir):
-    boxes = _raster_boxes(spark, sf_dir)
+    """Every shape with a box cut out of it."""
+    shapes = _quarter(spark, sf_dir)
     b = G.bounds(F.col("rings"))
-    hole = G.box_rings(b["x0"] + 2, b["y0"] + 1, b["x1"] - b["x0"] - 4, b["y1"] - b["y0"] - 2)
-    return Z.class_mask(boxes.withColumn("rings", F.concat("rings", hole)), INDEX, ("slide_id",), WINDOW)
+    hole = G.box_rings(b["x0"] + 0.5, b["y0"] + 0.25, b["x1"] - b["x0"] - 1, b["y1"] - b["y0"] - 0.5)
+    return _moments(Z.class_mask(shapes.withColumn("rings", F.concat("rings", hole)), INDEX, VIEW), VIEW)
+
+
+@query(
+    _with(
+        *PIXELS,
+        LAST,
+        "sums AS (SELECT slide_id, sum(value)::BIGINT AS total, sum(value * (py + 1))::BIGINT AS by_row FROM last GROUP BY slide_id)",
+        select="SELECT slide_id, vw::BIGINT AS w, vh::BIGINT AS h, coalesce(total, 0)::BIGINT AS total, coalesce(by_row, 0)::BIGINT AS by_row, (SELECT count(*) FROM annotations a WHERE a.slide_id = v.slide_id AND annotation_type = 'POINT')::BIGINT AS points FROM views v LEFT JOIN sums s USING (slide_id)",
+    )
+)
+def to_masks(spark, sf_dir):
+    """A whole mask and the points for every slide."""
+    views = D.slides(spark, sf_dir).select("slide_id", F.floor(F.col("width") / 4).cast("int").alias("w"), F.floor(F.col("height") / 4).cast("int").alias("h"))
+    points = D.annotations(spark, sf_dir).filter("annotation_type = 'POINT'").join(views, "slide_id")
+    made = Z.to_masks(_quarter(spark, sf_dir).unionByName(points), views, INDEX, by=VIEW)
+    row = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, v: a + v)
+    rows = made.select("slide_id", "points", F.transform("mask", row).alias("sums"), F.size("mask").alias("h"), F.size(F.col("mask")[0]).alias("w"))
+    count = F.aggregate(F.map_values("points"), F.lit(0).cast("long"), lambda a, p: a + F.size(p))
+    return rows.select("slide_id", "w", "h", row(F.col("sums")).alias("total"), row(F.transform("sums", lambda v, j: v * (j + 1))).alias("by_row"), F.coalesce(count, F.lit(0)).alias("points"))
 
 
 # --- pixels
 
-IMAGE = "image AS (SELECT vec_id AS slide_id, k % 8 AS px, k // 8 AS py, floor(embedding[k + 1]::DOUBLE * 1024)::BIGINT AS value FROM (SELECT vec_id, embedding, unnest(range(64))::INT AS k FROM embeddings))"
+IMAGE = "image AS (SELECT vec_id AS slide_id, k % 8 AS px, k // 8 AS py, greatest(0, least(255, floor(embedding[k + 1]::DOUBLE * 128 + 128)))::BIGINT AS value FROM (SELECT vec_id, embedding, unnest(range(64))::INT AS k FROM embeddings))"
 
 
 def _image(spark, sf_dir):
-    """8 x 8 images of whole numbers, one level."""
-    rows = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.posexplode("embedding").alias("k", "v"))
-    return rows.select("slide_id", F.lit(0).alias("level"), (F.col("k") % 8).alias("px"), F.floor(F.col("k") / 8).cast("int").alias("py"), F.floor(F.col("v").cast("double") * 1024).alias("value"))
+    """A tile table of images of 8 x 8 bytes, in tiles of 4 x 4, one level."""
+    one = F.transform("embedding", lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 128 + 128)))), 2, "0"))
+    rows = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), one.alias("p"))
+    part = lambda r, c: F.unhex(F.concat(*(F.array_join(F.slice("p", 8 * (4 * r + j) + 4 * c + 1, 4), "") for j in range(4))))
+    tile = lambda r, c: F.struct(F.lit(0).alias("level"), F.lit(r).alias("tile_row"), F.lit(c).alias("tile_col"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit(1).alias("bands"), part(r, c).alias("data"))
+    return rows.select("slide_id", F.inline(F.array(*(tile(r, c) for r in (0, 1) for c in (0, 1)))))
 
 
 def _views(spark, sf_dir, x, y, w, h, scaling=1.0):
@@ -506,34 +585,57 @@ def _views(spark, sf_dir, x, y, w, h, scaling=1.0):
     return D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id")).withColumns(made)
 
 
+def _pixel_rows(images: DataFrame) -> DataFrame:
+    rows = images.select("slide_id", "width", F.posexplode(R.bytes_of(F.col("data"))).alias("k", "value"))
+    return rows.select("slide_id", (F.col("k") % F.col("width")).alias("tx"), F.floor(F.col("k") / F.col("width")).alias("ty"), "value")
+
+
 def _padded(x: int, y: int, w: int, h: int) -> str:
     targets = f"targets AS (SELECT vec_id AS slide_id, tx, unnest(range({h})) AS ty FROM (SELECT vec_id, unnest(range({w})) AS tx FROM embeddings))"
     return _with(IMAGE, targets, select=f"SELECT t.slide_id, tx::BIGINT AS tx, ty::BIGINT AS ty, coalesce(value, 0)::BIGINT AS value FROM targets t LEFT JOIN image i ON i.slide_id = t.slide_id AND px = tx + {x} AND py = ty + {y}")
 
 
+def _read(spark, sf_dir, view, kind="NEAREST", mode=None):
+    return _pixel_rows(R.read_regions(_views(spark, sf_dir, *view), _image(spark, sf_dir), 4, kind, mode=mode))
+
+
 @query(_padded(-2, 5, 6, 7))
 def region_zero_pad(spark, sf_dir):
-    return R.resample_nearest(_views(spark, sf_dir, -2, 5, 6, 7), _image(spark, sf_dir), "zero", ("slide_id",))
+    return _read(spark, sf_dir, (-2, 5, 6, 7), mode="zero")
 
 
 @query(_padded(0, 5, 4, 3))
 def region_crop(spark, sf_dir):
-    return R.resample_nearest(_views(spark, sf_dir, -2, 5, 6, 7), _image(spark, sf_dir), "crop", ("slide_id",))
+    return _read(spark, sf_dir, (-2, 5, 6, 7), mode="crop")
 
 
 @query(_with(IMAGE, "targets AS (SELECT vec_id AS slide_id, tx, unnest(range(16)) AS ty FROM (SELECT vec_id, unnest(range(16)) AS tx FROM embeddings))", select="SELECT t.slide_id, tx::BIGINT AS tx, ty::BIGINT AS ty, value FROM targets t JOIN image i ON i.slide_id = t.slide_id AND px = tx // 2 AND py = ty // 2"))
 def resample_nearest(spark, sf_dir):
-    return R.resample_nearest(_views(spark, sf_dir, 0, 0, 16, 16, 2.0), _image(spark, sf_dir), None, ("slide_id",))
+    return _read(spark, sf_dir, (0, 0, 16, 16, 2.0))
+
 
+#: The Lanczos kernel of reach 3 at twice the size: out pixel t lies at (t + 0.5) / 2 of the image.
+LANCZOS = """
+taps AS (SELECT t, s, s + 0.5::DOUBLE - (t + 0.5::DOUBLE) * 0.5 AS d FROM (SELECT t, unnest(range(8)) AS s FROM (SELECT unnest(range(16)) AS t))),
+raw AS (SELECT t, s, CASE WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * (sin(pi() * (d / 3)) / (pi() * (d / 3))) ELSE 0 END AS k FROM taps),
+weights AS (SELECT t, s, k / sum(k) OVER (PARTITION BY t) AS k FROM raw),
+across AS (SELECT slide_id, t AS tx, py, sum(value * k) AS v FROM image JOIN weights ON s = px GROUP BY slide_id, t, py),
+both_ AS (SELECT slide_id, tx, t AS ty, sum(v * k) AS v FROM across JOIN weights ON s = py GROUP BY slide_id, tx, t)"""
 
-@query(_with(IMAGE, select="SELECT slide_id, (px // 2)::BIGINT AS px, (py // 2)::BIGINT AS py, avg(value)::DOUBLE AS value FROM image GROUP BY slide_id, px // 2, py // 2"))
+
+@query(_with(IMAGE, LANCZOS, select="SELECT slide_id, tx::BIGINT AS tx, ty::BIGINT AS ty, greatest(0, least(255, round_even(v, 0)))::BIGINT AS value FROM both_"))
+def resample_lanczos(spark, sf_dir):
+    return _read(spark, sf_dir, (0, 0, 16, 16, 2.0), "LANCZOS")
+
+
+@query(_with(IMAGE, select="SELECT slide_id, 1::BIGINT AS level, (px // 2)::BIGINT AS tx, (py // 2)::BIGINT AS ty, floor((sum(value) + 2) / 4)::BIGINT AS value FROM image GROUP BY slide_id, px // 2, py // 2"))
 def pyramid_downsample(spark, sf_dir):
-    return R.downsample(_image(spark, sf_dir))
+    return _pixel_rows(R.downsample(_image(spark, sf_dir), 4)).withColumn("level", F.lit(1))
 
 
-@query(_with(IMAGE, select="SELECT slide_id, (px // 2)::BIGINT AS px, (py // 2)::BIGINT AS py, value FROM image WHERE px % 2 = 0 AND py % 2 = 0"))
+@query(_with(IMAGE, select="SELECT slide_id, (px // 2)::BIGINT AS tx, (py // 2)::BIGINT AS ty, value FROM image WHERE px % 2 = 0 AND py % 2 = 0"))
 def pyramid_downsample_mask(spark, sf_dir):
-    return R.downsample(_image(spark, sf_dir), is_mask=True)
+    return _pixel_rows(R.downsample(_image(spark, sf_dir), 4, is_mask=True))
 
 
 @query(_with(D.SLIDES_SQL, "n AS (SELECT *, greatest(0, least(ceil(log2(width / 128.0::DOUBLE)), ceil(log2(height / 128.0::DOUBLE))))::INT AS n FROM slides)", "l AS (SELECT *, unnest(range(n + 1))::INT AS level FROM n)", select="SELECT slide_id, level::BIGINT AS level, (width // pow(2, level)::INT)::BIGINT AS level_w, (height // pow(2, level)::INT)::BIGINT AS level_h, 1 / mpp * 10000 / pow(2, level) AS per_cm FROM l"))
@@ -564,16 +666,6 @@ def region_boundary(spark, sf_dir):
     return R.boundary(rows, "zero").select("slide_id", "read_x", "read_y", "read_w", "read_h", "paste_x", "paste_y", "out_w", "out_h")
 
 
-@query()
-def resample_lanczos(spark, sf_dir):
-    """8 x 8 images of one byte a pixel read at twice their size; tests/test_pixels.py holds the kernel."""
-    one = F.transform("embedding", lambda v: F.unhex(F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 128 + 128)))), 2, "0")))
-    data = F.aggregate(one, F.lit(b""), lambda a, b: F.concat(a, b))
-    table = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.lit(0).alias("level"), F.lit(0).alias("tile_row"), F.lit(0).alias("tile_col"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("bands"), data.alias("data"))
-    got = R.read_regions(_views(spark, sf_dir, 0, 0, 16, 16, 2.0), table, 8)
-    return got.select("slide_id", "width", "height", F.sha2("data", 256).alias("pixels_sha256"))
-
-
 @query("SELECT p_partkey AS slide_id, CASE WHEN p_partkey % 2 = 0 THEN 10000 / (100 + p_size)::DOUBLE ELSE -1 END AS mpp_x, CASE WHEN p_partkey % 2 = 0 THEN 10000 / (200 + p_size)::DOUBLE ELSE -1 END AS mpp_y FROM part")
 def tiff_mpp(spark, sf_dir):
     text = {"openslide.library-version": F.when(F.col("p_partkey") % 2 == 0, F.lit("3.4.1")).otherwise(F.lit("4.0.0")), "openslide.vendor": F.lit("generic-tiff"), "tiff.ResolutionUnit": F.lit("centimeter"), "tiff.XResolution": (100 + F.col("p_size")).cast("string"), "tiff.YResolution": (200 + F.col("p_size")).cast("string")}

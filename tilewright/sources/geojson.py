@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions.color import geojson_color
 from ..model import RINGS
 from ..operators.annotations import sort_layers
+from .contents import read_contents
 
 FEATURE = (
     "struct<type:string,id:string,geometry:struct<type:string,coordinates:variant>,"
@@ -47,34 +48,35 @@ def label_of(properties: Column) -> Column:
     return F.coalesce(properties["classification"]["name"], own, F.raise_error(F.lit("feature without a label")).cast("string"))
 
 
-def read(spark: SparkSession, paths: str | Sequence[str], sorting: str = "NONE", slide_id: str | None = None) -> DataFrame:
-    """Annotations of GeoJSON documents, in order of the paths and features given. ``slide_id``: one for all paths;
-    otherwise the file's name without its ending."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
-    for k, path in enumerate(paths):
-        docs = spark.read.schema(DOCUMENT).json(path, multiLine=True).select("*", F.lit(k).alias("_file"), F.input_file_name().alias("_path"))
-        out = docs if out is None else out.unionByName(docs)
-    name = F.lit(slide_id) if slide_id is not None else F.regexp_extract("_path", r"([^/]+?)(\.[^./]*)?$", 1)
-    rows = out.select(name.alias("slide_id"), "_file", F.posexplode("features").alias("_k", "f"))
-    rows = rows.select("slide_id", "_file", "_k", "f", F.posexplode(geometries(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))).alias("_p", "_g"))
+def parse(contents: DataFrame, sorting: str = "NONE") -> DataFrame:
+    """Annotations of documents: ``contents`` has slide_id, file, path and content, see ``read_contents``. A slide's
+    layers are numbered in the order of file, path, feature and part."""
+    rows = contents.select("slide_id", "file", "path", F.from_json("content", DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
+    rows = rows.select("slide_id", "file", "path", F.posexplode("d.features").alias("_k", "f"))
+    rows = rows.select("slide_id", "file", "path", "_k", "f", F.posexplode(geometries(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))).alias("_p", "_g"))
     color = F.coalesce(geojson_color(F.col("f.properties.classification.color")), geojson_color(F.col("f.properties.color")))
-    rows = rows.select("slide_id", "_file", "_k", "_p", label_of(F.col("f.properties")).alias("label"), F.col("_g.annotation_type"), color.alias("color"), F.lit(None).cast("int").alias("z_index"), F.col("_g.rings"))
-    order = Window.partitionBy("slide_id").orderBy("_file", "_k", "_p")
-    rows = rows.withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int"))
-    made = rows.select("slide_id", "layer_idx", "label", "annotation_type", "color", "z_index", "rings")
+    rows = rows.select("slide_id", "file", "path", "_k", "_p", label_of(F.col("f.properties")).alias("label"), F.col("_g.annotation_type"), color.alias("color"), F.lit(None).cast("int").alias("z_index"), F.col("_g.rings"))
+    order = Window.partitionBy("slide_id").orderBy("file", "path", "_k", "_p")
+    made = rows.withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int")).select("slide_id", "layer_idx", "label", "annotation_type", "color", "z_index", "rings")
     return made if sorting.upper() == "NONE" else sort_layers(made, sorting)
 
 
-def read_tags(spark: SparkSession, paths: str | Sequence[str], slide_id: str) -> DataFrame:
-    """(slide_id, tag) of the last document that has tags."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
-    for k, path in enumerate(paths):
-        one = spark.read.schema(DOCUMENT).json(path, multiLine=True).select(F.lit(k).alias("_file"), F.col("metadata.tags").alias("tags")).filter(F.size("tags") > 0)
-        out = one if out is None else out.unionByName(one)
-    last = out.agg(F.max_by("tags", "_file").alias("tags"))
-    return last.select(F.lit(slide_id).alias("slide_id"), F.explode("tags").alias("tag"))
+def parse_tags(contents: DataFrame) -> DataFrame:
+    """(slide_id, tag) of each slide's last document that has tags."""
+    tags = F.from_json("content", DOCUMENT)["metadata"]["tags"]
+    rows = contents.select("slide_id", F.struct("file", "path").alias("at"), tags.alias("tags")).filter(F.size("tags") > 0)
+    return rows.groupBy("slide_id").agg(F.max_by("tags", "at").alias("tags")).select("slide_id", F.explode("tags").alias("tag"))
+
+
+def read(spark: SparkSession, paths: str | Sequence[str], sorting: str = "NONE", slide_id: str | None = None) -> DataFrame:
+    """Annotations of GeoJSON files, in order of the paths and features given. ``slide_id``: one for all paths;
+    otherwise the file's name without its ending."""
+    return parse(read_contents(spark, paths, slide_id), sorting)
+
+
+def read_tags(spark: SparkSession, paths: str | Sequence[str], slide_id: str | None = None) -> DataFrame:
+    """(slide_id, tag) of each slide's last document that has tags."""
+    return parse_tags(read_contents(spark, paths, slide_id))
 
 
 def feature(extra: bool = False) -> Column:

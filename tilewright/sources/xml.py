@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from ..functions import geometry as G
 from ..functions.color import hex_to_rgb
 from ..operators.annotations import sort_layers
 from ..operators.clip import even_odd_parts
+from .contents import read_contents
 
 #: Coordinates are read as text: inference would give whole numbers another type, and some use a decimal comma.
-ASAP = "_Name string, _Type string, _PartOfGroup string, _Color string, Coordinates struct<Coordinate:array<struct<_Order:bigint,_X:string,_Y:string>>>"
+ASAP = "Annotations struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,Coordinates:struct<Coordinate:array<struct<_Order:bigint,_X:string,_Y:string>>>>>>"
 #: The types that such files use.
 ASAP_TYPES = {"polygon": "POLYGON", "rectangle": "BOX", "dot": "POINT", "spline": "POLYGON", "pointset": "POINT"}
-HALO = "_Name string, _LineColor string, Regions struct<Region:array<struct<_Type:string,_NegativeROA:string,Vertices:struct<V:array<struct<_X:string,_Y:string>>>>>>"
+HALO = "Annotation array<struct<_Name:string,_LineColor:string,Regions:struct<Region:array<struct<_Type:string,_NegativeROA:string,Vertices:struct<V:array<struct<_X:string,_Y:string>>>>>>>>"
 HALO_TYPES = {"rectangle": "BOX", "polygon": "POLYGON", "ellipse": "POLYGON", "pin": "POINT"}
 
 
@@ -29,27 +32,42 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
 COLUMNS = ("slide_id", "layer_idx", "label", "annotation_type", "color", "z_index", "rings")
 
 
-def read_asap(spark: SparkSession, path: str, slide_id: str, scaling: float | None = None, sorting: str = "AREA") -> DataFrame:
-    """ASAP annotations. Points have no area and are skipped, as is every polygon without one; larger areas come
-    first unless ``sorting`` says otherwise."""
-    rows = spark.read.format("xml").option("rowTag", "Annotation").schema(ASAP).load(path)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+def _opened(contents: DataFrame, schema: str, annotations: str) -> DataFrame:
+    """slide_id, file, path, _row and the fields of each annotation."""
+    rows = contents.select("slide_id", "file", "path", F.from_xml("content", schema, {"mode": "FAILFAST"}).alias("d"))
+    return rows.select("slide_id", "file", "path", F.posexplode(f"d.{annotations}").alias("_row", "a")).select("slide_id", "file", "path", "_row", "a.*")
+
+
+def read_asap(spark: SparkSession, paths: str | Sequence[str], slide_id: str | None = None, scaling: float | None = None, sorting: str = "AREA") -> DataFrame:
+    """ASAP files; ``slide_id``: one for all, otherwise each file's name without its ending."""
+    return parse_asap(read_contents(spark, paths, slide_id), scaling, sorting)
+
+
+def read_halo(spark: SparkSession, paths: str | Sequence[str], slide_id: str | None = None, scaling: float | None = None, sorting: str = "NONE") -> DataFrame:
+    """HALO files; ``slide_id``: one for all, otherwise each file's name without its ending."""
+    return parse_halo(read_contents(spark, paths, slide_id), scaling, sorting)
+
+
+def parse_asap(contents: DataFrame, scaling: float | None = None, sorting: str = "AREA") -> DataFrame:
+    """ASAP annotations of ``contents`` (slide_id, file, path, content). Points have no area and are skipped, as is
+    every polygon without one; larger areas come first unless ``sorting`` says otherwise."""
+    rows = _opened(contents, ASAP, "Annotations.Annotation")
     kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in ASAP_TYPES.items() for x in kv)), F.lower(F.trim("_Type")))
     factor = F.lit(float(scaling or 1.0))
     ring = F.transform(F.array_sort(F.transform("Coordinates.Coordinate", lambda c: F.struct(c["_Order"].alias("o"), (_number(c["_X"]) * factor).alias("x"), (_number(c["_Y"]) * factor).alias("y")))), lambda c: G.point(c["x"], c["y"]))
     unknown = F.raise_error(F.concat(F.lit("unknown annotation type: "), F.coalesce("_Type", F.lit("none")))).cast("string")
-    rows = rows.select(F.lit(slide_id).alias("slide_id"), "_row", F.trim("_PartOfGroup").alias("label"), F.coalesce(kind, unknown).alias("annotation_type"), hex_to_rgb(F.col("_Color")).alias("color"), F.lit(None).cast("int").alias("z_index"), F.array(G.opened(ring)).alias("rings"))
+    rows = rows.select("slide_id", "file", "path", "_row", F.trim("_PartOfGroup").alias("label"), F.coalesce(kind, unknown).alias("annotation_type"), hex_to_rgb(F.col("_Color")).alias("color"), F.lit(None).cast("int").alias("z_index"), F.array(G.opened(ring)).alias("rings"))
     rows = rows.filter(F.col("annotation_type") != "POINT").select(*(c for c in rows.columns if c != "rings"), F.posexplode(even_odd_parts(F.col("rings"))).alias("_part", "rings"))
     rows = rows.filter(G.polygon_area(F.col("rings")) != 0)
-    made = _numbered(rows, "_row", "_part").select(*COLUMNS)
+    made = _numbered(rows, "file", "path", "_row", "_part").select(*COLUMNS)
     return made if sorting.upper() == "NONE" else sort_layers(made, sorting)
 
 
-def read_halo(spark: SparkSession, path: str, slide_id: str, scaling: float | None = None, sorting: str = "NONE") -> DataFrame:
-    """HALO annotations, relative to the slide's bounds (see operators.annotations.shifted): rectangles from two
-    corners, ellipses as polygons of 64 corners in their box, polygons and pins."""
-    rows = spark.read.format("xml").option("rowTag", "Annotation").schema(HALO).load(path)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode("Regions.Region").alias("_k", "r"))
+def parse_halo(contents: DataFrame, scaling: float | None = None, sorting: str = "NONE") -> DataFrame:
+    """HALO annotations of ``contents`` (slide_id, file, path, content), relative to the slide's bounds (see
+    operators.annotations.shifted): rectangles from two corners, ellipses as polygons of 64 corners in their box,
+    polygons and pins."""
+    rows = _opened(contents, HALO, "Annotation").select("*", F.posexplode("Regions.Region").alias("_k", "r"))
     kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in HALO_TYPES.items() for x in kv)), F.lower(F.trim("r._Type")))
     unknown = F.raise_error(F.concat(F.lit("unknown region type: "), F.coalesce("r._Type", F.lit("none")))).cast("string")
     factor = F.lit(float(scaling or 1.0))
@@ -63,6 +81,6 @@ def read_halo(spark: SparkSession, path: str, slide_id: str, scaling: float | No
     # colours are one number, blue in its highest byte
     n = F.col("_LineColor").cast("long")
     color = F.when(n.isNotNull(), F.array(n.bitwiseAND(F.lit(255)).cast("int"), F.shiftright(n, 8).bitwiseAND(F.lit(255)).cast("int"), F.shiftright(n, 16).bitwiseAND(F.lit(255)).cast("int")))
-    rows = rows.select(F.lit(slide_id).alias("slide_id"), "_row", "_k", F.col("_Name").alias("label"), F.coalesce(kind, unknown).alias("annotation_type"), color.alias("color"), F.lit(None).cast("int").alias("z_index"), rings.alias("rings"))
-    made = _numbered(rows, "_row", "_k").select(*COLUMNS)
+    rows = rows.select("slide_id", "file", "path", "_row", "_k", F.col("_Name").alias("label"), F.coalesce(kind, unknown).alias("annotation_type"), color.alias("color"), F.lit(None).cast("int").alias("z_index"), rings.alias("rings"))
+    made = _numbered(rows, "file", "path", "_row", "_k").select(*COLUMNS)
     return made if sorting.upper() == "NONE" else sort_layers(made, sorting)

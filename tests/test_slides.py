@@ -1,4 +1,5 @@
 import json
+import types
 
 import numpy as np
 import pytest
@@ -44,12 +45,72 @@ def test_backends(path):
         def open(self, p):
             return {"width": 10, "height": 10, "mpp": None, "levels": [{"level": 0, "width": 10, "height": 10, "downsample": 1.0}], "properties": {}}
 
+        def read_window(self, p, level, x, y, w, h):
+            return np.full((h, w, 1), 9, np.uint8)
+
+    assert (slides.read_region("x", (1, 1), 1.0, (4, 3), backend=Own(), overwrite_mpp=(1.0, 1.0)) == 9).all()
     slides.register("own", Own())
     with pytest.raises(UnsupportedSlideError):
         slides.open_slide("x", "own")
     assert slides.open_slide("x", Own(), (1.0, 1.0))["mpp"] == 1.0
 
 
+def test_library_backends(path, monkeypatch):
+    """Both adapters over stand-ins for their libraries that serve the TIFF file's pixels."""
+    pixels = image(600, 400, 3)
+
+    class FakeOpenSlide:
+        def __init__(self, p):
+            self.dimensions, self.level_dimensions, self.level_downsamples = (600, 400), [(600, 400), (300, 200)], (1.0, 2.0)
+            self.properties = {"openslide.mpp-x": "0.5", "openslide.mpp-y": "0.5", "openslide.bounds-x": "7", "openslide.vendor": "v"}
+            self.associated_images = {"label": pixels[:4, :5]}
+
+        def read_region(self, at, level, size):
+            step = 2**level
+            return pixels[at[1] :: step, at[0] :: step][: size[1], : size[0]]
+
+    class FakeImage:
+        def __init__(self, pixels, **fields):
+            self.pixels, self.fields = pixels, fields
+            self.height, self.width = pixels.shape[:2]
+            self.xres = self.yres = 2000.0
+
+        @classmethod
+        def new_from_file(cls, p, page=0, associated=None):
+            return cls(pixels[:3, :3]) if associated else cls(pixels[:: 2**page, :: 2**page], **{"n-pages": 2, "slide-associated-images": "macro, label"})
+
+        def get_fields(self):
+            return list(self.fields)
+
+        def get(self, k):
+            return self.fields[k]
+
+        def crop(self, x, y, w, h):
+            return FakeImage(self.pixels[y : y + h, x : x + w])
+
+        def numpy(self):
+            return self.pixels
+
+    modules = {"openslide": types.SimpleNamespace(OpenSlide=FakeOpenSlide), "pyvips": types.SimpleNamespace(Image=FakeImage)}
+    for cls in (slides.OpenSlideBackend, slides.VipsBackend):
+        monkeypatch.setattr(cls, "library", lambda self: modules[self.module])
+    for name in ("openslide", "vips"):
+        s = slides.open_slide(path + name, name)
+        assert (s["width"], s["mpp"], [v["downsample"] for v in s["levels"]]) == (600, 0.5, [1.0, 2.0])
+        assert (slides.read_region(path + name, (10, 20), 1.0, (50, 40), backend=name) == pixels[20:60, 10:60]).all()
+        assert slides.read_region(path + name, (5, 5), 0.5, (60, 30), backend=name).shape == (30, 60, 3)
+    assert slides.open_slide(path + "openslide", "openslide")["offset_x"] == 7
+    assert slides.associated_images(path, "openslide")["label"].shape == (4, 5, 3) and set(slides.associated_images(path, "vips")) == {"macro", "label"}
+    assert slides.associated_images(path) == {}
+
+
+def test_whole_pixels(path):
+    pixels = image(600, 400, 3)
+    assert (slides.read_region(path, (10, 20), 1.0, (50, 40), whole_pixels=True) == pixels[20:60, 10:60]).all()
+    wide = slides.read_region(path, (31, 0), 2.0, (20, 10), "NEAREST", whole_pixels=True)
+    assert (wide[0, :, 0] == pixels[0, 15 + ((np.arange(20) + 0.5) * (26 - 15) / 20).astype(int), 0]).all()
+
+
 def test_regions_and_thumbnail(path):
     assert (slides.read_region(path, (10, 20), 1.0, (50, 40)) == image(600, 400, 3)[20:60, 10:60]).all()
     assert slides.read_region(path, (0, 0), 0.3, (180, 120)).shape == (120, 180, 3)

@@ -19,7 +19,8 @@ class Slide:
     """One slide file."""
 
     def __init__(self, path: str, backend: str = "tiff", overwrite_mpp: tuple[float, float] | None = None):
-        self.path, self.about = path, slides.open_slide(path, backend, overwrite_mpp)
+        self.path, self.backend, self.overwrite_mpp = path, backend, overwrite_mpp
+        self.about = slides.open_slide(path, backend, overwrite_mpp)
 
     @property
     def size(self) -> tuple[int, int]:
@@ -47,10 +48,14 @@ class Slide:
         return min(self.about["levels"], key=lambda v: (abs((v["mpp_x"] + v["mpp_y"]) / 2 - mpp), v["level"]))["level"]
 
     def read_region(self, location: tuple[float, float], scaling: float, size: tuple[int, int], kind: str = "LANCZOS") -> np.ndarray:
-        return slides.read_region(self.path, location, scaling, size, kind)
+        return slides.read_region(self.path, location, scaling, size, kind, self.backend, self.overwrite_mpp)
 
     def thumbnail(self, box: tuple[int, int] = (512, 512)) -> np.ndarray:
-        return slides.thumbnail(self.path, box)
+        return slides.thumbnail(self.path, box, self.backend, self.overwrite_mpp)
+
+    @property
+    def associated_images(self) -> dict[str, np.ndarray]:
+        return slides.associated_images(self.path, self.backend)
 
     def __repr__(self) -> str:
         return f"Slide({self.path!r}, size={self.size}, mpp={self.mpp}, levels={len(self.about['levels'])})"
@@ -64,7 +69,7 @@ class AnnotationSet:
 
     @classmethod
     def from_geojson(cls, spark: SparkSession, paths: str | Sequence[str], slide_id: str | None = None, sorting: str = "NONE") -> AnnotationSet:
-        return cls(geojson.read(spark, paths, sorting, slide_id), geojson.read_tags(spark, paths, slide_id or ""))
+        return cls(geojson.read(spark, paths, sorting, slide_id), geojson.read_tags(spark, paths, slide_id))
 
     @classmethod
     def from_asap_xml(cls, spark: SparkSession, path: str, slide_id: str, scaling: float | None = None, sorting: str = "AREA") -> AnnotationSet:
@@ -144,9 +149,13 @@ class TileDataset:
 
     def __getitem__(self, index: int | slice) -> Row | list[Row]:
         if isinstance(index, slice):
-            wanted = list(range(*index.indices(len(self))))
-            found = {r["ordinal"]: r for r in self.table.filter(F.col("ordinal").isin(wanted)).collect()} if wanted else {}
-            return [found[i] for i in wanted]
+            wanted = range(*index.indices(len(self)))
+            if not wanted:
+                return []
+            low, high = min(wanted[0], wanted[-1]), max(wanted[0], wanted[-1])
+            at = F.col("ordinal")
+            rows = self.table.filter(at.between(low, high) & (F.pmod(at - low, F.lit(abs(wanted.step))) == 0)).orderBy(at if wanted.step > 0 else at.desc())
+            return rows.collect()
         return tiling.item(self.table, index, len(self)).first()
 
     def __iter__(self) -> Iterator[Row]:

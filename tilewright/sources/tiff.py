@@ -8,6 +8,9 @@ Files are opened by pyarrow's file systems, so that every executor can read its
 
 from __future__ import annotations
 
+import glob
+import itertools
+import os
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -212,30 +215,40 @@ class Rows(InputPartition):
     tiles: list[tuple[int, int]]
 
 
+def files_of(path: str) -> list[str]:
+    """A file, the TIFF files of a folder, or those that a pattern matches, in order of their names."""
+    path = path.removeprefix("file:")
+    if os.path.isdir(path):
+        return sorted(p for p in glob.glob(f"{path}/*") if p.lower().endswith((".tif", ".tiff")))
+    return sorted(glob.glob(path)) if glob.has_magic(path) else [path]
+
+
 class TiffReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def partitions(self):
         """Runs of tiles of a level, some 64 each."""
-        path = self.options["path"]
-        slide = self.options.get("slide_id") or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        with open_file(path) as f:
-            pages = read_pages(f)
         out = []
-        for level, page in enumerate(pages):
-            if "level" in self.options and int(self.options["level"]) != level:
-                continue
-            if "w" in self.options:
-                tiles = overlapping(page, *(int(self.options[k]) for k in "xywh"))
-            else:
-                nx, ny = page.grid
-                tiles = [(r, c) for r in range(ny) for c in range(nx)]
-            step = int(self.options.get("tiles", 64))
-            out += [Rows(path, slide, level, tiles[k : k + step]) for k in range(0, len(tiles), step)]
-        return out or [Rows(path, slide, 0, [])]
+        for path in files_of(self.options["path"]):
+            slide = self.options.get("slide_id") or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            with open_file(path) as f:
+                pages = read_pages(f)
+            for level, page in enumerate(pages):
+                if "level" in self.options and int(self.options["level"]) != level:
+                    continue
+                if "w" in self.options:
+                    tiles = overlapping(page, *(int(self.options[k]) for k in "xywh"))
+                else:
+                    nx, ny = page.grid
+                    tiles = [(r, c) for r in range(ny) for c in range(nx)]
+                step = int(self.options.get("tiles", 64))
+                out += [Rows(path, slide, level, tiles[k : k + step]) for k in range(0, len(tiles), step)]
+        return out or [Rows(self.options["path"], "", 0, [])]
 
     def read(self, partition: Rows):
+        if not partition.tiles:
+            return
         with open_file(partition.path) as f:
             page = read_pages(f)[partition.level]
             for r, c in partition.tiles:
@@ -244,7 +257,7 @@ class TiffReader(DataSourceReader):
 
 
 class TiledTiff(DataSource):
-    """The tile table of one file."""
+    """The tile table of a file, of a folder's files or of those that a pattern matches."""
 
     @classmethod
     def name(cls) -> str:
@@ -293,42 +306,42 @@ class TiffWriter:
         return sorted(out, key=lambda x: x[0])
 
     def from_tiles(self, tiles) -> None:
-        """Write from an iterator of level-0 tiles in row-major order; further levels are made from the one before."""
-        import os
-
+        """Write from an iterator of level-0 tiles in row-major order; further levels are made from the one before,
+        whose tiles are read back from the file: four tiles are held at a time."""
         sizes = self.level_sizes()
         temporary = f"{self.path}.partial"
-        with open(temporary, "wb") as f:
+        with open(temporary, "w+b") as f:
             f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
-            link = 8
+            link, before = 8, None
             for level, (w, h) in enumerate(sizes):
                 nx, ny = -(-w // self.tile[0]), -(-h // self.tile[1])
-                offsets, counts, below = [], [], {}
-                source = iter(tiles) if level == 0 else (self._half(before, r, c, w, h) for r in range(ny) for c in range(nx))
-                for k in range(nx * ny):
+                offsets, counts = [], []
+                source = iter(tiles) if level == 0 else (self._half(f, before, r, c, w, h) for r in range(ny) for c in range(nx))
+                for _ in range(nx * ny):
                     t = np.asarray(next(source), np.uint8)
                     t = t.reshape(t.shape[0], t.shape[1], -1)
                     full = np.zeros((self.tile[1], self.tile[0], self.size[2]), np.uint8)
                     full[: t.shape[0], : t.shape[1]] = t
                     raw = ENCODERS[self.compression](full.tobytes())
+                    f.seek(0, 2)
                     offsets.append(f.tell())
                     counts.append(len(raw))
                     f.write(raw)
-                    if level + 1 < len(sizes):
-                        below[divmod(k, nx)] = t
-                before = below
+                before = (offsets, counts, nx, ny)
                 link = self._directory(f, link, self._fields(level, (w, h), offsets, counts))
         os.replace(temporary, self.path)
 
-    def _half(self, before: dict, row: int, col: int, w: int, h: int) -> np.ndarray:
+    def _half(self, f, before: tuple[list[int], list[int], int, int], row: int, col: int, w: int, h: int) -> np.ndarray:
         """A tile of the next level from the four of the one before."""
         tw, th = self.tile
+        offsets, counts, nx, ny = before
         big = np.zeros((2 * th, 2 * tw, self.size[2]), np.uint8)
-        for r in (0, 1):
-            for c in (0, 1):
-                t = before.get((2 * row + r, 2 * col + c))
-                if t is not None:
-                    big[r * th : r * th + t.shape[0], c * tw : c * tw + t.shape[1]] = t
+        for r in (2 * row, 2 * row + 1):
+            for c in (2 * col, 2 * col + 1):
+                if r < ny and c < nx:
+                    f.seek(offsets[r * nx + c])
+                    t = np.frombuffer(DECODERS[self.compression](f.read(counts[r * nx + c])), np.uint8).reshape(th, tw, -1)
+                    big[(r - 2 * row) * th : (r - 2 * row + 1) * th, (c - 2 * col) * tw : (c - 2 * col + 1) * tw] = t
         made = big[::2, ::2] if self.is_mask else np.round((big[::2, ::2].astype(np.uint16) + big[1::2, ::2] + big[::2, 1::2] + big[1::2, 1::2]) / 4).astype(np.uint8)
         return made[: min(th, h - row * th), : min(tw, w - col * tw)]
 
@@ -367,6 +380,29 @@ def write_tile_table(tiles, path: str, **how) -> None:
     TiffWriter(path, **how).from_tiles(rows)
 
 
+def write_slides(tiles, slides, folder: str, tile: tuple[int, int], **how):
+    """(slide_id, path): a TIFF in ``folder`` (shared by the executors) for each slide of a tile table, written where
+    its tiles are: one tile is held at a time. ``slides``: slide_id, width, height, bands, mpp."""
+    rows = tiles.filter("level = 0").select("slide_id", "tile_row", "tile_col", "height", "width", "data")
+    size = slides.selectExpr("slide_id", "width AS _w", "height AS _h", "bands AS _b", "CAST(mpp AS double) AS _m")
+    dealt = rows.join(size, "slide_id").repartition("slide_id").sortWithinPartitions("slide_id", "tile_row", "tile_col")
+    kind = rows.schema["slide_id"].dataType.simpleString()
+
+    def flat(batches):
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("slide_id", "_w", "_h", "_b", "_m", "height", "width", "data")), strict=True)
+
+    def run(batches):
+        for slide, group in itertools.groupby(flat(batches), lambda r: r[0]):
+            first = next(group)
+            path = f"{folder}/{slide}.tiff"
+            pixels = (np.frombuffer(r[7], np.uint8).reshape(r[5], r[6], r[3]) for r in itertools.chain([first], group))
+            TiffWriter(path, first[1:4], (first[4], first[4]), tile, **how).from_tiles(pixels)
+            yield pa.RecordBatch.from_arrays([pa.array([slide]), pa.array([path])], names=["slide_id", "path"])
+
+    return dealt.mapInArrow(run, f"slide_id {kind}, path string")
+
+
 def tile_batches(image: np.ndarray, slide_id: str, tile: tuple[int, int], level: int = 0) -> pa.Table:
     """Tile-table rows of an image."""
     image = image.reshape(image.shape[0], image.shape[1], -1)

@@ -119,9 +119,14 @@ def filter_labels(annotations: DataFrame, labels: str | Sequence[str]) -> DataFr
     return annotations.filter(F.col("label").isin(*([labels] if isinstance(labels, str) else labels)))
 
 
+def has(label: str, annotation_type: str | None = None) -> Column:
+    """Whether an annotation is of the class."""
+    same = F.col("label") == label
+    return same if annotation_type is None else same & (F.col("annotation_type") == annotation_type)
+
+
 def contains(annotations: DataFrame, label: str, annotation_type: str | None = None) -> bool:
-    found = filter_labels(annotations, label)
-    return not (found if annotation_type is None else found.filter(F.col("annotation_type") == annotation_type)).isEmpty()
+    return not annotations.filter(has(label, annotation_type)).isEmpty()
 
 
 def available_classes(annotations: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from ..operators import raster as R
 from ..operators import rasterize as Z
 from ..operators import samples
 from ..operators import tiling as T
-from ..sources import geojson
 from . import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,6 +296,7 @@ def masked_tiles_slide(spark, sf_dir):
 
 # --- annotations
 
+SHAPES_AND = (D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.SHAPES_SQL)
 SEEN = """
 seen AS (
   SELECT t.slide_id, t.region_index, a.layer_idx, a.label, a.annotation_type, t.x, t.y, t.scaling, a.x0, a.y0, a.x1, a.y1,
@@ -461,12 +461,6 @@ def ann_wkt(spark, sf_dir):
     return D.annotations(spark, sf_dir).select("slide_id", "layer_idx", G.wkt(F.col("annotation_type"), F.col("rings")).alias("wkt"))
 
 
-@query()
-def ann_geojson(spark, sf_dir):
-    """A document for each slide; tests/test_annotations.py reads one back."""
-    return geojson.documents(D.annotations(spark, sf_dir))
-
-
 @query(_with(D.SLIDES_SQL, D.ANNOTATIONS_SQL, D.tiles_sql(SCALE, 32, 32), FRACTIONS, select="SELECT s.slide_id, (row_number() OVER (PARTITION BY s.slide_id ORDER BY s.region_index) - 1)::BIGINT AS sample_index, s.region_index, 0::BIGINT AS grid_index, (k // ny)::BIGINT AS local_i, (k % ny)::BIGINT AS local_j, x, y, view_mpp AS mpp, coalesce(quality, -1)::BIGINT AS quality FROM shares s JOIN tiles t ON s.slide_id = t.slide_id AND s.region_index = t.region_index LEFT JOIN labels ON s.slide_id = doc_id WHERE fraction > 0.5"))
 def tile_sample_rows(spark, sf_dir):
     made = samples.tile_samples(D.slides(spark, sf_dir), 0.5, (32, 32), mask=_boxes(spark, sf_dir), mask_threshold=0.5, labels=D.image_labels(spark, sf_dir))

@@ -1,10 +1,12 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from tilewright.llm import language
 
-from .helpers import awkward, crowded
+from .helpers import SF, awkward, crowded
 
 WORDS = {"en": "the and of that with this from have not which water river house light", "de": "der und die nicht mit sich auf haben wasser flüsse häuser licht über", "fr": "le et les des dans pour avec être rivière maison lumière où"}
 
@@ -61,3 +63,31 @@ def test_many_languages_take_more_words(spark):
     assert filters.table.shape[0] == 2
     told = language.identify(docs, filters).collect()
     assert sum(r["lang"] == r["lang_pred"] for r in told) >= 26
+
+
+def test_parts_of_long_texts_give_the_same():
+    texts = [None, "", "ab", "The quick brown fox, 12 jumps; über den Fluß! " * 6, "12 34", "x" * 90]
+    whole = language.grams(texts)
+    for most in (5, 64, 10_000):
+        parts = list(language.windows(texts, most))
+        assert all((np.concatenate([p[k] for p in parts]) == whole[k]).all() for k in (0, 1))
+    assert whole[1].tolist().count(2) == 3 and 4 not in whole[1]
+
+
+def test_query_on_held_out_documents(spark):
+    """On the given table, and held to a filter without false positives: a set of n-grams for each language."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in language.op4_language_filters(spark, SF).collect()}
+    assert set(got) == set(docs) and all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    count, rows = defaultdict(Counter), Counter()
+    for d, r in docs.items():
+        if not got[d]["held_out"] and r["lang"] is not None and r["text"] is not None:
+            rows[r["lang"]] += 1
+            count[r["lang"]].update(language.grams([r["text"]])[0].tolist())
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in count.items()}
+    most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    known = {x: {g for g, v in s.items() if v >= language.MIN_SHARE and v >= language.KEEP_RATIO * most[g]} for x, s in share.items()}
+    same = [max(known, key=lambda x: (sum(g in known[x] for g in grams), rows[x])) == got[d]["lang_pred"] for d, r in docs.items() if len(grams := language.grams([r["text"]])[0].tolist()) > 3]
+    assert np.mean(same) >= 0.99
+    held = [r["lang"] == got[d]["lang_pred"] for d, r in docs.items() if got[d]["held_out"] and r["lang"] and r["text"] and len(r["text"]) > 100]
+    assert held and np.mean(held) >= 0.97

@@ -101,6 +101,24 @@ def whole_trie(texts, order=scoring.ORDER):
     return scoring.Trie(grams, contexts)
 
 
+@pytest.mark.parametrize("most", [7, 50, 10_000])
+def test_parts_of_long_texts_give_the_same(most):
+    texts = [b"", b"short one", b"a longer text that is cut in many parts " * 5, b"xxxxxxxxxxxxxxxxxxxxxxxx", b"end  \n of it"]
+    for order in (1, 3, 5):
+        key, doc = scoring.keys(texts, order)
+        parts = list(scoring.windows(texts, order, most))
+        assert (np.concatenate([p[0] for p in parts]) == key).all() and (np.concatenate([p[1] for p in parts]) == doc).all()
+    for t in texts:
+        assert [w for ws in scoring.words_of(t, most) for w in ws] == t.lower().split()
+
+
+def test_any_column_names(spark):
+    rows = awkward(spark).filter("doc_id < 15")
+    more = rows.select("*", *(F.lit(1).alias(c) for c in ("_text", "_row", "_rare", "_known", "word", "gram", "n", "c", "p", "_SUM")))
+    a, b = (sorted((r["doc_id"], r["score"], r["base_score"]) for r in scoring.score(x, F.col("doc_id") > 3, gram_share=0.01, word_share=0.01).collect()) for x in (rows, more))
+    assert a == b
+
+
 def test_rare_contexts_stay_in_the_model(spark):
     rare = "a quick brown zebra jumps over the lazy quagga"
     rows = [(i, "ab" * 5_000) for i in range(500)] + [(500, rare), (501, rare[8:] + " ab"), (502, "another zebra")]

@@ -11,12 +11,13 @@ Deciding: per language the n-grams whose mask has its bit are counted (popcount)
 false-positive rate; the language with most wins, ties going to the one with more training rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if nothing was learned every text
-is; rows with a null language or text teach nothing; equal rows get equal answers; an input column named like an
-output is replaced; an empty table gives an empty one.
+is; rows with a null language or text teach nothing; equal rows get equal answers; an input column named like an output is replaced; very long texts are
+taken in parts of ``SLICE`` bytes that overlap by an n-gram, which gives the same; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -44,14 +45,37 @@ SLICE = 1 << 19
 _LETTER = regex.compile(r"\p{L}").search
 #: ASCII letters and all bytes of other scripts stay, the rest are gaps.
 _GAPS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_MANY = re.compile(rb" {2,}")
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams of all texts, text of each)."""
-    plain = [b" ".join(t.lower().encode().translate(_GAPS).split()) if t else b"" for t in texts]
-    size = np.array([len(p) + 5 if p else 0 for p in plain], np.int64)
-    raw = np.frombuffer(b"".join(b"\0  " + p + b"  " for p in plain if p) + b"\0\0\0", np.uint8)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    parts = list(windows(texts))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def windows(texts: list[str | None], most: int = 0):
+    """The n-grams of texts, a long text's in parts of ``most`` (SLICE) bytes that overlap by three."""
+    most = most or SLICE
+    plain = [_MANY.sub(b" ", t.lower().encode().translate(_GAPS)).strip() if t else b"" for t in texts]
+    run, at, total = [], [], 0
+    for i, p in enumerate(plain):
+        if not p:
+            continue
+        p = b"  " + p + b"  "
+        for a in range(0, max(1, len(p) - 3), most):
+            run.append(b"\0" + p[a : a + most + 3])
+            at.append(i)
+            total += len(run[-1])
+            if total > most:
+                yield _grams(run, at)
+                run, at, total = [], [], 0
+    yield _grams(run, at)
+
+
+def _grams(run: list[bytes], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(run) + b"\0\0\0", np.uint8)
+    doc = np.repeat(np.array(at, np.int32), [len(r) for r in run])
     gram = raw[:-3].astype(np.uint32) << 24 | raw[1:-2].astype(np.uint32) << 16 | raw[2:-1].astype(np.uint32) << 8 | raw[3:]
     gap = raw == 0
     whole = ~(gap[:-3] | gap[1:-2] | gap[2:-1] | gap[3:])
@@ -90,18 +114,18 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 which = np.array([names.setdefault(x, len(names)) for x in part.column("lang").to_pylist()], np.uint64)
                 rows.update(part.column("lang").to_pylist())
-                gram, doc = grams(part.column("text").to_pylist())
-                key = np.sort(which[doc] << np.uint64(32) | gram)
-                if len(key):
-                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    kept.append((key[first], np.diff(np.r_[first, len(key)])))
-                    held += len(first)
-                if held > 4_000_000:
-                    kept = [merged(kept)]
-                    held = len(kept[0][0])
-                    if held > 3_000_000:
-                        yield from out(kept.pop(), names)
-                        held = 0
+                for gram, doc in windows(part.column("text").to_pylist()):
+                    key = np.sort(which[doc] << np.uint64(32) | gram)
+                    if len(key):
+                        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                        kept.append((key[first], np.diff(np.r_[first, len(key)])))
+                        held += len(first)
+                    if held > 4_000_000:
+                        kept = [merged(kept)]
+                        held = len(kept[0][0])
+                        if held > 3_000_000:
+                            yield from out(kept.pop(), names)
+                            held = 0
         if kept:
             yield from out(merged(kept), names)
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([ROWS] * len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
@@ -129,16 +153,16 @@ class Filters:
         self.false_positive = np.array(fill) ** hashes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        gram, doc = grams(texts)
-        total = np.bincount(doc, minlength=len(texts)).astype(float)
-        hits = np.zeros((len(self.languages), len(texts)))
-        slots = list(_slots(gram, self.bits, self.hashes))
-        for word, column in enumerate(self.table):
-            mask = column[slots[0]]
-            for s in slots[1:]:
-                mask &= column[s]
-            for k in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
-                hits[k] = np.bincount(doc[mask >> np.int64(k % WORD) & 1 == 1], minlength=len(texts))
+        total, hits = np.zeros(len(texts)), np.zeros((len(self.languages), len(texts)))
+        for gram, doc in windows(texts):
+            total += np.bincount(doc, minlength=len(texts))
+            slots = list(_slots(gram, self.bits, self.hashes))
+            for word, column in enumerate(self.table):
+                mask = column[slots[0]]
+                for s in slots[1:]:
+                    mask &= column[s]
+                for k in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                    hits[k] += np.bincount(doc[mask >> np.int64(k % WORD) & 1 == 1], minlength=len(texts))
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         f = self.false_positive[:, None]

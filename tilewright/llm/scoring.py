@@ -18,11 +18,14 @@ whole numbers of 2^-36, so that a score doesn't depend on the order of rows.
 
 Defined results: null and empty texts hold the end alone; with no training rows every symbol is equally likely and
 every base probability is 1; equal rows get equal scores; an empty table gives an empty one. Rows are told apart by
-their place in the input, so repeated and null ids are scored one by one.
+their place in the input, so repeated and null ids are scored one by one. Very long texts are counted and scored in
+parts of ``SLICE`` bytes, each with the context before it, which gives the same. Input columns named like outputs are
+replaced, other names never clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -31,7 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fold, slices, table
+from .common import bound_batches, cut, fold, fresh, slices, table
+
+_GAP = re.compile(rb"[\t-\r ]")
 
 ORDER = 5
 GRAM_SHARE = 2.0**-21
@@ -68,6 +73,41 @@ def keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[here], doc[here]
 
 
+def windows(texts: list[bytes], order: int, most: int = 0):
+    """``keys`` of all positions, a long text's in parts of ``most`` (SLICE) bytes: (context and symbol, text of each)."""
+    most, first, total = most or SLICE, 0, 0
+    for i, t in enumerate(texts):
+        if total + len(t) > most and i > first:
+            key, doc = keys(texts[first:i], order)
+            yield key, doc + np.int32(first)
+            first, total = i, 0
+        total += len(t)
+        if len(t) > most:
+            for a in range(0, len(t) + 1, most):
+                # with the bytes before it as context; what belongs to them or to the part's own end is left out
+                low = max(0, a - order)
+                key, _ = keys([t[low : a + most]], order)
+                key = key[a - low : None if a + most > len(t) else -1]
+                yield key, np.full(len(key), i, np.int32)
+            first, total = i + 1, 0
+    if first < len(texts):
+        key, doc = keys(texts[first:], order)
+        yield key, doc + np.int32(first)
+
+
+def words_of(text: bytes, most: int = 0):
+    """Lists of a text's lower-cased (A-Z) words, a long text's in parts cut between words."""
+    most = most or SLICE
+    at = 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def count(docs: DataFrame, training: Column, text: str, order: int) -> DataFrame:
     """(gram, word, n): counts of (context, symbol)s, the word null, and of words in training rows, the gram null.
 
@@ -104,28 +144,28 @@ def count(docs: DataFrame, training: Column, text: str, order: int) -> DataFrame
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 trains = part.column("training").to_numpy(zero_copy_only=False).astype(np.uint64)
                 for t, one in zip(texts, trains, strict=True):
-                    if one:
-                        tally.update(t.lower().split())
-                key, doc = keys(texts, order)
-                key = np.sort(key << np.uint64(1) | trains[doc])
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                grams.append((key[first], np.diff(np.r_[first, len(key)])))
-                held += len(first)
-                if held > 3 * HELD:
-                    grams = [merged()]
-                    held = len(grams[0][0])
-                    if held > 2 * HELD:
-                        yield from out_grams()
-                        grams, held = [], 0
-                if len(tally) > HELD:
-                    yield from out_words()
-                    tally.clear()
+                    for w in words_of(t) if one else ():
+                        tally.update(w)
+                        if len(tally) > HELD:
+                            yield from out_words()
+                            tally.clear()
+                for key, doc in windows(texts, order):
+                    key = np.sort(key << np.uint64(1) | trains[doc])
+                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    grams.append((key[first], np.diff(np.r_[first, len(key)])))
+                    held += len(first)
+                    if held > 3 * HELD:
+                        grams = [merged()]
+                        held = len(grams[0][0])
+                        if held > 2 * HELD:
+                            yield from out_grams()
+                            grams, held = [], 0
         if grams:
             yield from out_grams()
         yield from out_words()
 
     flag = F.coalesce(training, F.lit(False)).alias("training")
-    return docs.select(F.col(text).alias("text"), flag).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text}`").alias("text"), flag).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -318,60 +358,71 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     end = float(np.log10(ends + 1)) - whole
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    inner = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text"))
+    names = fresh(df, "text", "row", "tokens", "known", "base", "sum", "rare", "grams", "more", "found", "rest")
+    text_, row_, tokens_, known_, base_, sum_, rare_, grams_, more_, found_, rest_ = names
+    inner = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(text_))
     shape = ", ".join(f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in keep) + (", " if keep else "")
-    shape += "_row long, n_tokens long, _known long, _base double, _sum long, _rare array<struct<word:string,n:long>>, _grams array<struct<gram:long,n:int>>"
+    shape += f"{row_} long, {tokens_} long, {known_} long, {base_} double, {sum_} long, {rare_} array<struct<word:string,n:long>>, {grams_} array<struct<gram:long,n:int>>"
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
     def run(batches):
         model, logp, known = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, "_text", SLICE):
-                texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
-                key, doc = keys(texts, order)
-                at = model.find(key)
-                there, other = at >= 0, np.flatnonzero(at < 0)
-                ends_ = np.searchsorted(doc, np.arange(len(texts) + 1))
-                run_ = np.zeros(len(key) + 1, np.int64)
-                run_[1:][there] = logp[at[there]]
-                total = np.diff(np.cumsum(run_)[ends_])
-                other = other[np.lexsort((key[other], doc[other]))]
-                k, d = key[other], doc[other]
-                first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, np.int64)
-                fields = [pa.array(k[first].astype(np.int64)), pa.array(np.diff(np.r_[first, len(k)]).astype(np.int32))]
+            for part in slices(batch, text_, SLICE):
+                texts = [(t or "").encode() for t in part.column(text_).to_pylist()]
+                total = np.zeros(len(texts), np.int64)
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for key, doc in windows(texts, order):
+                    at = model.find(key)
+                    there = at >= 0
+                    run_ = np.zeros(len(key) + 1, np.int64)
+                    run_[1:][there] = logp[at[there]]
+                    ends_ = np.searchsorted(doc, np.arange(len(texts) + 1))
+                    total += np.diff(np.cumsum(run_)[ends_])
+                    k, d = key[~there], doc[~there]
+                    by = np.lexsort((k, d))
+                    k, d = k[by], d[by]
+                    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, np.int64)
+                    found.append((k[first], np.diff(np.r_[first, len(k)]), d[first]))
+                k, n_, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                fields = [pa.array(k.astype(np.int64)), pa.array(n_.astype(np.int32))]
                 kind = arrow.field(len(keep) + 6).type
-                grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(d[first], np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["gram", "n"])).cast(kind)
+                grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["gram", "n"])).cast(kind)
                 tokens, hits, base, rest = [], [], [], []
                 for t in texts:
-                    w = t.lower().split()
-                    values = [known.get(x) for x in w]
-                    some = [x for x in values if x is not None]
-                    tokens.append(len(w) + 1)
-                    hits.append(len(some) + (ends > 0))
-                    base.append(sum(some) + end)
-                    rest.append([{"word": x.decode(), "n": c} for x, c in Counter(x for x, y in zip(w, values, strict=True) if y is None).items()])
+                    length, hit, logs_, others_ = 1, int(ends > 0), end, Counter()
+                    for w in words_of(t):
+                        values = [known.get(x) for x in w]
+                        some = [x for x in values if x is not None]
+                        length, hit, logs_ = length + len(w), hit + len(some), logs_ + sum(some)
+                        if len(some) < len(w):
+                            others_.update(x for x, y in zip(w, values, strict=True) if y is None)
+                    tokens.append(length)
+                    hits.append(hit)
+                    base.append(logs_)
+                    rest.append([{"word": x.decode(), "n": c} for x, c in others_.items()])
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
                 made_ = [np.arange(row, row + len(texts)), tokens, hits, base, total, rest]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_)), grams], schema=arrow)
 
     scored = cut(inner.mapInArrow(run, shape))
-    looked = scored.select("_row", F.inline("_rare")).join(rare, "word", "left")
-    part = looked.groupBy("_row").agg(
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(whole))).alias("_more"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_found"),
+    looked = scored.select(row_, F.inline(rare_)).join(rare, "word", "left")
+    part = looked.groupBy(row_).agg(
+        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(whole))).alias(more_),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias(found_),
     )
-    asked = scored.select("_row", F.inline("_grams")).join(others, "gram")
-    more = asked.groupBy("_row").agg(F.sum(F.col("n") * F.col("p")).alias("_rest"))
-    both = scored.drop("_rare", "_grams").join(part, "_row", "left").join(more, "_row", "left")
+    asked = scored.select(row_, F.inline(grams_)).join(others, "gram")
+    more = asked.groupBy(row_).agg(F.sum(F.col("n") * F.col("p")).alias(rest_))
+    both = scored.drop(rare_, grams_).join(part, row_, "left").join(more, row_, "left")
     return both.select(
         *(F.col(f"`{c}`") for c in keep),
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
+        F.col(tokens_).alias("n_tokens"),
+        (F.col(known_) + F.coalesce(found_, F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        ((F.col("_sum") + F.coalesce("_rest", F.lit(0))) * F.lit(UNIT)).alias("score"),
+        (F.col(base_) + F.coalesce(more_, F.lit(0.0))).alias("base_score"),
+        ((F.col(sum_) + F.coalesce(rest_, F.lit(0))) * F.lit(UNIT)).alias("score"),
     )
 
 

@@ -36,7 +36,8 @@ def geometries(kind: Column, coordinates: Column) -> Column:
     point = F.array(one(F.lit("POINT"), F.array(F.array(G.point(as_("array<double>")[0], as_("array<double>")[1])))))
     many = F.transform(as_("array<array<double>>"), lambda p: one(F.lit("POINT"), F.array(F.array(G.point(p[0], p[1])))))
     rings = _rings(as_("array<array<array<double>>>"))
-    polygon = F.array(one(F.when(G.is_rectangle(rings), F.lit("BOX")).otherwise(F.lit("POLYGON")), rings))
+    # the rings are an argument of the lambda, so that they are read once
+    polygon = F.transform(F.array(rings), lambda r: one(F.when(G.is_rectangle(r), F.lit("BOX")).otherwise(F.lit("POLYGON")), r))
     parts = F.transform(as_("array<array<array<array<double>>>>"), lambda r: one(F.lit("POLYGON"), _rings(r)))
     bad = F.raise_error(F.concat(F.lit("unsupported geometry type: "), F.coalesce(kind, F.lit("none")))).cast(f"array<struct<annotation_type:string,rings:{RINGS}>>")
     return F.when(kind == "point", point).when(kind == "multipoint", many).when(kind == "polygon", polygon).when(kind == "multipolygon", parts).otherwise(bad)

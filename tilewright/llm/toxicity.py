@@ -9,13 +9,16 @@ words that were.
 The sample: see ``learn``. A third of it calibrates the averages to probabilities, classes weighing as in all labels,
 which are counted.
 
-Defined results: a null or empty text has no words and the score of averages of 0; rows with a null label or text
-teach nothing; if a class has no labelled rows every score is the prior; equal rows get equal scores; an input column named like an output is
+Defined results: a null or empty text has no words and the score of averages of 0; rows with a null label, key or text
+teach nothing; repeated labels and documents count once; if a class has no labelled rows every score is the prior;
+equal rows get equal scores; very long texts are scored whole, in parts; an input column named like an output is
 replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,9 @@ LEAST_UPDATES = 400
 #: Spread of new embeddings: near nothing, so that n-grams never trained on add no noise.
 INIT = 0.001
 REMEMBERED = 300_000
+#: Code points of a very long text that are scored at once.
+PART = 1 << 18
+_GAP = re.compile(r"\s")
 STRIP = "\"'.,!?;:()[]{}"
 
 
@@ -66,6 +72,18 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (hashed >> np.uint64(64 - 18)).astype(np.int32), np.bincount(of, minlength=len(marked))
 
 
+def _parts(text: str):
+    """Lists of a very long text's words."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PART)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].lower().split()
+        if words:
+            yield words
+        at = end
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(distinct buckets, weights summing to 1): the text's words' subwords, each word weighing the same."""
     count: dict[str, int] = {}
@@ -81,33 +99,61 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     """One number per bucket: a word's score is the mean over its subwords. A text has two averages: that of its
-    distinct words, and the largest over its segments of ``SEGMENT`` words (missing words as 0), which its length
-    doesn't dilute; ``slopes`` and ``bias`` turn them into log odds."""
+    distinct words, and the largest over all its runs of ``SEGMENT`` words, at every place (missing words and those that
+    repeat one of the ``SEGMENT`` - 1 before them as 0), which its length doesn't dilute; ``slopes`` and ``bias`` turn
+    them into log odds. A very long text is gone through in parts of ``PART`` code points, cut between words."""
 
     def __init__(self, weights: np.ndarray, bias: float = 0.0):
-        self.weights, self.slopes, self.bias, self.known = weights, np.zeros(2), bias, {}
+        self.weights, self.slopes, self.bias, self.known, self.scored = weights, np.zeros(2), bias, {}, np.zeros(0)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         bucket, n = subwords(words)
         first = np.cumsum(n) - n
         return np.add.reduceat(self.weights[bucket], first) / n if len(n) else np.empty(0)
 
+    def forget(self) -> None:
+        self.known, self.scored = {}, np.zeros(0)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in ``scored``."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.scored = np.append(self.scored, self.word_scores(new))
+        return np.array([known[w] for w in words], np.int64)
+
     def averages(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split, known = [t.lower().split() if t else [] for t in texts], self.known
-        new = list({w for doc in split for w in doc if w not in known})
-        known.update(zip(new, self.word_scores(new).tolist(), strict=True))
+            self.forget()
+        short = [t if t and len(t) <= PART else "" for t in texts]
+        split = [t.lower().split() for t in short]
+        size = np.array([len(d) for d in split])
+        number = self._numbers([w for d in split for w in d])
         out = np.zeros((len(texts), 2))
-        for i, doc in enumerate(split):
-            if doc:
-                each, distinct = np.array([known[w] for w in doc]), {*doc}
-                sums = np.add.reduceat(each, np.arange(0, len(doc), SEGMENT))
-                out[i] = sum([known[w] for w in distinct]) / max(len(distinct), SEGMENT), sums.max() / SEGMENT
-                if len(distinct) < len(doc) and out[i, 1] > 0:  # a repeated word counts once in a segment
-                    out[i, 1] = max(sum([known[w] for w in {*doc[k : k + SEGMENT]}]) for k in range(0, len(doc), SEGMENT)) / SEGMENT
+        for i, (a, z) in enumerate(zip((np.cumsum(size) - size).tolist(), np.cumsum(size).tolist(), strict=True)):
+            if z > a:
+                out[i] = self._average([number[a:z]])
+            elif texts[i] and len(texts[i]) > PART and not texts[i].isspace():
+                if len(self.known) > REMEMBERED:
+                    self.forget()
+                out[i] = self._average(self._numbers(w) for w in _parts(texts[i]))
         return out
 
+    def _average(self, parts) -> tuple[float, float]:
+        distinct, before, most = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
+        for number in parts:
+            distinct = np.union1d(distinct, number)
+            run = np.concatenate([before, number])
+            each = self.scored[run].copy()
+            for k in range(1, SEGMENT):
+                each[k:][run[k:] == run[:-k]] = 0
+            total = np.cumsum(np.concatenate([np.zeros(SEGMENT), each]))
+            sums = total[SEGMENT:] - total[:-SEGMENT]
+            most = max(most, sums[len(before) :].max())
+            before = run[1 - SEGMENT :]
+        return float(self.scored[distinct].sum()) / max(len(distinct), SEGMENT), float(most) / SEGMENT
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.averages(texts) @ self.slopes, -60, 60)))
 
@@ -172,7 +218,7 @@ def fit(rows: list[tuple[int, str]], prior: tuple[int, int], **how) -> Model:
     model = train(weights, **how)
     x = np.concatenate([model.averages([t for _, t in rest[k : k + 500]]) for k in range(0, len(rest), 500)])
     model.calibrate(x, np.array([c for c, _ in rest]), prior)
-    model.known = {}
+    model.forget()
     return model
 
 
@@ -180,14 +226,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """A model from the rows of ``docs`` whose ``key`` has a label 0 or 1 in ``labels``.
 
     The sample is drawn among the labels alone, and only its rows' texts are fetched: at most ``per_class`` of each
-    class, those of least hash of ``key``; texts of more than ``sample_chars`` code points are left out.
+    class, those of least hash of ``key``; texts of more than ``sample_chars`` code points are left out. A key with
+    both labels has 1, a key with several texts the least.
     """
-    told = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
+    told = labels.filter(F.col(label).isin(0, 1) & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(F.col(label).cast("int")).alias("label")).withColumn("h", F.xxhash64("_key"))
     prior = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     drawn = [told.filter(F.col("label") == c).orderBy("h", "_key").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * per_class rows
-    texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(picked, F.col("_doc") == F.col("_key"))
-    found = texts.filter(F.length("text") <= sample_chars).select("h", "label", "text").collect()
+    texts = docs.select(F.col(f"`{key}`").alias("_doc"), F.col(f"`{text}`").alias("text")).filter(F.length("text") <= sample_chars)
+    # one text for each of them, however often its key occurs
+    texts = texts.join(picked, F.col("_doc") == F.col("_key")).groupBy("h", "_key", "label").agg(F.min("text").alias("text"))
+    found = texts.select("h", "label", "text").collect()
     rows = sorted((r["h"], r["label"], r["text"]) for r in found)
     return fit([(c, t) for _, c, t in rows], (prior.get(0, 0), prior.get(1, 0)), **how)
 

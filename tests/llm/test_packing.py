@@ -12,7 +12,6 @@ from .helpers import SF, awkward, crowded
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def check(pieces, ids, size=1024):
@@ -91,10 +90,14 @@ def test_added_tokens_in_texts_keep_their_ids(spark):
     want = [loaded.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[0] == [64, 50256, 65]
     content = open(PATH, encoding="utf-8").read()
-    assert [x.tolist() for x in packing.tokenizer(content, added=True)(texts)] == want
+    assert [x.tolist() for x in packing.tokenizer(content)(texts)] == want
+    for other in (content.replace('"dropout":null', '"dropout":0.0').replace('"ignore_merges":false', '"ignore_merges":true'), content.replace('"normalizer":null', '"normalizer":{"type":"Lowercase"}')):
+        assert other != content
+        library = Tokenizer.from_str(other)
+        assert [x.tolist() for x in packing.tokenizer(other)(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     stripped = content.replace('"lstrip":false', '"lstrip":true', 1)
     assert stripped != content
     other = Tokenizer.from_str(stripped)
-    assert [x.tolist() for x in packing.tokenizer(stripped, added=True)(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.tokenizer(stripped)(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert check(packing.pack(rows, PATH).collect(), {i: [*w, 0] for i, w in enumerate(want)}) == 0

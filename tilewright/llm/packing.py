@@ -7,8 +7,9 @@ open is merged with the leftovers of its neighbours (groups of partitions) in th
 of a group isn't full, and it is cut at powers of two, which need no padding.
 
 Defined results: a null or empty text is the end id alone; every id lies in exactly one piece; equal rows are
-packed one by one; rows with the same or a null id are told apart by nothing but their pieces; an empty table has
-no pieces.
+packed one by one; rows with the same or a null id are told apart by nothing but their pieces; a very long text is encoded alone and cut
+into whole windows; ties in room go to the older window; columns beside the id and the text are ignored, so names can't
+clash; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -42,33 +43,33 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def tokenizer(content: str, added: bool = False):
-    """A function from texts to ids, equal to the ``tokenizers`` library's on a byte-level BPE file.
+def tokenizer(content: str):
+    """A function from texts to ids, equal to the ``tokenizers`` library's on a byte-level BPE file as loaded: its added
+    tokens are matched in texts.
 
-    With ``added`` the file's added tokens are matched in the text, as by the library as loaded; without, special ones
-    are spelt out like other text, as by the library with ``encode_special_tokens``. The file's merges are in the order of their ids, so that tiktoken's merge loop gives the same ids some four
-    times faster; a file for which that doesn't hold goes through ``tokenizers`` itself.
+    Where the file's merges are in the order of their ids and nothing else changes texts, tiktoken's merge loop gives
+    the same ids some four times faster; any other file goes through ``tokenizers`` itself.
     """
-    model = json.loads(content)["model"]
-    of = _bytes_of_symbols()
-    extra = json.loads(content).get("added_tokens") or []
+    whole = json.loads(content)
+    model, of = whole["model"], _bytes_of_symbols()
+    extra = whole.get("added_tokens") or []
     special = {x["content"]: x["id"] for x in extra}
     # one added token without options is matched alike by both
     simple = len(extra) <= 1 and not any(x.get(k) for x in extra for k in ("single_word", "lstrip", "rstrip", "normalized"))
     plain = {t: i for t, i in model["vocab"].items() if t not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     order = [model["vocab"]["".join(m)] for m in merges]
-    setting = json.loads(content)["pre_tokenizer"] or {}
-    if model["type"] == "BPE" and order == sorted(order) and len(plain) == 256 + len(merges) and setting.get("type") == "ByteLevel" and not setting.get("add_prefix_space") and (simple or not added):
+    setting = whole["pre_tokenizer"] or {}
+    bare = not whole.get("normalizer") and not whole.get("truncation") and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    if model["type"] == "BPE" and bare and simple and order == sorted(order) and len(plain) == 256 + len(merges) and setting.get("type") == "ByteLevel" and not setting.get("add_prefix_space") and setting.get("use_regex", True):
         ranks = {bytes(of[c] for c in t): i for t, i in plain.items()}
-        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
-        allowed = set(special) if added else set()
+        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        allowed = set(special)
         return lambda texts: [coder.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_str(content)
-    whole.encode_special_tokens = not added
-    return lambda texts: [np.array(e.ids, np.uint32) for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    library = Tokenizer.from_str(content)
+    return lambda texts: [np.array(e.ids, np.uint32) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 class Packer:
@@ -148,14 +149,14 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     schema = to_arrow_schema(spark.createDataFrame([], shape).schema)
 
     def first(batches):
-        code, packer, part = tokenizer(content.value, added=True), Packer(size, open_windows), TaskContext.get().partitionId()
+        code, packer, part = tokenizer(content.value), Packer(size, open_windows), TaskContext.get().partitionId()
         number = part << 36
 
         def closed():
             nonlocal number
             for batch in batches:
-                for piece in slices(batch, text):
-                    for doc, ids in zip(piece.column(doc_id).to_pylist(), code(piece.column(text).to_pylist()), strict=True):
+                for piece in slices(batch, "text"):
+                    for doc, ids in zip(piece.column("doc_id").to_pylist(), code(piece.column("text").to_pylist()), strict=True):
                         ids = np.append(ids, np.uint32(end_id))
                         for window in packer.put(doc, 0, ids, len(ids)):
                             yield number, window
@@ -166,7 +167,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
             for b in _batches(windows, ids_of, narrow):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int64())], schema=schema)
 
-    packed = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(text)).mapInArrow(first, shape))
+    packed = cut(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(first, shape))
     final = PIECE.format(id=kind)
     plain = to_arrow_schema(spark.createDataFrame([], final).schema)
 

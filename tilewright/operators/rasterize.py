@@ -70,8 +70,9 @@ def _rings_of(column: pa.ListArray) -> list[list[tuple[np.ndarray, np.ndarray]]]
 
 
 def paint(shapes: DataFrame, by: tuple[str, ...], band: int = BAND) -> DataFrame:
-    """(by, band, w, rows, pixels): for every band that one of ``shapes`` (by, layer_idx, value, w, h, rings) reaches,
-    the value of the last over each pixel, row-major, null where there is none."""
+    """(by, band, w, rows, pixels, seen): for every band that one of ``shapes`` (by, layer_idx, value, w, h, rings)
+    reaches, the value of the last over each pixel as row-major 32-bit integers, and a byte for each that tells whether
+    there is one."""
     b = G.bounds(F.col("rings"))
     first, last = F.greatest(F.lit(0), F.floor(b["y0"])), F.least(F.col("h") - 1, F.ceil(b["y1"]))
     reached = shapes.withColumns({"_a": F.floor(first / band).cast("int"), "_z": F.floor(last / band).cast("int"), "_x0": b["x0"], "_x1": b["x1"]})
@@ -80,7 +81,7 @@ def paint(shapes: DataFrame, by: tuple[str, ...], band: int = BAND) -> DataFrame
     cut = reached.withColumn("band", F.explode(F.sequence("_a", "_z"))).select(*by, "band", "w", F.least(F.lit(band), F.col("h") - F.col("band") * band).alias("rows"), "layer_idx", F.col("value").cast("int").alias("value"), "rings")
     group = [*by, "band"]
     dealt = cut.repartition(*group).sortWithinPartitions(*group, "layer_idx")
-    shape = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in by) + ", band int, w int, rows int, pixels array<int>"
+    shape = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in by) + ", band int, w int, rows int, pixels binary, seen binary"
     n = len(by)
 
     def run(batches):
@@ -89,8 +90,8 @@ def paint(shapes: DataFrame, by: tuple[str, ...], band: int = BAND) -> DataFrame
         def done():
             cols = [pa.array([v], held.schema.field(k).type) for k, v in enumerate(now)]
             rows, w = values.shape
-            cols += [pa.array([w], pa.int32()), pa.array([rows], pa.int32()), pa.ListArray.from_arrays(pa.array([0, w * rows], pa.int32()), pa.array(values.ravel(), pa.int32(), mask=~seen.ravel()))]
-            return pa.RecordBatch.from_arrays(cols, names=[*group, "w", "rows", "pixels"])
+            cols += [pa.array([w], pa.int32()), pa.array([rows], pa.int32()), pa.array([values.tobytes()]), pa.array([seen.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, names=[*group, "w", "rows", "pixels", "seen"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(n + 1)), strict=True))
@@ -139,16 +140,14 @@ def roi_mask(annotations: DataFrame, roi: str, by: tuple[str, ...] = TILE, size:
 
 def runs(bands: DataFrame, by: tuple[str, ...] = TILE, band: int = BAND) -> DataFrame:
     """(by, py, x0, x1, value): a mask's covered pixels as runs of equal values, ends included."""
-    keep = [c for c in bands.columns if c not in ("band", "w", "rows", "pixels")]
+    keep = [c for c in bands.columns if c not in ("band", "w", "rows", "pixels", "seen")]
     shape = ", ".join(f"`{c}` {bands.schema[c].dataType.simpleString()}" for c in keep) + ", py int, x0 int, x1 int, value int"
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                pixels = batch.column("pixels")[i].values
                 w, top = batch.column("w")[i].as_py(), batch.column("band")[i].as_py() * band
-                seen = pixels.is_valid().to_numpy(zero_copy_only=False)
-                v = pixels.fill_null(0).to_numpy()
+                v, seen = np.frombuffer(batch.column("pixels")[i].as_buffer(), np.int32), np.frombuffer(batch.column("seen")[i].as_buffer(), bool)
                 at = np.arange(len(v))
                 start = seen & ((at % w == 0) | np.r_[True, ~seen[:-1] | (v[1:] != v[:-1])])
                 end = seen & ((at % w == w - 1) | np.r_[~seen[1:] | (v[1:] != v[:-1]), True])
@@ -162,14 +161,23 @@ def runs(bands: DataFrame, by: tuple[str, ...] = TILE, band: int = BAND) -> Data
 def dense(bands: DataFrame, tiles: DataFrame, by: tuple[str, ...] = TILE, default: int = 0, out: str = "mask", size: tuple[int, int] | None = None, band: int = BAND) -> DataFrame:
     """(by, mask): rows of pixels (array of arrays, rows by columns) for every tile, ``default`` elsewhere."""
     w, h = (F.lit(size[0]), F.lit(size[1])) if size else (F.col("w"), F.col("h"))
-    each = tiles.select(*by, w.alias("_w"), h.alias("_h")).withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("_h") - 1) / band).cast("int"))))
-    met = each.join(bands.select(*by, "band", "pixels"), [*by, "band"], "left")
-    lines = F.least(F.lit(band), F.col("_h") - F.col("band") * band)
-    empty = F.array_repeat(F.array_repeat(F.lit(default), F.col("_w")), lines)
-    rows = F.transform(F.sequence(F.lit(0), lines - 1), lambda j: F.transform(F.slice("pixels", j * F.col("_w") + 1, F.col("_w")), lambda v: F.coalesce(v, F.lit(default))))
-    made = met.withColumn("_r", F.when(F.col("pixels").isNull(), empty).otherwise(rows))
-    stacked = made.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("band", "_r"))).alias("_b"))  # as many as the tile has bands
-    return stacked.select(*by, F.flatten(F.transform("_b", lambda b: b["_r"])).alias(out))
+    held = bands.groupBy(*by).agg(F.collect_list(F.struct("band", "pixels", "seen")).alias("_b"))  # as many as the tile has bands
+    met = tiles.select(*by, w.cast("int").alias("_w"), h.cast("int").alias("_h")).join(held, list(by), "left")
+    shape = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in by) + f", `{out}` array<array<int>>"
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                wide, high = batch.column("_w")[i].as_py(), batch.column("_h")[i].as_py()
+                made = np.full(wide * high, default, np.int32)
+                for b in batch.column("_b")[i].values or ():
+                    pixels, seen = np.frombuffer(b["pixels"].as_buffer(), np.int32), np.frombuffer(b["seen"].as_buffer(), bool)
+                    at = b["band"].as_py() * band * wide
+                    made[at : at + len(pixels)][seen] = pixels[seen]
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(high + 1, dtype=np.int32) * wide), pa.array(made))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in by), pa.ListArray.from_arrays(pa.array([0, high], pa.int32()), rows)], names=[*by, out])
+
+    return met.mapInArrow(run, shape)
 
 
 def to_masks(annotations: DataFrame, tiles: DataFrame, index_map: dict[str, int], roi: str | None = None, default: int = 0, multiclass: bool = False, by: tuple[str, ...] = TILE, size: tuple[int, int] | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -552,10 +554,16 @@ def to_masks(spark, sf_dir):
     views = D.slides(spark, sf_dir).select("slide_id", F.floor(F.col("width") / 4).cast("int").alias("w"), F.floor(F.col("height") / 4).cast("int").alias("h"))
     points = D.annotations(spark, sf_dir).filter("annotation_type = 'POINT'").join(views, "slide_id")
     made = Z.to_masks(_quarter(spark, sf_dir).unionByName(points), views, INDEX, by=VIEW)
-    row = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, v: a + v)
-    rows = made.select("slide_id", "points", F.transform("mask", row).alias("sums"), F.size("mask").alias("h"), F.size(F.col("mask")[0]).alias("w"))
     count = F.aggregate(F.map_values("points"), F.lit(0).cast("long"), lambda a, p: a + F.size(p))
-    return rows.select("slide_id", "w", "h", row(F.col("sums")).alias("total"), row(F.transform("sums", lambda v, j: v * (j + 1))).alias("by_row"), F.coalesce(count, F.lit(0)).alias("points"))
+
+    def sums(batches):
+        for b in batches:
+            rows = [np.array(m.flatten().to_numpy(), np.int64).reshape(len(m), -1) for m in (x.values for x in b.column("mask"))]
+            cols = [[m.shape[1] for m in rows], [m.shape[0] for m in rows], [int(m.sum()) for m in rows], [int((m.sum(1) * np.arange(1, len(m) + 1)).sum()) for m in rows]]
+            yield pa.RecordBatch.from_arrays([b.column("slide_id"), *(pa.array(c, pa.int64()) for c in cols), b.column("points")], names=["slide_id", "w", "h", "total", "by_row", "points"])
+
+    kind = views.schema["slide_id"].dataType.simpleString()
+    return made.select("slide_id", "mask", F.coalesce(count, F.lit(0).cast("long")).alias("points")).mapInArrow(sums, f"slide_id {kind}, w long, h long, total long, by_row long, points long")
 
 
 # --- pixels

@@ -60,18 +60,14 @@ def _again(keys: Column) -> Column:
     return _let(F.sort_array(keys), lambda s: F.array_distinct(F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())))
 
 
-def _repeated(keys: Column) -> Column:
-    """Positions (from 0) of elements of ``keys`` that occur twice or more."""
-
-    def at(twice: Column) -> Column:
-        few = F.filter(F.transform(keys, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
-        many = _let(
-            F.sort_array(F.transform(keys, lambda x, i: F.struct(x.alias("x"), i.alias("i")))),
-            lambda s: F.array_distinct(F.flatten(F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull()))),
-        )
-        return F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) <= SCANNED, few).otherwise(many)
-
-    return _let(_again(keys), at)
+def _positions(keys: Column, twice: Column) -> Column:
+    """Positions (from 0) of the elements of ``keys`` that are in ``twice``, its elements that occur twice or more."""
+    few = F.filter(F.transform(keys, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
+    many = _let(
+        F.sort_array(F.transform(keys, lambda x, i: F.struct(x.alias("x"), i.alias("i")))),
+        lambda s: F.array_distinct(F.flatten(F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull()))),
+    )
+    return F.when(F.size(twice) <= SCANNED, few).otherwise(many)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -80,15 +76,21 @@ def _repeat_words(w: Column) -> Column:
     pairs = F.zip_with(w, F.slice(w, 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
     hashes = F.zip_with(pairs, F.slice(w, 3, F.greatest(n, F.lit(1))), lambda p, c: F.xxhash64(p, c))
 
-    def exact(at: Column) -> Column:
-        # words hold no spaces, so windows are equal if their joined words are
+    def exact(at: Column, twice: Column) -> Column:
+        # words hold no spaces, so windows are equal if their joined words are; equal windows have equal hashes, so as
+        # many windows as hashes mean that no two windows share a hash
         windows = F.transform(at, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(at) == 0, at).otherwise(F.transform(_repeated(windows), lambda k: F.get(at, k)))
+        apart = lambda x: F.transform(_let(_again(x), lambda t: _positions(x, t)), lambda k: F.get(at, k))
+        return _let(windows, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(twice), at).otherwise(apart(x)))
 
     def covered(at: Column) -> Column:
-        return F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2))))
+        return F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2)))).cast("long")
+
+    def count(h: Column) -> Column:
+        some = lambda twice: _let(_positions(h, twice), lambda at: _let(exact(at, twice), covered))
+        return _let(_again(h), lambda twice: F.when(F.size(twice) == 0, F.lit(0).cast("long")).otherwise(some(twice)))
 
-    return _let(F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))), lambda h: _let(_repeated(h), lambda at: _let(exact(at), covered))).cast("long")
+    return _let(F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))), count)
 
 
 def _measures(body: Column, w: Column) -> dict[str, Column]:

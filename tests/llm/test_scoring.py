@@ -69,7 +69,7 @@ def test_base_of_the_query(spark):
         w, r = tokens(t), got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(d), len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        assert r["score"] < 0
+        assert r["score"] < 0 and r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (len((t or "").encode()) + 1))
     seen = [r for r in got.values() if not r["held_out"]]
     assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
 

@@ -25,6 +25,7 @@ replaced, other names never clash.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -346,9 +347,9 @@ def learn(docs: DataFrame, training: Column, text: str = "text", order: int = OR
 
 
 def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
-    """``df``'s columns ``keep`` (all but the text, if None) with n_tokens, n_known, train_tokens, base_score and score,
-    learned from the rows for which ``training`` holds."""
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    """``df``'s columns ``keep`` (all but the text, if None) with n_tokens, n_known, train_tokens, base_score, score
+    and bits_per_byte (the end counts as a byte), learned from the rows for which ``training`` holds."""
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     keep = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in made]
     order = how.get("order", ORDER)
     common, p, others, rare, frequent, n, v, ends = learn(df, training, text, **how)
@@ -358,11 +359,11 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     end = float(np.log10(ends + 1)) - whole
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = fresh(df, "text", "row", "tokens", "known", "base", "sum", "rare", "grams", "more", "found", "rest")
-    text_, row_, tokens_, known_, base_, sum_, rare_, grams_, more_, found_, rest_ = names
+    names = fresh(df, "text", "row", "tokens", "known", "base", "sum", "rare", "grams", "more", "found", "rest", "size")
+    text_, row_, tokens_, known_, base_, sum_, rare_, grams_, more_, found_, rest_, size_ = names
     inner = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(text_))
     shape = ", ".join(f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in keep) + (", " if keep else "")
-    shape += f"{row_} long, {tokens_} long, {known_} long, {base_} double, {sum_} long, {rare_} array<struct<word:string,n:long>>, {grams_} array<struct<gram:long,n:int>>"
+    shape += f"{row_} long, {size_} long, {tokens_} long, {known_} long, {base_} double, {sum_} long, {rare_} array<struct<word:string,n:long>>, {grams_} array<struct<gram:long,n:int>>"
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
     def run(batches):
@@ -387,7 +388,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
                     found.append((k[first], np.diff(np.r_[first, len(k)]), d[first]))
                 k, n_, d = (np.concatenate(x) for x in zip(*found, strict=True))
                 fields = [pa.array(k.astype(np.int64)), pa.array(n_.astype(np.int32))]
-                kind = arrow.field(len(keep) + 6).type
+                kind = arrow.field(grams_).type
                 grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["gram", "n"])).cast(kind)
                 tokens, hits, base, rest = [], [], [], []
                 for t in texts:
@@ -403,7 +404,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
                     base.append(logs_)
                     rest.append([{"word": x.decode(), "n": c} for x, c in others_.items()])
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
-                made_ = [np.arange(row, row + len(texts)), tokens, hits, base, total, rest]
+                made_ = [np.arange(row, row + len(texts)), [len(t) for t in texts], tokens, hits, base, total, rest]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_)), grams], schema=arrow)
 
@@ -416,13 +417,15 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     asked = scored.select(row_, F.inline(grams_)).join(others, "gram")
     more = asked.groupBy(row_).agg(F.sum(F.col("n") * F.col("p")).alias(rest_))
     both = scored.drop(rare_, grams_).join(part, row_, "left").join(more, row_, "left")
+    whole_score = (F.col(sum_) + F.coalesce(rest_, F.lit(0))) * F.lit(UNIT)
     return both.select(
         *(F.col(f"`{c}`") for c in keep),
         F.col(tokens_).alias("n_tokens"),
         (F.col(known_) + F.coalesce(found_, F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col(base_) + F.coalesce(more_, F.lit(0.0))).alias("base_score"),
-        ((F.col(sum_) + F.coalesce(rest_, F.lit(0))) * F.lit(UNIT)).alias("score"),
+        whole_score.alias("score"),
+        (-whole_score / (F.lit(math.log10(2)) * (F.col(size_) + 1))).alias("bits_per_byte"),
     )
 
 

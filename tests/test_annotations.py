@@ -66,6 +66,25 @@ def test_geojson_kinds(spark, tmp_path):
             geojson.read(spark, str(path)).collect()
 
 
+def test_many_files_in_one_job(spark, tmp_path):
+    """A file a slide by name, in a folder; and files of one slide in the order given."""
+    dot = lambda x: json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [x, 0]}, "properties": {"classification": {"name": "p"}}}], "metadata": {"tags": [f"t{x}"]}})
+    names = ["b one.json", "a.v2.json", "c.json"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text(dot(k))
+    got = {r["slide_id"]: r["rings"][0][0]["x"] for r in geojson.read(spark, str(tmp_path)).collect()}
+    assert got == {"b one": 0.0, "a.v2": 1.0, "c": 2.0}
+    assert {(r["slide_id"], r["tag"]) for r in geojson.read_tags(spark, str(tmp_path)).collect()} == {("b one", "t0"), ("a.v2", "t1"), ("c", "t2")}
+    for order in ([2, 0, 1], [1, 2, 0]):
+        paths = [str(tmp_path / names[k]) for k in order]
+        rows = geojson.read(spark, paths, slide_id="s").orderBy("layer_idx").collect()
+        assert [r["rings"][0][0]["x"] for r in rows] == order and {r["slide_id"] for r in rows} == {"s"}
+        assert [r["tag"] for r in geojson.read_tags(spark, paths, "s").collect()] == [f"t{order[-1]}"]
+    for k in range(3):
+        (tmp_path / f"h{k}.xml").write_text(f'<Annotations><Annotation Name="L" LineColor="1"><Regions><Region Type="Pin"><Vertices><V X="{k}" Y="0"/></Vertices></Region></Regions></Annotation></Annotations>')
+    assert {r["slide_id"]: r["rings"][0][0]["x"] for r in xml.read_halo(spark, str(tmp_path / "h*.xml")).collect()} == {f"h{k}": float(k) for k in range(3)}
+
+
 def test_halo(spark, tmp_path):
     path = tmp_path / "h.xml"
     v = lambda *p: "<Vertices>" + "".join(f'<V X="{x}" Y="{y}"/>' for x, y in p) + "</Vertices>"

@@ -90,3 +90,15 @@ def test_mesh(spark):
 def test_generation_needs_no_shuffle(spark):
     plan = T.standard_tiling(slide(spark), 1.0, (32, 24))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 200])
+def test_sums_over_all_rows_run_in_ranges(spark, ranges, monkeypatch):
+    monkeypatch.setattr(T, "RANGES", ranges)
+    rows = [(f"s{k * 37 % 101:03d}", k % 5) for k in range(101)]
+    got = {r["slide_id"]: r["start"] for r in T.offsets(spark.createDataFrame(rows, "slide_id string, n int"), "n", "slide_id").collect()}
+    want, at = {}, 0
+    for slide, n in sorted(rows):
+        want[slide], at = at, at + n
+    assert got == want
+    assert T.offsets(spark.createDataFrame([], "slide_id string, n int"), "n", "slide_id").count() == 0

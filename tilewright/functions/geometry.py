@@ -117,33 +117,6 @@ def clip_box(b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Colum
     return box_rings(a, c, F.least(b["x1"], x1) - a, F.least(b["y1"], y1) - c)
 
 
-def _crossings(ring: Column, x: Column, y: Column) -> Column:
-    def crosses(p: Column, q: Column) -> Column:
-        over = (p["y"] > y) != (q["y"] > y)
-        return F.when(over & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]), F.lit(1)).otherwise(F.lit(0))
-
-    return F.aggregate(F.zip_with(ring, _turned(ring), crosses), F.lit(0), lambda a, v: a + v)
-
-
-def on_edge(ring: Column, x: Column, y: Column) -> Column:
-    def touches(p: Column, q: Column) -> Column:
-        cross = (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
-        near = (x >= F.least(p["x"], q["x"])) & (x <= F.greatest(p["x"], q["x"])) & (y >= F.least(p["y"], q["y"])) & (y <= F.greatest(p["y"], q["y"]))
-        return (cross == 0) & near
-
-    return F.exists(F.zip_with(ring, _turned(ring), touches), lambda t: t)
-
-
-def covers(ring: Column, x: Column, y: Column) -> Column:
-    """Point in ring by the even-odd rule, its edges included."""
-    return on_edge(ring, x, y) | (F.pmod(_crossings(ring, x, y), F.lit(2)) == 1)
-
-
-def rounded(rings: Column) -> Column:
-    """Every coordinate rounded, halves to even."""
-    return map_points(rings, lambda p: point(F.bround(p["x"], 0), F.bround(p["y"], 0)))
-
-
 def canonical(rings: Column) -> Column:
     """Rings without a repeated last point, for comparisons."""
     return F.transform(rings, opened)

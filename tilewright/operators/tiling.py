@@ -162,17 +162,36 @@ def concat(parts: Sequence[DataFrame], ordinal: str = "ordinal") -> DataFrame:
     """
     assert parts, "nothing to concatenate"
     out = None
-    lengths = [p.count() for p in parts]
     for k, part in enumerate(parts):
-        own = part.withColumns({"dataset": F.lit(k), "local": F.col(ordinal).cast("long"), ordinal: F.col(ordinal).cast("long") + sum(lengths[:k])})
+        own = part.withColumns({"dataset": F.lit(k), "local": F.col(ordinal).cast("long")})
         out = own if out is None else out.unionByName(own)
-    return out
+    lengths = out.groupBy("dataset").agg(F.count("*").alias("_n"))  # a row for each part
+    before = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.select("dataset", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return out.join(F.broadcast(starts), "dataset").withColumn(ordinal, F.col("local") + F.col("_start")).select(*out.columns)
+
+
+#: Ranges into which rows are cut for a sum over all of them.
+RANGES = 200
 
 
 def offsets(sizes: DataFrame, size: str, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``start``: the sum of ``size`` over the rows before, within ``by``."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("start", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    """Add ``start``: the sum of ``size`` over the rows before, within ``by``.
+
+    Without ``by`` the rows are cut into ranges at the values of a sample: sums run inside of ranges, and the sums of
+    whole ranges before (a row for each) are added."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return sizes.withColumn("start", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    drawn = sizes.select(order).filter(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order), order).limit(RANGES - 1)
+    bounds = [r[0] for r in drawn.collect()]
+    cut = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = sizes.withColumn("_range", cut)
+    first = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum(size).alias("_t")).select("_range", F.coalesce(F.sum("_t").over(first), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    made = ranged.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(totals), "_range")  # RANGES rows at most
+    return made.withColumn("start", (F.col("_inside") + F.col("_before")).cast("long")).select(*sizes.columns, "start")
 
 
 def locate(index: Column, starts: Sequence[int]) -> Column:

@@ -206,3 +206,14 @@ def test_awkward_rows(spark):
     assert by[17]["component_id"] == 1 and by[None]["component_id"] is not None
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
     assert np.bitwise_count(np.uint64(7)) == 3
+
+
+def test_tables_can_be_dropped(spark):
+    from tilewright.llm import common
+
+    table = common.cut(spark.range(3))
+    assert table.count() == 3
+    path = table.inputFiles()[0]
+    common.drop_tables(spark)
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        spark.read.parquet(path).count()

@@ -67,6 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` has written to the shared folder, once nothing reads them any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables")
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; for the small tables of iterations, whose files Spark may clean."""
     shared_dir(df.sparkSession)

@@ -4,6 +4,9 @@ Each step groups links by a node, takes the least neighbour and hangs the other
 steps grows with the logarithm of the nodes. A link (u, v), u above v, meets only the least of v's lesser
 neighbours, so that the many links of a star's centre pass through a join with a small table, whose skewed partitions
 Spark splits; minima are aggregated before they are shuffled, and no node's links are gathered in one place.
+
+Defined results: a link with a null end is none; loops and repeated links change nothing; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations

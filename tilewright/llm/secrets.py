@@ -8,8 +8,10 @@ the regex itself. A rule whose regex has no mandatory trigram scans every docume
 Index and queries fold ASCII letters to lower case, so that rules in either case use them too; a fold can only
 add candidates.
 
-Defined results: null and empty texts have no spans; equal rows get equal spans; offsets are code points, ends
-exclusive; an input column named like an output is replaced; an empty table gives an empty one.
+Defined results: null and empty texts have no spans; equal rows get equal spans; spans are ordered by start, those that
+start together by their rule's place; offsets are code points, ends exclusive; a very long text is scanned whole, in a
+slice of its own; an input column named like an output is replaced, other names never clash; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -79,6 +80,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: its Python worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about ``most`` bytes of the column ``text``."""
     if not batch.num_rows:
@@ -125,5 +134,6 @@ def map_text(
                     kind = arrow.field(f).type
                     cols.append(values.cast(kind) if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values, kind))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        give_back()
 
     return df.select(*(F.col(f"`{c}`") for c in use)).mapInArrow(run, schema)

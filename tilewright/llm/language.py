@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, fold, map_text, slices, table
+from .common import bound_batches, cut, fold, give_back, map_text, slices, table
 
 UNDETERMINED = "und"
 MIN_SHARE = 2.0**-18
@@ -128,7 +128,9 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                             held = 0
         if kept:
             yield from out(merged(kept), names)
+        kept = []
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([ROWS] * len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
+        give_back()
 
     def out(one, names):
         key, n = one

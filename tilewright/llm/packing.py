@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, slices, table
+from .common import bound_batches, cut, give_back, slices, table
 
 SIZE = 1024
 OPEN_WINDOWS = 64
@@ -166,6 +166,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
         for ids_of, windows in ((False, closed()), (True, ((number + i, w) for i, w in enumerate(packer.flush())))):
             for b in _batches(windows, ids_of, narrow):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int64())], schema=schema)
+        give_back()
 
     packed = cut(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(first, shape))
     final = PIECE.format(id=kind)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, fresh, map_text, slices, table
+from .common import bound_batches, cut, fresh, give_back, map_text, slices, table
 from .components import components
 
 RADIUS = 2
@@ -304,6 +304,8 @@ def candidates(groups: DataFrame, far: int = FAR, blocks: int = BLOCKS, kept: in
             rows += batch.num_rows - at
         if rows:
             yield found(held)
+        held = []
+        give_back()
 
     bound_batches(groups.sparkSession)
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -335,6 +337,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
             for part in slices(batch, "s"):
                 near = [jaccard(shingles(words(s), shingle), shingles(words(t), shingle)) >= least for s, t in zip(part.column("s").to_pylist(), part.column("t").to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        give_back()
 
     found = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
     return marked.select("doc_id", "name").join(_named(groups, found, "name"), "name").select("doc_id", "component_id")

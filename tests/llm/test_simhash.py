@@ -163,6 +163,37 @@ def test_near_copies_equal_brute_force(spark):
     assert sum(got[d] == c for d, c in want.items()) >= 0.95 * len(want)
 
 
+def test_links_that_the_tables_miss_are_found(spark):
+    """With no candidate but equal fingerprints: pairs and a crowd whose pairs lie on both sides of the similarity."""
+    rng = random.Random(8)
+    rows, base = planted(), prose(rng, 150).split()
+    for _ in range(80):
+        w = list(base)
+        for p in rng.sample(range(150), rng.randint(1, 5)):
+            w[p] = prose(rng, 1)
+        rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, " ".join(prose(rng, 30).split() * 2 + base[:40])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_near(rows)
+    for how in ({"far": 0}, {}):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, **how).collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 5, 9, 10, 60, 500):
+        h = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        common, counts = np.sort(h[::3]), rng.integers(1, 9, len(h[::3]))
+        for change in range(n // 5 + 1):
+            # change gone, as many come as the similarity allows
+            come = rng.integers(0, n // 4 + 1)
+            a, b = h[:n], np.r_[h[change:n], h[n : n + come]]
+            both = n - change
+            if both >= 0.8 * (len(a) + len(b) - both):
+                shared = np.intersect1d(simhash.prefix(a, 0.8, common, counts), simhash.prefix(b, 0.8, common, counts))
+                assert len(shared) >= min(len(a), len(b)) // simhash.SHARED + 1
+
+
 def test_crowded_buckets_give_the_same_components(spark):
     """A crowd of near fingerprints: by pairs, by forests, and dealt in small chunks."""
     rng = np.random.default_rng(6)

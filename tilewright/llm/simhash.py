@@ -28,6 +28,8 @@ gives an empty one.
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,15 @@ WIDE_CHUNK = 4096
 #: Rows of a bucket up to which all buckets' pairs are compared at once, and rows compared at once.
 SMALL = 32
 RUN = 200_000
+#: Of links that the tables miss: columns of a text's parity map; distinct texts that tell which shingles are common, and
+#: their count from which they are; so many shingles of a set make one more shared entry of prefixes; packed numbers of a
+#: part; texts and bytes compared in a task, and the most bits of their maps.
+MAP = tuple(f"p{k}" for k in range(8))
+SAMPLE, COMMON = 4096, 8
+SHARED = 20
+ENTRIES = 1 << 20
+SETTLED, SETTLED_BYTES = 256, 4 << 20
+WIDE_MAP = 1 << 16
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -191,14 +202,39 @@ def _name(w: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(w), 7) - (1 << 63)
 
 
+def two_hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    """Two independent hashes of each shingle of the set, a row each."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in shingles(w, shingle)]), np.uint64).reshape(-1, 2)
+
+
 def two_fingerprints(w: list[bytes], shingle: int) -> tuple[int, int]:
     """Two independent SimHashes, as signed longs, of the set of shingles."""
-    every = list(shingles(w, shingle))
-    ones = np.zeros(128, np.int64)
-    for k in range(0, len(every), 1 << 15):
-        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in every[k : k + (1 << 15)]]), np.uint8)
-        ones += np.unpackbits(raw.reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > len(every)).view(np.int64).tolist())
+    return _majority(two_hashes(w, shingle))
+
+
+def _majority(pairs: np.ndarray) -> tuple[int, int]:
+    raw, ones = pairs.view(np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
+    for k in range(0, len(raw), 1 << 15):
+        ones += np.unpackbits(raw[k : k + (1 << 15)], axis=1).sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(raw)).view(np.int64).tolist())
+
+
+def parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """A map of ``bits`` (a power of two) bits: whether an odd number of hashes fall on each. Two maps differ in at most
+    as many bits as two sets in shingles."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
+
+
+def prefix(h: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many distinct hashes, rarest first, that two sets with a Jaccard similarity of ``least`` share
+    n // SHARED + 1 of them (n: the smaller set's size). The order is by ``counts`` of the sorted hashes ``common``, 0 for others, then by hash:
+    the same in all texts."""
+    h = np.unique(h)
+    take = len(h) - math.ceil(least * len(h) - 1e-9) + len(h) // SHARED + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+    return h[:take]
 
 
 def block_tables(blocks: int = BLOCKS, kept: int = KEPT) -> list[tuple[int, tuple[int, ...]]]:
@@ -240,26 +276,77 @@ def _close(x: np.ndarray, y: np.ndarray, far: int, few: int = 8) -> tuple[np.nda
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def _candidates(key: np.ndarray, x: np.ndarray, y: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows with equal ``key`` (sorted): runs of a few rows all at once, longer ones one by one."""
+def _in_runs(key: np.ndarray, near: Callable, run: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with equal ``key`` (sorted): those of runs of a few rows, all at once, for which ``near(a, b)`` is true;
+    of a longer run, from place p with n rows, what ``run(p, n)`` gives, counted from p."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     left = np.repeat(np.where(size <= SMALL, first + size, 0), size) - np.arange(len(key))  # rows of the run from here on
     a, b = [], []
     here, step = np.flatnonzero(left > 1), 1
     while len(here):
-        near = np.bitwise_count(x[here] ^ x[here + step]) + np.bitwise_count(y[here] ^ y[here + step]) <= far
-        a.append(here[near])
-        b.append(here[near] + step)
+        ok = near(here, here + step)
+        a.append(here[ok])
+        b.append(here[ok] + step)
         step += 1
         here = here[left[here] > step]
     for p, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        i, j = _close(x[p : p + n], y[p : p + n], far)
+        i, j = run(p, n)
         a.append(i + p)
         b.append(j + p)
     return (np.concatenate(a), np.concatenate(b)) if a else (first[:0], first[:0])
 
 
+def _candidates(key: np.ndarray, x: np.ndarray, y: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows with equal ``key`` (sorted)."""
+    near = lambda a, b: np.bitwise_count(x[a] ^ x[b]) + np.bitwise_count(y[a] ^ y[b]) <= far
+    return _in_runs(key, near, lambda p, n: _close(x[p : p + n], y[p : p + n], far))
+
+
+def _first(table: np.ndarray, x: np.ndarray, y: np.ndarray, blocks: int, kept: int) -> np.ndarray:
+    """Whether ``table`` is the first whose blocks are zero in the differences ``x``, ``y`` of two rows' fingerprints."""
+    size, first, done = 64 // blocks, np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    for t, (word, starts) in enumerate(block_tables(blocks, kept)):
+        mask = np.uint64(sum(((1 << size) - 1) << s for s in starts))
+        now = ~done & ((y if word else x) & mask == 0)
+        first[now], done = t, done | now
+    return first == table
+
+
+def _whole(batches, n: int, rows: int = RUN):
+    """The columns of runs of whole groups, rows with equal first ``n`` columns beside each other."""
+    held, total = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:n]], axis=0)) + 1
+        if held and any(c[0] != h[-1] for c, h in zip(cols[:n], held[-1][:n], strict=True)):
+            change = np.r_[0, change]
+        at = 0
+        if len(change) and total + change[-1] >= rows:
+            at = int(change[-1])
+            held.append([c[:at] for c in cols])
+            yield [np.concatenate(z) for z in zip(*held, strict=True)]
+            held, total = [], 0
+        held.append([c[at:] for c in cols])
+        total += batch.num_rows - at
+    if total:
+        yield [np.concatenate(z) for z in zip(*held, strict=True)]
+
+
+def _links(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The links of rows ``a`` and ``b``, each once."""
+    both = np.unique(np.stack([np.minimum(name[a], name[b]), np.maximum(name[a], name[b])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, key: str, chunk_of: str, *cols: str) -> DataFrame:
+    """``rows`` dealt so that every two of a ``key`` meet: its ``parts`` chunks, by the hash of ``chunk_of``, pair by pair."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(chunk_of), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *cols)
+
+
 def candidates(groups: DataFrame, far: int = FAR, blocks: int = BLOCKS, kept: int = KEPT, chunk: int = WIDE_CHUNK) -> DataFrame:
     """(a, b): names of distinct texts to be verified. ``groups`` has name, x and y (two fingerprints)."""
     size = 64 // blocks
@@ -273,44 +360,197 @@ def candidates(groups: DataFrame, far: int = FAR, blocks: int = BLOCKS, kept: in
     # a crowded bucket is dealt in chunks; each pair of chunks is a task's group
     crowded = cut(rows.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
     rows = rows.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = ["key", "i", "j"]
-    dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name", "x", "y").repartition(*order).sortWithinPartitions(*order)
+    dealt = _dealt(rows, "key", "name", "name", "x", "y").repartition(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        rows = 0
-
-        def found(parts):
-            key, i, j, name, x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
+        for key, i, j, name, x, y in _whole(batches, 3):
             new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-            a, b = _candidates(np.cumsum(new), x.view(np.uint64), y.view(np.uint64), far)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(name[a], name[b])), pa.array(np.maximum(name[a], name[b]))], names=["a", "b"])
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            a, b = _candidates(np.cumsum(new), x, y, far)
+            # a pair that meets in several tables is told by the first of them
+            ok = _first(key[a] >> (size * kept), x[a] ^ x[b], y[a] ^ y[b], blocks, kept)
+            yield _links(name, a[ok], b[ok])
+        give_back()
+
+    bound_batches(groups.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _common(rows: DataFrame, every: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes that are frequent in a sample of some ``SAMPLE`` of ``every`` texts, sorted, and their counts."""
+    some = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, every // SAMPLE))) == 0).distinct()
+    told = map_text(some, "text", [T.StructField("h", T.ArrayType(T.LongType()))], lambda: lambda texts: [[two_hashes(words(t), shingle)[:, 0].view(np.int64).tolist() for t in texts]], [])
+    got = told.select(F.explode("h").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def sharing(rows: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(key, name, parts): the texts of ``rows`` that have a shingle of their ``prefix`` in common with another text."""
+    every, entries = groups.agg(F.count("*"), F.sum(F.col("size") * (1 - least) + 1)).first()
+    common, counts = _common(rows, every, shingle)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries or 0) // ENTRIES)
+
+    def pack(batches):
+        """Keys and names as packed numbers, a row for each part: rows of their own would take several times the room."""
+        seen, keys, names, total = set(), [], [], 0
+
+        def flush():
+            key, name = np.concatenate(keys), np.concatenate(names)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+            cut_at = [*first[1:].tolist(), len(order)]
+            take = [order[x:y] for x, y in zip(first.tolist(), cut_at, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[order][first]), pa.array([key[t].tobytes() for t in take], pa.binary()), pa.array([name[t].tobytes() for t in take], pa.binary())], names=["part", "keys", "names"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            if held and any(c[0] != h[-1] for c, h in zip(cols[:3], held[-1][:3], strict=True)):
-                change = np.r_[0, change]
-            at = 0
-            if len(change) and rows + change[-1] >= RUN:  # whole groups only
-                at = int(change[-1])
-                held.append([c[:at] for c in cols])
-                yield found(held)
-                held, rows = [], 0
-            held.append([c[at:] for c in cols])
-            rows += batch.num_rows - at
-        if rows:
-            yield found(held)
-        held = []
+            for t in (t for piece in slices(batch, "text") for t in piece.column("text").to_pylist()):
+                w = words(t)
+                if not w or (name := _name(w)) in seen:
+                    continue
+                seen.add(name)
+                keys.append(prefix(two_hashes(w, shingle)[:, 0], least, common, counts))
+                names.append(np.full(len(keys[-1]), name, np.int64))
+                total += len(keys[-1])
+                if total >= ENTRIES:
+                    yield flush()
+                    keys, names, total = [], [], 0
+        if total:
+            yield flush()
+        give_back()
+
+    def meet(batches):
+        held, last = [], None
+
+        def done():
+            key, name = (np.concatenate([np.frombuffer(h[k], kind) for h in held]) for k, kind in ((0, np.uint64), (1, np.int64)))
+            order = np.lexsort((name, key))
+            key, name = key[order], name[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]  # copies in several tasks
+            key, name = key[new], name[new]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[first, len(key)])
+            n = np.repeat(size, size)
+            ok = n > 1
+            key, name, n = key[ok].view(np.int64), name[ok], n[ok]
+            for k in range(0, len(key), RUN):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + RUN]), pa.array(name[k : k + RUN]), pa.array((n[k : k + RUN] + CHUNK - 1) // CHUNK)], names=["key", "name", "parts"])
+
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "names")), strict=True):
+                if held and part != last:
+                    yield from done()
+                    held = []
+                last = part
+                held.append(row)
+        if held:
+            yield from done()
+        give_back()
+
+    bound_batches(rows.sparkSession)
+    packed = rows.select("text").mapInArrow(pack, "part long, keys binary, names binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, name long, parts long")
+
+
+def _alike(size: np.ndarray, maps: np.ndarray, other: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes and parity maps can reach the similarity: no set that does is told apart."""
+    apart = np.bitwise_count(maps ^ others).sum(-1, dtype=np.int64)
+    return (apart <= (1 - least) / (1 + least) * (size + other) + 1e-9) & (np.minimum(size, other) >= least * np.maximum(size, other) - 1e-9)
+
+
+def _search(size: np.ndarray, maps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the components of rows that are ``_alike``: each row is met once."""
+    a, b = [], []
+    rest = np.arange(len(size))
+    while len(rest):
+        start, queue = rest[0], [(size[0], maps[0])]
+        rest, size, maps = rest[1:], size[1:], maps[1:]
+        while queue and len(rest):
+            near = _alike(size, maps, *queue.pop(), least)
+            if near.any():
+                a += [start] * int(near.sum())
+                b += rest[near].tolist()
+                queue += list(zip(size[near], maps[near], strict=True))
+                rest, size, maps = rest[~near], size[~near], maps[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def possible(rows: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): links between names whose components hold together all that a similarity of ``least`` joins, without
+    exception, and little more. ``groups`` has name, size and the parity map of each text."""
+    shared = cut(sharing(rows, groups, shingle, least))
+    # a text with a partner shares as many entries as a partner of the least size has to share
+    few = F.floor(F.ceil(F.col("size") * least - 1e-9) / SHARED) + 1
+    enough = shared.groupBy("name").count().join(groups.select("name", "size", *MAP), "name").filter(F.col("count") >= few).drop("count")
+    many = shared.join(enough, "name")
+    order = ["key", "i", "j"]
+    dealt = _dealt(many, "key", "name", "name", "size", *MAP).repartition(*order).sortWithinPartitions(*order)
+
+    def run(batches):
+        for key, i, j, name, size, *maps in _whole(batches, 3):
+            new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            maps = np.stack(maps, 1).view(np.uint64)
+            near = lambda a, b: _alike(size[a], maps[a], size[b], maps[b], least)  # noqa: B023, E731
+            yield _links(name, *_in_runs(np.cumsum(new), near, lambda p, n: _search(size[p : p + n], maps[p : p + n], least)))  # noqa: B023
         give_back()
 
-    bound_batches(groups.sparkSession)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _settled(texts: list[str], known: np.ndarray, shingle: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of places in ``texts`` with a similarity of ``least`` that join, with the components ``known``, exactly what
+    all such pairs join."""
+    w = [words(t) for t in texts]
+    hashes = [np.unique(two_hashes(one, shingle)[:, 0]) for one in w]
+    size = np.array([len(h) for h in hashes])
+    bits = min(WIDE_MAP, max(512, 1 << (4 * int(size.max())).bit_length()))
+    maps = np.stack([parity(h, bits).view(np.uint64) for h in hashes])
+
+    def similar(q: int, r: int) -> bool:
+        both = len(np.intersect1d(hashes[q], hashes[r], assume_unique=True))
+        return both >= least * (size[q] + size[r] - both) - 1e-6 and jaccard(shingles(w[q], shingle), shingles(w[r], shingle)) >= least
+
+    out, rest = [], np.arange(len(w))
+    while len(rest):
+        mine = known[rest] == known[rest[0]]
+        queue, rest = rest[mine].tolist(), rest[~mine]
+        while queue and len(rest):
+            q, joined = queue.pop(), set()
+            fit = rest[np.minimum(size[rest], size[q]) >= least * np.maximum(size[rest], size[q]) - 1e-9]
+            for r in fit[_alike(size[fit], maps[fit], size[q], maps[q], least)].tolist():
+                if known[r] not in joined and similar(q, r):
+                    out.append((q, r))
+                    joined.add(known[r])
+            if joined:
+                mine = np.isin(known[rest], list(joined))
+                queue, rest = queue + rest[mine].tolist(), rest[~mine]
+    return out
+
+
+def completed(found: DataFrame, wide: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): the links missing from ``found`` to join what all pairs join that are as similar as ``least``. ``wide`` has
+    what ``possible`` gives, ``texts`` the name and text of all that it names. Components of ``wide`` that ``found`` has not
+    joined wholly are compared, in chunks of bounded size, two at a time."""
+    known = components(found, "a", "b").select(F.col("node").alias("name"), F.col("component").alias("known"))
+    bulk = components(wide, "a", "b").select(F.col("node").alias("name"), F.col("component").alias("bulk"))
+    told = cut(bulk.join(known, "name", "left").select("name", "bulk", F.coalesce("known", "name").alias("known")))
+    apart = told.groupBy("bulk").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x < y").select("bulk")
+    left = cut(told.join(apart, "bulk", "left_semi").join(texts, "name"))
+    size = left.groupBy("bulk").agg(F.ceil(F.greatest(F.count("*") / SETTLED, F.sum(F.octet_length("text")) / SETTLED_BYTES)).cast("int").alias("parts"))
+    dealt = _dealt(left.join(size, "bulk"), "bulk", "name", "name", "known", "text")
+
+    def settle(group: pa.Table) -> pa.Table:
+        name = group.column("name").to_numpy()
+        got = _settled(group.column("text").to_pylist(), group.column("known").to_numpy(), shingle, least)
+        at = np.array(got, np.int64).reshape(-1, 2)
+        return pa.table({"a": name[at[:, 0]], "b": name[at[:, 1]]})
+
+    return dealt.groupBy("bulk", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+
+
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = LEAST, **how) -> DataFrame:
     """(doc_id, component_id), a row for each of ``df``: the least id that a chain of texts reaches whose shingle sets
     have a Jaccard similarity of at least ``least``. ``df`` is read twice, so it should be a table."""
@@ -319,15 +559,19 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     def start():
         def work(texts):
             split = [words(t) for t in texts]
-            two = [two_fingerprints(w, shingle) for w in split]
-            return [[_name(w) for w in split], [t[0] for t in two], [t[1] for t in two]]
+            pairs = [two_hashes(w, shingle) for w in split]
+            two = [_majority(p) for p in pairs]
+            maps = [parity(p[:, 0], 64 * len(MAP)).tolist() for p in pairs]
+            return [[_name(w) for w in split], [t[0] for t in two], [t[1] for t in two], [len(p) for p in pairs], *([m[k] for m in maps] for k in range(len(MAP)))]
 
         return work
 
-    marked = cut(map_text(rows, "text", [T.StructField(c, T.LongType()) for c in ("name", "x", "y")], start, ["doc_id"]))
-    groups = cut(marked.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("x").alias("x"), F.first("y").alias("y")))
+    marked = cut(map_text(rows, "text", [T.StructField(c, T.LongType()) for c in ("name", "x", "y", "size", *MAP)], start, ["doc_id"]))
+    groups = cut(marked.groupBy("name").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("x", "y", "size", *MAP))))
     pairs = cut(candidates(groups, **how))
-    asked = cut(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct())
+    wide = cut(possible(rows, groups, shingle, least))
+    ends = pairs.union(wide)
+    asked = cut(ends.select(F.col("a").alias("name")).union(ends.select(F.col("b").alias("name"))).distinct())
     named = map_text(rows, "text", [T.StructField("name", T.LongType())], lambda: lambda texts: [[_name(words(t)) for t in texts]])
     texts = cut(named.join(asked, "name", "left_semi").groupBy("name").agg(F.min("text").alias("text")))
     both = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("name").alias("b"), F.col("text").alias("t")), "b")
@@ -340,7 +584,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
         give_back()
 
     found = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
-    return marked.select("doc_id", "name").join(_named(groups, found, "name"), "name").select("doc_id", "component_id")
+    rest = cut(completed(found, wide, texts, shingle, least))
+    return marked.select("doc_id", "name").join(_named(groups, found.union(rest), "name"), "name").select("doc_id", "component_id")
 
 
 def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

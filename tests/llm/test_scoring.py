@@ -140,3 +140,50 @@ def test_broadcast_and_joined_grams_score_alike(spark, order, monkeypatch):
     trie = whole_trie([t for d, t in texts if d > 3], order)
     want = {d: trie.log_probabilities(scoring.keys([t], order)[0]).sum() for d, t in texts}
     assert all(s == pytest.approx(want[d], abs=1e-6) for d, s in a)
+
+
+def test_counting_hands_on_one_row_for_training_and_other_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["The cat  sat\x0b", "the CAT sat", "", None, " a cät\x1csat the\n"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = scoring.count(docs, F.col("doc_id") % 3 != 1, "text", 3).collect()
+    every, trained, words = Counter(), Counter(), Counter()
+    for d, t in rows:
+        key = scoring.keys([(t or "").encode()], 3)[0].tolist()
+        every.update(key)
+        if d % 3 != 1:
+            trained.update(key)
+            words.update((t or "").encode().lower().split())
+    assert {r["gram"]: (r["n"], r["trained"]) for r in got if r["word"] is None} == {k: (n, trained[k]) for k, n in every.items()}
+    assert {r["word"].encode(): r["n"] for r in got if r["word"] is not None} == words
+    assert len(got) == len(every) + len(words)
+
+
+@pytest.mark.parametrize("most", [5, 40, 10_000])
+def test_words_of_many_texts(most):
+    texts = ["", "Ab  cD\x0bab", " \n ", "É x\x1cy z É " * 9, "\tend ", "w" * 60, "   "]
+    got = [[] for _ in texts]
+    for distinct, at, doc in scoring.words([t.encode() for t in texts], most):
+        names = distinct.to_pylist()
+        for a, d in zip(at, doc, strict=True):
+            got[d].append(names[a].encode())
+    assert got == [t.encode().lower().split() for t in texts]
+
+
+@pytest.mark.parametrize("many", [3, 3000])
+def test_keys_by_text(many):
+    texts = [b"abcab" if i % 2 else b"" for i in range(many)]
+    key, doc = scoring.keys(texts, 5)
+    want = Counter(zip(doc.tolist(), key.tolist(), strict=True))
+    got = [*zip(*(x.tolist() for x in scoring._by_text(key, doc, 5)), strict=True)]
+    assert [(d, k, n) for k, n, d in got] == [(*dk, n) for dk, n in sorted(want.items())]
+    plain = [sum((t[i - b] + 1 if 0 <= i - b < len(t) else 0) << 9 * b for b in range(6)) for t in texts for i in range(len(t) + 1)]
+    assert key.tolist() == plain
+
+
+def test_table_finds_keys_that_share_a_slot():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 54, 5_000).astype(np.uint64))
+    table = scoring.Table(keys[::2])
+    assert len(np.unique(table._slot(keys[::2]))) < len(keys[::2])
+    assert table.find(keys).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(keys))]
+    assert scoring.Table(keys[:0]).find(keys[:9]).tolist() == [-1] * 9

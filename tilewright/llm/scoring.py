@@ -25,17 +25,18 @@ replaced, other names never clash.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fold, fresh, slices, table
+from .common import SLICE_BYTES, bound_batches, cut, fold, fresh, slices, table
 
 _GAP = re.compile(rb"[\t-\r ]")
 
@@ -55,23 +56,34 @@ SYMBOLS = 257
 HELD = 500_000
 #: Bytes of text whose positions are handled at once; each takes some 100 bytes in arrays.
 SLICE = 1 << 18
+#: Positions that a counting task sorts at once.
+AT_ONCE = 8 * SLICE
+
+
+def _low(k: int) -> np.uint64:
+    return np.uint64((1 << (BITS * k)) - 1)
 
 
 def keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """(context and symbol of every position, text of each)."""
-    size = np.array([len(t) + order + 1 for t in texts], np.int64)
-    total = int(size.sum())
-    ends = np.cumsum(size)
-    flat = np.zeros(total, np.uint16)
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    place = np.arange(total) - np.repeat(ends - size, size)
-    flat[(place >= order) & (place < np.repeat(size, size) - 1)] = raw
-    key = np.zeros(total, np.uint64)
-    for back in range(order + 1):
-        key[order:] |= flat[order - back : total - back].astype(np.uint64) << np.uint64(BITS * back)
-    here = place >= order
-    return key[here], doc[here]
+    size = np.array([len(t) for t in texts], np.int64) + (order + 1)
+    first = np.cumsum(size) - size
+    joined = bytes(order) + bytes(order + 1).join(texts) + bytes(1)
+    key = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    key += np.uint64(1)
+    before = (first[:, None] + np.arange(order)).ravel()
+    key[before] = 0
+    key[first + size - 1] = 0
+    have = 1
+    while have <= order:  # keys of twice as many symbols; what is too much is cut at the end
+        longer = key[:-have] << np.uint64(BITS * have)
+        longer |= key[have:]
+        key[have:] = longer
+        have *= 2
+    key &= _low(order + 1)
+    here = np.ones(len(key), bool)
+    here[before] = False
+    return key[here], np.repeat(np.arange(len(texts), dtype=np.int32), size - order)
 
 
 def windows(texts: list[bytes], order: int, most: int = 0):
@@ -109,64 +121,120 @@ def words_of(text: bytes, most: int = 0):
         at = end
 
 
-def count(docs: DataFrame, training: Column, text: str, order: int) -> DataFrame:
-    """(gram, word, n): counts of (context, symbol)s, the word null, and of words in training rows, the gram null.
+def words(texts: list[bytes], most: int = 0):
+    """The texts' lower-cased (A-Z) words in parts of ``most`` (SLICE_BYTES) bytes: (distinct words, place among them
+    of each word, text of each word)."""
+    most, first, total = most or SLICE_BYTES, 0, 0
+
+    def split(low, high):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts[low:high], pa.binary()).cast(pa.string())))
+        return placed(lists.flatten(), np.repeat(np.arange(low, high), np.diff(lists.offsets.to_numpy())))
+
+    def placed(found, doc):
+        coded = found.dictionary_encode()
+        at, blank = coded.indices.to_numpy(), pc.index(coded.dictionary, "").as_py()  # beside outer gaps
+        if blank >= 0:
+            there = at != blank
+            at, doc = at[there], doc[there]
+        return coded.dictionary, at, doc
+
+    for i, t in enumerate(texts):
+        if total + len(t) > most and i > first:
+            yield split(first, i)
+            first, total = i, 0
+        total += len(t)
+        if len(t) > most:
+            for w in words_of(t, most):
+                yield placed(pa.array(w, pa.binary()).cast(pa.string()), np.full(len(w), i))
+            first, total = i + 1, 0
+    if first < len(texts):
+        yield split(first, len(texts))
 
-    A gram is twice the (context, symbol), plus 1 for its count in training rows."""
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the first of ``parts``' columns, and the sums of the others."""
+    key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], *(np.add.reduceat(x[by], first) for x in more)
+
+
+def _tallied(tagged: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, its number, its number in training rows) from twice the keys, plus 1 in training rows; sorts in place."""
+    tagged.sort()
+    first = np.flatnonzero(np.r_[True, tagged[1:] != tagged[:-1]])
+    n, tagged = np.diff(np.r_[first, len(tagged)]), tagged[first]
+    key, trained = tagged >> np.uint64(1), np.where(tagged & np.uint64(1), n, 0)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(n, first), np.add.reduceat(trained, first)
+
+
+def count(docs: DataFrame, training: Column, text: str, order: int) -> DataFrame:
+    """(gram, word, n, trained): counts of (context, symbol)s in all and in training rows, the word null, and of words
+    in training rows, the gram null."""
 
     bound_batches(docs.sparkSession)
+    names = ["gram", "word", "n", "trained"]
 
     def run(batches):
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        tally: Counter = Counter()
-        held = 0
-
-        def merged():
-            key, n = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
-            by = np.argsort(key)
-            key, n = key[by], n[by]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            return key[first], np.add.reduceat(n, first)
+        grams: list[tuple[np.ndarray, ...]] = []
+        tally: list[pa.Table] = []
+        waiting: list[np.ndarray] = []
+        held = spoken = 0
 
         def out_grams():
-            key, n = merged()
+            key, n, trained = _merged(grams)
             for k in range(0, len(key), 100_000):
                 part = key[k : k + 100_000].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(n[k : k + 100_000])], names=["gram", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(n[k : k + 100_000]), pa.array(trained[k : k + 100_000])], names=names)
+
+        def summed_words():
+            return pa.concat_tables(tally).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         def out_words():
-            found = list(tally.items())
-            for k in range(0, len(found), 100_000):
-                part = found[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array([w.decode() for w, _ in part]), pa.array([n for _, n in part], pa.int64())], names=["gram", "word", "n"])
+            for part in summed_words().to_batches(max_chunksize=100_000):
+                n = part.column("n")
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), part.column("word"), n, n], names=names)
 
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 trains = part.column("training").to_numpy(zero_copy_only=False).astype(np.uint64)
-                for t, one in zip(texts, trains, strict=True):
-                    for w in words_of(t) if one else ():
-                        tally.update(w)
-                        if len(tally) > HELD:
+                for distinct, at, _ in words([t for t, one in zip(texts, trains, strict=True) if one]):
+                    n = np.bincount(at, minlength=len(distinct))
+                    some = np.flatnonzero(n)
+                    tally.append(pa.table({"word": distinct.take(pa.array(some)), "n": n[some]}))
+                    spoken += len(some)
+                    if spoken > 2 * HELD:
+                        tally = [summed_words()]
+                        spoken = len(tally[0])
+                        if spoken > HELD:
                             yield from out_words()
-                            tally.clear()
+                            tally, spoken = [], 0
                 for key, doc in windows(texts, order):
-                    key = np.sort(key << np.uint64(1) | trains[doc])
-                    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    grams.append((key[first], np.diff(np.r_[first, len(key)])))
-                    held += len(first)
+                    waiting.append(key << np.uint64(1) | trains[doc])
+                    if sum(map(len, waiting)) > AT_ONCE:
+                        grams.append(_tallied(np.concatenate(waiting)))
+                        waiting = []
+                        held += len(grams[-1][0])
                     if held > 3 * HELD:
-                        grams = [merged()]
+                        grams = [_merged(grams)]
                         held = len(grams[0][0])
                         if held > 2 * HELD:
                             yield from out_grams()
                             grams, held = [], 0
+        if waiting:
+            grams.append(_tallied(np.concatenate(waiting)))
         if grams:
             yield from out_grams()
-        yield from out_words()
+        if tally:
+            yield from out_words()
 
     flag = F.coalesce(training, F.lit(False)).alias("training")
-    return docs.select(F.col(f"`{text}`").alias("text"), flag).mapInArrow(run, "gram long, word string, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(f"`{text}`").alias("text"), flag).mapInArrow(run, "gram long, word string, n long, trained long")
+    # dealt before they are summed: a task gives most of them once, so that a sum by task would find little
+    return found.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
 
 class Table:
@@ -176,7 +244,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.sorted = keys
-        bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 2))))
+        bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 2))))
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.at = np.full(1 << bits, self.EMPTY), np.full(1 << bits, -1, np.int32)
         todo, slot = np.arange(len(keys)), self._slot(keys)
@@ -192,22 +260,21 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.at[slot], -1)
-        todo = np.flatnonzero((there != keys) & (there != self.EMPTY))
+        out = self.at.take(slot)
+        todo = np.flatnonzero(self.keys.take(slot) != keys)
+        todo = todo[out[todo] >= 0]  # another key is there
+        out[todo] = -1
+        keys, slot = keys[todo], slot[todo]
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & self.mask
-            there = self.keys[slot[todo]]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.at[slot[todo[hit]]]
-            todo = todo[~hit & (there != self.EMPTY)]
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            hit = there == keys
+            out[todo[hit]] = self.at[slot[hit]]
+            on = ~hit & (there != self.EMPTY)
+            todo, keys, slot = todo[on], keys[on], slot[on]
         return out
 
 
-def _low(k: int) -> np.uint64:
-    return np.uint64((1 << (BITS * k)) - 1)
-
-
 class Trie:
     """Pruned PPM tables. ``grams[k]``: {(context of k symbols, symbol): count}, ``contexts[k]``: {context: count}."""
 
@@ -286,18 +353,16 @@ def _levels(key: np.ndarray, n: np.ndarray, low: int, high: int):
 def solve(counted: DataFrame, order: int) -> DataFrame:
     """(gram, n, p): every (context, symbol) of ``count`` with its count in all rows and log10 of its probability."""
     head = min(HEAD, order)
-    grams = counted.filter("word IS NULL").select("gram", "n")
-    plain = F.shiftrightunsigned("gram", 1)
-    short = grams.filter(F.col("gram").bitwiseAND(F.lit(1)) == 1).groupBy(plain.bitwiseAND(F.lit(int(_low(head + 1)))).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 257^(head+1)
+    grams = counted.filter("word IS NULL").select("gram", "n", "trained")
+    short = grams.filter("trained > 0").groupBy(F.col("gram").bitwiseAND(F.lit(int(_low(head + 1)))).alias("key")).agg(F.sum("trained").alias("n")).toArrow()  # at most 257^(head+1)
     shared = counted.sparkSession.sparkContext.broadcast(_levels(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy(), 0, head))
     names = ["gram", "n", "p"]
 
     def run(batches):
         def solved(held):
-            tagged, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            key, every = _summed(tagged >> np.uint64(1), n)
-            trained = (tagged & np.uint64(1)).astype(bool)
-            g, c = _levels(tagged[trained] >> np.uint64(1), n[trained], head + 1, order)
+            key, every, trained = (np.concatenate(x) for x in zip(*held, strict=True))
+            known = trained > 0
+            g, c = _levels(key[known], trained[known], head + 1, order)
             p = np.rint(Trie(shared.value[0] + g, shared.value[1] + c).log_probabilities(key) / UNIT).astype(np.int64)
             for k in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (key.astype(np.int64), every, p)], names=names)
@@ -306,22 +371,22 @@ def solve(counted: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            suffix, tagged, n = (batch.column(k).to_numpy() for k in range(3))
-            tagged = tagged.astype(np.uint64)
+            suffix, *counts = (batch.column(k).to_numpy() for k in range(4))
+            counts[0] = counts[0].astype(np.uint64)
             change = np.flatnonzero(np.r_[last is None or suffix[0] != last, suffix[1:] != suffix[:-1]])
             at = 0
             if len(change) and rows + change[-1] >= CHUNK:  # whole suffixes only
                 at = change[-1]
-                held.append((tagged[:at], n[:at]))
+                held.append([x[:at] for x in counts])
                 yield from solved(held)
                 held, rows = [], 0
-            held.append((tagged[at:], n[at:]))
-            rows, last = rows + len(n) - at, suffix[-1]
+            held.append([x[at:] for x in counts])
+            rows, last = rows + len(suffix) - at, suffix[-1]
         if rows:
             yield from solved(held)
 
-    suffix = F.shiftrightunsigned("gram", BITS + 1).bitwiseAND(F.lit(int(_low(head + 1))))
-    dealt = grams.select(suffix.alias("suffix"), "gram", "n").repartition("suffix").sortWithinPartitions("suffix")
+    suffix = F.shiftrightunsigned("gram", BITS).bitwiseAND(F.lit(int(_low(head + 1))))
+    dealt = grams.select(suffix.alias("suffix"), "gram", "n", "trained").repartition("suffix").sortWithinPartitions("suffix")
     return dealt.mapInArrow(run, "gram long, n long, p long")
 
 
@@ -341,11 +406,27 @@ def learn(docs: DataFrame, training: Column, text: str = "text", order: int = OR
     common, p = Table(got["gram"].to_numpy().astype(np.uint64)), got["p"].to_numpy()
     vocabulary = counted.filter("word IS NOT NULL").select("word", F.col("n").alias("c"))
     found = vocabulary.filter(F.col("c") >= tokens * word_share).toArrow()  # at most 1/word_share
-    frequent = dict(zip((w.encode() for w in found["word"].to_pylist()), found["c"].to_pylist(), strict=True))
+    frequent = dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
     others = model.filter(F.col("n") < totals["positions"] * gram_share).select("gram", "p")
     return common, p, others, vocabulary.filter(F.col("c") < tokens * word_share), frequent, int(tokens), int(distinct), int(ends)
 
 
+def _by_text(key: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, its number, text) of each text's distinct keys, by text."""
+    if not len(key):
+        return key.astype(np.int64), np.zeros(0, np.int64), doc
+    bits = np.uint64(BITS * (order + 1))
+    if (int(doc[-1]) - int(doc[0])) >> (64 - int(bits)):  # too many texts for one number
+        by = np.lexsort((key, doc))
+        key, doc = key[by], doc[by]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        return key[first].astype(np.int64), np.diff(np.r_[first, len(key)]), doc[first]
+    both = np.sort((doc - doc[0]).astype(np.uint64) << bits | key)
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    n, both = np.diff(np.r_[first, len(both)]), both[first]
+    return (both & _low(order + 1)).astype(np.int64), n, (both >> bits).astype(np.int32) + doc[0]
+
+
 def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
     """``df``'s columns ``keep`` (all but the text, if None) with n_tokens, n_known, train_tokens, base_score, score
     and bits_per_byte (the end counts as a byte), learned from the rows for which ``training`` holds."""
@@ -354,8 +435,10 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     order = how.get("order", ORDER)
     common, p, others, rare, frequent, n, v, ends = learn(df, training, text, **how)
     whole = float(np.log10(n + v + 1))
-    logs = {w: float(np.log10(c + 1)) - whole for w, c in frequent.items()}
-    shared = df.sparkSession.sparkContext.broadcast((common, p, logs))
+    places = {w: i for i, w in enumerate(frequent)}
+    logs = np.log10(np.array([*frequent.values(), 0.0]) + 1) - whole
+    logs[-1] = 0  # of rare words, and p of rare (context, symbol)s: looked up by the joins
+    shared = df.sparkSession.sparkContext.broadcast((common, np.append(p, 0), places, logs))
     end = float(np.log10(ends + 1)) - whole
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -367,46 +450,43 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: list[str] |
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], shape).schema)
 
     def run(batches):
-        model, logp, known = shared.value
+        model, logp, places, logs = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, text_, SLICE):
+            for part in slices(batch, text_):
                 texts = [(t or "").encode() for t in part.column(text_).to_pylist()]
-                total = np.zeros(len(texts), np.int64)
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                many = len(texts)
+                total = np.zeros(many, np.int64)
+                found: list[tuple[np.ndarray, ...]] = []
                 for key, doc in windows(texts, order):
                     at = model.find(key)
-                    there = at >= 0
-                    run_ = np.zeros(len(key) + 1, np.int64)
-                    run_[1:][there] = logp[at[there]]
-                    ends_ = np.searchsorted(doc, np.arange(len(texts) + 1))
-                    total += np.diff(np.cumsum(run_)[ends_])
-                    k, d = key[~there], doc[~there]
-                    by = np.lexsort((k, d))
-                    k, d = k[by], d[by]
-                    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, np.int64)
-                    found.append((k[first], np.diff(np.r_[first, len(k)]), d[first]))
-                k, n_, d = (np.concatenate(x) for x in zip(*found, strict=True))
-                fields = [pa.array(k.astype(np.int64)), pa.array(n_.astype(np.int32))]
-                kind = arrow.field(grams_).type
-                grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["gram", "n"])).cast(kind)
-                tokens, hits, base, rest = [], [], [], []
-                for t in texts:
-                    length, hit, logs_, others_ = 1, int(ends > 0), end, Counter()
-                    for w in words_of(t):
-                        values = [known.get(x) for x in w]
-                        some = [x for x in values if x is not None]
-                        length, hit, logs_ = length + len(w), hit + len(some), logs_ + sum(some)
-                        if len(some) < len(w):
-                            others_.update(x for x, y in zip(w, values, strict=True) if y is None)
-                    tokens.append(length)
-                    hits.append(hit)
-                    base.append(logs_)
-                    rest.append([{"word": x.decode(), "n": c} for x, c in others_.items()])
+                    low, high = int(doc[0]), int(doc[-1]) + 1  # each text has a position at least, its end
+                    total[low:high] += np.add.reduceat(logp.take(at, mode="wrap"), np.searchsorted(doc, np.arange(low, high)))
+                    there = at < 0
+                    found.append(_by_text(key[there], doc[there], order))
+                tokens, hits, base = np.ones(many, np.int64), np.full(many, int(ends > 0)), np.full(many, end)
+                others: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+                for distinct, at, doc in words(texts):
+                    known = np.fromiter(map(places.get, distinct.to_pylist(), itertools.repeat(-1)), np.int64, len(distinct))[at]
+                    tokens += np.bincount(doc, minlength=many)
+                    base += np.bincount(doc, logs[known], many)
+                    rest = known < 0
+                    hits += np.bincount(doc[~rest], minlength=many)
+                    each, n_ = np.unique(doc[rest] * len(distinct) + at[rest], return_counts=True)
+                    d, at = np.divmod(each, max(len(distinct), 1))
+                    others.append((distinct.take(pa.array(at)), n_, d))
+                rest = listed([pa.concat_arrays([x[0] for x in others]), *(np.concatenate([x[k] for x in others]) for k in (1, 2))], rare_, many)
+                grams = listed([np.concatenate(x) for x in zip(*found, strict=True)], grams_, many)
                 cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
-                made_ = [np.arange(row, row + len(texts)), [len(t) for t in texts], tokens, hits, base, total, rest]
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_)), grams], schema=arrow)
+                made_ = [np.arange(row, row + many), np.array([len(t) for t in texts]), tokens, hits, base, total]
+                row += many
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made_)), rest, grams], schema=arrow)
+
+    def listed(columns, name, many):
+        """The lists of (key, n) of each text, from columns in the order of texts: key, n, text."""
+        kind = arrow.field(name).type
+        value = pa.StructArray.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns[:2], kind.value_type, strict=True)], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(columns[2], np.arange(many + 1)).astype(np.int32)), value).cast(kind)
 
     scored = cut(inner.mapInArrow(run, shape))
     looked = scored.select(row_, F.inline(rare_)).join(rare, "word", "left")

@@ -19,7 +19,8 @@ whole numbers of 2^-36, so that a score doesn't depend on the order of rows.
 Defined results: null and empty texts hold the end alone; with no training rows every symbol is equally likely and
 every base probability is 1; equal rows get equal scores; an empty table gives an empty one. Rows are told apart by
 their place in the input, so repeated and null ids are scored one by one. Very long texts are counted and scored in
-parts of ``SLICE`` bytes, each with the context before it, which gives the same. Input columns named like outputs are
+parts of ``SLICE`` bytes, each with the context before it, and their words in parts of ``SLICE_BYTES``, cut between
+words, which gives the same. Input columns named like outputs are
 replaced, other names never clash.
 """
 

@@ -17,6 +17,7 @@ from ..functions import geometry as G
 from ..model import RINGS, AnnotationSorting
 from . import tiling as T
 from .clip import clip_parts
+from .dealing import tasks
 
 #: Side of a cell in level-0 pixels.
 CELL = 512
@@ -45,7 +46,9 @@ def spatial_join(regions: DataFrame, annotations: DataFrame, cell: int = CELL, h
     meet. Both sides' other columns are kept and must differ in name."""
     left = regions.withColumn("_cx", _cells("rx0", "rx1", cell)).withColumn("_cy", _cells("ry0", "ry1", cell))
     right = annotations.withColumn("_cx", _cells("ax0", "ax1", cell)).withColumn("_cy", _cells("ay0", "ay1", cell))
-    met = left.join(right, ["slide_id", "_cx", "_cy"])
+    by = ["slide_id", "_cx", "_cy"]
+    n = tasks(left.select(*by).union(right.select(*by)))
+    met = left.repartition(n, *by).join(right.repartition(n, *by).hint("merge"), by)
     meets = (F.col("ax0") <= F.col("rx1")) & (F.col("ax1") >= F.col("rx0")) & (F.col("ay0") <= F.col("ry1")) & (F.col("ay1") >= F.col("ry0"))
     here = (F.floor(F.greatest("rx0", "ax0") / cell) == F.col("_cx")) & (F.floor(F.greatest("ry0", "ay0") / cell) == F.col("_cy"))
     return met.filter(meets & here).drop("_cx", "_cy")
@@ -61,7 +64,10 @@ def grid_join(slides: DataFrame, annotations: DataFrame, mpp: float | None, tile
     found = T.lattice(T.extents(slides, mpp, rois, limit_bounds), tile, overlap, mode).withColumn("_start", T.first_region(tile, overlap, mode, rois))
     keep = ["slide_id", "grid_index", "scaling", "view_mpp", "view_w", "view_h", "off_x", "off_y", "nx", "ny", "step_x", "step_y", "_start"]
     dealt = annotations.withColumn("_salt", F.pmod(F.xxhash64("ax0", "ay0", "ax1", "ay1"), F.lit(salts)).cast("int"))
-    met = found.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")).join(dealt, ["slide_id", "_salt"]).drop("_salt")
+    by = ["slide_id", "_salt"]
+    n = tasks(annotations)
+    every = found.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    met = every.repartition(n, *by).join(dealt.repartition(n, *by).hint("merge"), by).drop("_salt")
     for axis, n, size in (("x", "nx", tile[0]), ("y", "ny", tile[1])):
         low, high = (F.col(f"a{axis}{k}") * F.col("scaling") - F.col(f"off_{axis}") for k in (0, 1))
         first = F.greatest(F.lit(0), F.ceil((low - size) / F.col(f"step_{axis}")).cast("int"))
@@ -137,7 +143,7 @@ def available_classes(annotations: DataFrame) -> DataFrame:
 def bounding_box(annotations: DataFrame, slides: DataFrame | None = None) -> DataFrame:
     """(slide_id, x, y, w, h) of all annotations; zeros for slides without any, if ``slides`` is given."""
     made = with_bounds(annotations).groupBy("slide_id").agg(F.min("ax0").alias("x"), F.min("ay0").alias("y"), (F.max("ax1") - F.min("ax0")).alias("w"), (F.max("ay1") - F.min("ay0")).alias("h"))
-    return made if slides is None else slides.select("slide_id").join(made, "slide_id", "left").fillna(0.0, ["x", "y", "w", "h"])
+    return made if slides is None else slides.select("slide_id").join(made.hint("merge"), "slide_id", "left").fillna(0.0, ["x", "y", "w", "h"])
 
 
 def sort_key(sorting: str) -> list[Column]:
@@ -189,7 +195,7 @@ def check_labels(annotations: DataFrame, index_map: dict[str, int], roi: str | N
 def shifted(annotations: DataFrame, slides: DataFrame) -> DataFrame:
     """Annotations given relative to slide bounds, moved to level-0 pixels by the bounds' offset."""
     off = slides.select("slide_id", F.coalesce("offset_x", F.lit(0)).alias("_ox"), F.coalesce("offset_y", F.lit(0)).alias("_oy"))
-    moved = annotations.join(off, "slide_id", "left")
+    moved = annotations.join(off.hint("merge"), "slide_id", "left")
     ox, oy = F.coalesce("_ox", F.lit(0)), F.coalesce("_oy", F.lit(0))
     return moved.withColumn("rings", G.map_points(F.col("rings"), lambda p: G.point(p["x"] + ox, p["y"] + oy))).drop("_ox", "_oy")
 

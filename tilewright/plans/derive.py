@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.dealing import dealt
+
+#: Bytes of a file of slides, or of vectors with masks, for each task: a row of it makes hundreds of tiles.
+FEW = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slide for each part: three levels; parts of odd key have bounds inside the slide."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    rows = table(spark, sf_dir, "part").select(
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey", share=FEW).select(
         key.alias("slide_id"),
         (F.lit(500) + 20 * size).cast("int").alias("width"),
         (F.lit(400) + 10 * (key % 50)).cast("int").alias("height"),
@@ -30,9 +34,9 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "q", "l_returnflag")
-    items = items.withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int"))
+    items = dealt(items, "l_partkey").withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int"))
     plain = slides(spark, sf_dir).select("slide_id", "width", "height")
-    rows = items.join(plain, items["l_partkey"] == plain["slide_id"])
+    rows = items.join(plain.hint("merge"), items["l_partkey"] == plain["slide_id"])
     return rows.select(
         "slide_id", "layer_idx", F.col("l_returnflag").alias("label"), F.element_at(F.array(F.lit("BOX"), F.lit("POLYGON"), F.lit("POINT")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("annotation_type"),
         F.col("l_linenumber").alias("line"),

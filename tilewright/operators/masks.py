@@ -64,7 +64,7 @@ def raster_fraction(tiles: DataFrame, masks: DataFrame, key: str = "region_index
     ``masks``: slide_id, mask_w, mask_h, sums: a summed-area table, row-major (mask_h + 1) x (mask_w + 1). One factor,
     from the longer sides, scales both axes. A tile costs four look-ups whatever the mask's size.
     """
-    m = tiles.select("slide_id", key, "x", "y", "w", "h", "view_w", "view_h").join(masks, "slide_id")
+    m = tiles.select("slide_id", key, "x", "y", "w", "h", "view_w", "view_h").join(masks.hint("merge"), "slide_id")
     f = F.greatest("mask_w", "mask_h") / F.greatest("view_w", "view_h")
     low = lambda c, n: F.greatest(F.lit(0), F.least(F.floor(F.col(c) * F.col("_f")).cast("int"), F.col(n)))
     high = lambda c, d, n: F.greatest(F.lit(0), F.least(F.ceil((F.col(c) + F.col(d)) * F.col("_f")).cast("int"), F.col(n)))
@@ -112,7 +112,7 @@ def slide_fraction(tiles: DataFrame, blocks: DataFrame, key: str = "region_index
     spans = {f"_{a}": F.explode(F.sequence(F.floor(F.col(a) / side).cast("int"), F.floor((F.col(a) + F.col(n) - 1) / side).cast("int"))) for a, n in (("x", "w"), ("y", "h"))}
     cells = tiles.select("slide_id", key, "x", "y", "w", "h").withColumn("block_x", spans["_x"]).withColumn("block_y", spans["_y"])
     tables = _sums(blocks.select("slide_id", "block_x", "block_y", "mask_w", "mask_h", "pixels"), ["slide_id", "block_x", "block_y", "mask_w", "mask_h"], True)
-    met = cells.join(tables, ["slide_id", "block_x", "block_y"])
+    met = cells.join(tables.hint("merge"), ["slide_id", "block_x", "block_y"])
     inside = lambda v, a, n: F.greatest(F.lit(0), F.least(F.ceil(v - F.col(f"block_{a}") * side).cast("int"), F.col(n)))
     met = met.withColumns({"_x0": inside(F.col("x"), "x", "mask_w"), "_y0": inside(F.col("y"), "y", "mask_h"), "_x1": inside(F.col("x") + F.col("w"), "x", "mask_w"), "_y1": inside(F.col("y") + F.col("h"), "y", "mask_h")})
     at = lambda x, y: F.element_at("sums", F.col(y) * (F.col("mask_w") + 1) + F.col(x) + 1)
@@ -132,4 +132,4 @@ def masked_tiles(tiles: DataFrame, mask: DataFrame | None, threshold: float | No
     kept = shares.filter(F.col("fraction") > threshold if kind == "raster" else _passes(F.col("fraction"), threshold))
     if threshold < 0:
         return tiles
-    return tiles.join(kept.select("slide_id", key), ["slide_id", key], "left_semi")
+    return tiles.join(kept.select("slide_id", key).hint("merge"), ["slide_id", key], "left_semi")

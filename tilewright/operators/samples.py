@@ -49,7 +49,7 @@ def tile_samples(
     if mask is not None and mask_kind == "annotations" and mask_threshold is not None:
         tiles = M.masked_grid(slides, mask, mask_threshold, mpp, tile, overlap=overlap, mode=mode, order=order, rois=rois, limit_bounds=limit_bounds)
         more = [c for c in ("path", "levels") if c in slides.columns]
-        tiles = tiles.withColumns({"local_i": F.floor(F.col("k") / F.col("ny")).cast("int"), "local_j": F.pmod(F.col("k"), F.col("ny"))}).join(slides.select("slide_id", *more), "slide_id")
+        tiles = tiles.withColumns({"local_i": F.floor(F.col("k") / F.col("ny")).cast("int"), "local_j": F.pmod(F.col("k"), F.col("ny"))}).join(slides.select("slide_id", *more).hint("merge"), "slide_id")
         tiles = T.recentred(tiles, output_tile) if output_tile else tiles
     else:
         tiles = T.standard_tiling(slides, mpp, tile, overlap, mode, order, rois, limit_bounds, output_tile)

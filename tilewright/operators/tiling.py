@@ -224,4 +224,4 @@ def item(df: DataFrame, index: int, total: int, ordinal: str = "ordinal") -> Dat
 def with_labels(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     """Attach a slide's labels (slide_id, name, value) to each of its tiles as a map; null without labels."""
     each = labels.groupBy("slide_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", F.col("value").cast("string"))))).alias("labels"))
-    return tiles.join(each, "slide_id", "left")
+    return tiles.join(each.hint("merge"), "slide_id", "left")

@@ -62,6 +62,10 @@ SAMPLE, COMMON = 4096, 8
 SHARED = 20
 ENTRIES = 1 << 20
 SETTLED, SETTLED_BYTES = 256, 4 << 20
+#: Of groups that are refined: their least number of texts, texts and prefix entries compared in a task, and the number of
+#: texts with an entry from which it counts as crowded, and crowded entries counted at once.
+REFINED, COUNTED, COUNTED_ENTRIES = 32, 2048, 1 << 20
+CROWDED, COLUMNS = 64, 512
 WIDE_MAP = 1 << 16
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -478,10 +482,11 @@ def _search(size: np.ndarray, maps: np.ndarray, least: float) -> tuple[np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def possible(rows: DataFrame, groups: DataFrame, shingle: int, least: float) -> DataFrame:
+def possible(rows: DataFrame, groups: DataFrame, shingle: int, least: float, shared: DataFrame | None = None) -> DataFrame:
     """(a, b): links between names whose components hold together all that a similarity of ``least`` joins, without
-    exception, and little more. ``groups`` has name, size and the parity map of each text."""
-    shared = cut(sharing(rows, groups, shingle, least))
+    exception, and little more. ``groups`` has name, size and the parity map of each text; ``shared`` is what ``sharing``
+    gives, if it is there already."""
+    shared = cut(sharing(rows, groups, shingle, least)) if shared is None else shared
     # a text with a partner shares as many entries as a partner of the least size has to share
     few = F.floor(F.ceil(F.col("size") * least - 1e-9) / SHARED) + 1
     enough = shared.groupBy("name").count().join(groups.select("name", "size", *MAP), "name").filter(F.col("count") >= few).drop("count")
@@ -530,14 +535,80 @@ def _settled(texts: list[str], known: np.ndarray, shingle: int, least: float) ->
     return out
 
 
-def completed(found: DataFrame, wide: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def _enough(size: np.ndarray, keys: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join what all pairs join which share as many prefix entries as a similarity of ``least`` takes. Entries
+    of a few texts are counted pair by pair, crowded ones by products of a 0-1 matrix."""
+    n = len(size)
+    key, row = np.concatenate(keys), np.repeat(np.arange(n), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    many = np.diff(np.r_[first, len(key)])
+    count = np.zeros((n, n), np.float32)
+    left = np.repeat(np.where(many <= CROWDED, first + many, 0), many) - np.arange(len(key))  # texts of the entry from here on
+    here, step = np.flatnonzero(left > 1), 1
+    while len(here):
+        np.add.at(count, (row[here], row[here + step]), np.float32(1))  # rows of an entry ascend
+        step += 1
+        here = here[left[here] > step]
+    crowded = np.flatnonzero(many > CROWDED)
+    for k in range(0, len(crowded), COLUMNS):
+        some = np.zeros((n, min(COLUMNS, len(crowded) - k)), np.float32)
+        for c, e in enumerate(crowded[k : k + COLUMNS].tolist()):
+            some[row[first[e] : first[e] + many[e]], c] = 1
+        count += some @ some.T
+    out, rest = [], np.arange(n)
+    while len(rest):
+        start, queue, rest = int(rest[0]), [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            low, high = np.minimum(size[rest], size[q]), np.maximum(size[rest], size[q])
+            near = (count[np.minimum(rest, q), np.maximum(rest, q)] >= low // SHARED + 1) & (low >= least * high - 1e-9)
+            out += [(start, r) for r in rest[near].tolist()]
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return out
+
+
+def refined(bulk: DataFrame, shared: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b): links inside of the groups ``bulk`` (name, bulk) that hold together all that a similarity of ``least`` joins.
+    A parity map tells long texts apart badly; here the prefix entries that two texts share are counted, chunk by chunk."""
+    held = shared.join(bulk.select("name", "bulk"), "name").groupBy("bulk", "name").agg(F.collect_set("key").alias("keys")).join(groups.select("name", "size"), "name")
+    held = cut(held)
+    size = held.groupBy("bulk").agg(F.ceil(F.greatest(F.count("*") / COUNTED, F.sum(F.size("keys")) / COUNTED_ENTRIES)).cast("int").alias("parts"))
+    dealt = _dealt(held.join(size, "bulk"), "bulk", "name", "name", "size", "keys")
+
+    def count(group: pa.Table) -> pa.Table:
+        name = group.column("name").to_numpy()
+        keys = [k.values.to_numpy(zero_copy_only=False) for c in group.column("keys").chunks for k in c]
+        at = np.array(_enough(group.column("size").to_numpy(), keys, least), np.int64).reshape(-1, 2)
+        give_back()
+        return pa.table({"a": name[at[:, 0]], "b": name[at[:, 1]]})
+
+    return _spread(dealt).groupBy("bulk", "i", "j").applyInArrow(count, "a long, b long").distinct()
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Pairs of chunks dealt to all tasks: they are small, but dear."""
+    return rows.repartition(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bulk", "i", "j")
+
+
+def completed(found: DataFrame, wide: DataFrame, texts: DataFrame, shingle: int, least: float, shared: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(a, b): the links missing from ``found`` to join what all pairs join that are as similar as ``least``. ``wide`` has
     what ``possible`` gives, ``texts`` the name and text of all that it names. Components of ``wide`` that ``found`` has not
-    joined wholly are compared, in chunks of bounded size, two at a time."""
+    joined wholly are compared, in chunks of bounded size, two at a time; larger ones are ``refined`` first, if ``shared``
+    and ``groups`` are given."""
     known = components(found, "a", "b").select(F.col("node").alias("name"), F.col("component").alias("known"))
     bulk = components(wide, "a", "b").select(F.col("node").alias("name"), F.col("component").alias("bulk"))
     told = cut(bulk.join(known, "name", "left").select("name", "bulk", F.coalesce("known", "name").alias("known")))
-    apart = told.groupBy("bulk").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x < y").select("bulk")
+    unsettled = lambda told: told.groupBy("bulk").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("n")).filter("x < y")
+    apart = unsettled(told).select("bulk")
+    if shared is not None:
+        large = told.join(unsettled(told).filter(F.col("n") > REFINED).select("bulk"), "bulk", "left_semi")
+        finer = components(cut(refined(large, shared, groups, least)), "a", "b").select(F.col("node").alias("name"), F.col("component").alias("finer"))
+        # a text of a large group without a link is alone
+        told = cut(told.join(large.select("name", F.lit(True).alias("large")), "name", "left").join(finer, "name", "left").select("name", F.when(F.col("large"), F.coalesce("finer", "name")).otherwise(F.col("bulk")).alias("bulk"), "known"))
+        apart = unsettled(told).select("bulk")
     left = cut(told.join(apart, "bulk", "left_semi").join(texts, "name"))
     size = left.groupBy("bulk").agg(F.ceil(F.greatest(F.count("*") / SETTLED, F.sum(F.octet_length("text")) / SETTLED_BYTES)).cast("int").alias("parts"))
     dealt = _dealt(left.join(size, "bulk"), "bulk", "name", "name", "known", "text")
@@ -548,7 +619,7 @@ def completed(found: DataFrame, wide: DataFrame, texts: DataFrame, shingle: int,
         at = np.array(got, np.int64).reshape(-1, 2)
         return pa.table({"a": name[at[:, 0]], "b": name[at[:, 1]]})
 
-    return dealt.groupBy("bulk", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+    return _spread(dealt).groupBy("bulk", "i", "j").applyInArrow(settle, "a long, b long").distinct()
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = LEAST, **how) -> DataFrame:
@@ -569,7 +640,8 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     marked = cut(map_text(rows, "text", [T.StructField(c, T.LongType()) for c in ("name", "x", "y", "size", *MAP)], start, ["doc_id"]))
     groups = cut(marked.groupBy("name").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("x", "y", "size", *MAP))))
     pairs = cut(candidates(groups, **how))
-    wide = cut(possible(rows, groups, shingle, least))
+    shared = cut(sharing(rows, groups, shingle, least))
+    wide = cut(possible(rows, groups, shingle, least, shared))
     ends = pairs.union(wide)
     asked = cut(ends.select(F.col("a").alias("name")).union(ends.select(F.col("b").alias("name"))).distinct())
     named = map_text(rows, "text", [T.StructField("name", T.LongType())], lambda: lambda texts: [[_name(words(t)) for t in texts]])
@@ -584,7 +656,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
         give_back()
 
     found = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
-    rest = cut(completed(found, wide, texts, shingle, least))
+    rest = cut(completed(found, wide, texts, shingle, least, shared, groups))
     return marked.select("doc_id", "name").join(_named(groups, found.union(rest), "name"), "name").select("doc_id", "component_id")
 
 

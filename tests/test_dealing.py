@@ -25,3 +25,9 @@ def test_tasks_follow_the_files(spark, tmp_path):
     assert dealing.tasks(rows.withColumn("x", F.explode(F.array("id", "id"))), share=20_000) > 4
     assert dealing.tasks(rows) == 4
     assert dealing.dealt(rows, "id", share=20_000).rdd.getNumPartitions() > 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_classes_do_not_gather_annotations(spark):
+    plan = catalogue.QUERIES["ann_darwin_json"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [label" not in plan

@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..functions.color import parse_rgba
 from ..operators.annotations import sort_layers
 from ..operators.clip import even_odd_parts
+from ..operators.dealing import dealt
 from .contents import read_contents
 
 XY = "struct<x:double,y:double>"
@@ -67,7 +68,8 @@ def parse(contents: DataFrame, metadata: DataFrame | None = None, sorting: str =
     if metadata is not None:
         found = metadata.select("label", F.col("annotation_type").alias("_t"), "color").dropDuplicates(["label"])
         lacking = F.raise_error(F.concat(F.lit("class without metadata: "), F.coalesce("label", F.lit("none")))).cast("array<int>")
-        rows = rows.join(found, "label", "left").withColumn("color", F.when(F.col("_t").isNull(), lacking).otherwise(F.col("color"))).drop("_t")
+        # a row for each class: broadcast, as a join by label would put all annotations of a class into one task
+        rows = rows.join(F.broadcast(found), "label", "left").withColumn("color", F.when(F.col("_t").isNull(), lacking).otherwise(F.col("color"))).drop("_t")
     else:
         rows = rows.withColumn("color", F.lit(None).cast("array<int>"))
     if z_indices is not None:
@@ -77,7 +79,7 @@ def parse(contents: DataFrame, metadata: DataFrame | None = None, sorting: str =
     else:
         z = F.lit(None).cast("int")
     order = Window.partitionBy("slide_id").orderBy("file", "path", "_k", "_p")
-    rows = rows.withColumn("z_index", z).withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int"))
+    rows = dealt(rows, "slide_id").withColumn("z_index", z).withColumn("layer_idx", (F.row_number().over(order) - 1).cast("int"))
     made = rows.select("slide_id", "layer_idx", "label", "annotation_type", "color", "z_index", "rings")
     return made if sorting.upper() == "NONE" else sort_layers(made, sorting)
 
